@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, mixing, sharding, urlfilter
+from . import digest, mixing, repetition, sharding, simhash, substring, urlfilter
 from .common import table
 
 #: Rules of the URL query: host, path, verdict.
@@ -19,11 +19,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+    return groups.select("doc_id", simhash.print_hex().alias("fingerprint"), "component_id")
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """Canonical URLs of the pages on hosts with a listed label."""
     host, _ = urlfilter.host_and_path(F.col("url"))
@@ -39,7 +53,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_sharding, op8_url_filter, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op4_substring, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
