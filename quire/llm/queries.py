@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, mixing, repetition, sharding, simhash, substring, urlfilter
+from . import digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
 from .common import table
 
 #: Rules of the URL query: host, path, verdict.
@@ -14,6 +14,11 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 LISTED_LABELS = ["spam-farm", "adult-x"]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url", "html"))
+    return made.withColumnRenamed("key", "page_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -29,6 +34,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,11 +62,30 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_simhash, op4_substring, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
+    "op8_url_filter": r"""
+        WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+                     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+                        lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') AS canonical FROM h),
+        l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'adult-x'])),
+        r AS (SELECT c.*, l.canonical IS NOT NULL AS listed, CASE
+                WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+                WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+                WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM c LEFT JOIN l USING (canonical))
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM r""",
     "op2_mixing": rf"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::BIGINT AS size,
                           md5('mix:' || doc_id::VARCHAR) AS key FROM documents),
