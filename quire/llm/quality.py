@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .words import Words, slices
+from .words import Words, mix, slices
 
 #: Labelled rows that the text model is fitted on, at most; those with the smallest hashes of doc_id.
 SAMPLE = 20_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Beginnings of words, in bytes, that count as words of their own kind.
+PREFIXES = (4, 5, 6, 8)
 #: A word counts as evidence from so many labelled documents and standard deviations on.
 LEAST_DOCS, LEAST_Z = 12, 6.0
 EDGES = [0.0, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.75]
@@ -37,14 +39,26 @@ _PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~
 
 
 def word_buckets(w: Words) -> np.ndarray:
-    """Bucket of each word: A-Z lower-cased and punctuation at its ends left out."""
+    """Buckets of each word, a row for the whole and one for each length of its beginning.
+
+    A-Z are lower-cased and punctuation at the ends is left out; a short word has its own bucket again.
+    """
     starts, ends = w.starts.copy(), w.ends.copy()
     for _ in range(3):
         ends -= (ends - starts > 1) & _PUNCTUATION[w.data[ends - 1]]
         starts += (ends - starts > 1) & _PUNCTUATION[w.data[starts]]
     bare = object.__new__(Words)
     bare.data, bare.offsets, bare.starts, bare.ends, bare.first, bare.doc = w.data, w.offsets, starts, ends, w.first, w.doc
-    return (bare.hashes(table=_LOWER) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    rows = [bare.hashes(table=_LOWER)]
+    for k in PREFIXES:
+        bare.ends = np.minimum(ends, starts + k)
+        rows.append(np.where(ends - starts > k, mix(bare.hashes(table=_LOWER) ^ np.uint64(k)), rows[0]))
+    return (np.stack(rows) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def distinct(w: Words, buckets: np.ndarray) -> np.ndarray:
+    """Text and bucket, as one number, of each pair that occurs."""
+    return np.unique((w.doc.astype(np.int64) * BUCKETS)[None, :] + buckets)
 
 
 def shape(w: Words, buckets: np.ndarray) -> np.ndarray:
@@ -52,10 +66,9 @@ def shape(w: Words, buckets: np.ndarray) -> np.ndarray:
     n = np.diff(w.first)
     chars = np.maximum(w.sums(w.word), 1)
     letters = np.maximum(w.sums(_ONE["letter"][w.data]), 1)
-    new = np.unique(w.doc.astype(np.int64) * BUCKETS + buckets) // BUCKETS
-    distinct = np.bincount(new, minlength=len(n))
+    kinds = np.bincount(distinct(w, buckets[:1]) // BUCKETS, minlength=len(n))
     values = [w.sums(_ONE[k][w.data]) / (letters if k == "upper" else chars) for k in ("symbol", "upper", "digit", "shout", "stop")]
-    values += [1 - distinct / np.maximum(n, 1), np.minimum(n / 400, 1), np.minimum(chars / np.maximum(n, 1) / 16, 1)]
+    values += [1 - kinds / np.maximum(n, 1), np.minimum(n / 400, 1), np.minimum(chars / np.maximum(n, 1) / 16, 1)]
     out = np.zeros((len(n), len(values) * len(EDGES)))
     for i, v in enumerate(values):
         out[np.arange(len(n)), i * len(EDGES) + np.searchsorted(EDGES, v, "right") - 1] = 1
@@ -68,7 +81,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = np.stack([batch.column(t).to_numpy(zero_copy_only=False) for t in TARGETS], axis=1).astype(np.int64)
         for i, _, w in slices(batch.column("text")):
-            seen = np.unique(w.doc.astype(np.int64) * BUCKETS + word_buckets(w))
+            seen = distinct(w, word_buckets(w))
             bucket, of = seen % BUCKETS, labels[i:][seen // BUCKETS]
             total[:, 0] += np.bincount(bucket, minlength=BUCKETS)
             for k in range(len(TARGETS)):
@@ -81,8 +94,8 @@ def features(w: Words, lexicon: np.ndarray) -> np.ndarray:
     """Shape, and for each target the evidence of the text's distinct listed words, as sum and as strongest."""
     buckets = word_buckets(w)
     out = [shape(w, buckets)]
-    listed = np.flatnonzero(lexicon[:, buckets].any(axis=0))
-    seen = np.unique(w.doc[listed].astype(np.int64) * BUCKETS + buckets[listed])
+    listed = lexicon.any(axis=0)[buckets]
+    seen = np.unique(np.broadcast_to(w.doc.astype(np.int64) * BUCKETS, buckets.shape)[listed] + buckets[listed])
     for row in lexicon:
         total, top = np.zeros(len(w.first) - 1), np.zeros(len(w.first) - 1)
         np.add.at(total, seen // BUCKETS, row[seen % BUCKETS])
