@@ -1,11 +1,11 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every run of WIDTH words is a reference block, indexed by a 128-bit hash with the place where
+Every run of WIDTH words is a reference block, indexed by a 96-bit hash with the place where
 it starts first.  A document is parsed from left to right: where the block at a word is
-indexed with an earlier place, a factor begins, and it goes on as long as the following
-blocks continue in the same reference.  The blocks that straddle a factor's end are looked
-up like all others, so a repeat made of two references' ends is found as well.  Words in
-factors (each at least WIDTH long) are duplicates.
+indexed with an earlier place, a factor begins, and it goes on word by word as long as the
+next block is indexed with an earlier place too.  Blocks that straddle the border between
+two references are looked up like all others, so a repeat is found wherever its parts come from.
+Words in factors (each at least WIDTH long) are duplicates.
 
 Only blocks that can repeat are indexed.  Each block is named by its anchor, the smallest
 hash among its GRAM-word grams: equal blocks have equal anchors, and about one word in seven
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import wide_hash
-from .words import Words, mix, slices
+from .words import Words, covered, mix, slices
 
 WIDTH = 20
 GRAM = 8
-FACTOR = "struct<start:int,length:int,ref_doc:long,ref_start:int>"
+FACTOR = "struct<start:int,length:int>"
 
 
 def anchors(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,71 +60,73 @@ def _anchor_rows(width: int):
     return run
 
 
+def _pairs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every element of a list column, null as empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def candidates(w: Words, shared: pa.ListArray, width: int) -> np.ndarray:
+    """First words of the blocks whose anchors are among their text's shared ones."""
+    begin, _, value = anchors(w, width)
+    owner, wanted = _pairs(shared)
+    salt = lambda doc: (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+    with np.errstate(over="ignore"):
+        return begin[np.isin(mix(value + salt(w.doc[begin])), mix(wanted.view(np.uint64) + salt(owner)))]
+
+
 def _block_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            shared = batch.column("shared")
             for i, j, w in slices(batch.column("text")):
-                begin, _, value = anchors(w, width)
-                lists = shared.slice(i, j - i)
-                owner = np.repeat(np.arange(j - i), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                salt = lambda doc: (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
-                with np.errstate(over="ignore"):
-                    begin = begin[np.isin(mix(value + salt(w.doc[begin])), mix(wanted + salt(owner)))]
+                begin = candidates(w, batch.column("shared").slice(i, j - i), width)
                 first, second = np.zeros(len(w), dtype=np.uint64), np.zeros(len(w), dtype=np.uint64)
                 for out, which in ((first, 0), (second, 1)):
                     at, h = w.grams(w.hashes(which), width, which)
                     out[at] = h
                 doc = w.doc[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(first[begin].view(np.int64)), pa.array(second[begin].view(np.int64)), pa.array(ids[i:j][doc]), pa.array((begin - w.first[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(first[begin].view(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i:j][doc]), pa.array((begin - w.first[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
 
     return run
 
 
-def factors(repeats: list[tuple[int, int, int]], width: int) -> list[dict]:
-    """Factors of one document from its repeated blocks (start, reference document, start there)."""
-    out: list[dict] = []
-    for start, doc, at in sorted(repeats):
-        f = out[-1] if out else None
-        if f and f["ref_doc"] == doc and start == f["start"] + f["length"] - width + 1 and at == f["ref_start"] + f["length"] - width + 1:
-            f["length"] += 1
-        else:
-            out.append({"start": start, "length": width, "ref_doc": doc, "ref_start": at})
-    return out
+def runs(starts: np.ndarray, width: int) -> list[dict]:
+    """Factors of one document: runs of repeated blocks, from the sorted starts of these."""
+    if not len(starts):
+        return []
+    new = np.flatnonzero(np.diff(starts) > 1) + 1
+    return [{"start": int(r[0]), "length": int(r[-1] - r[0]) + width} for r in np.split(starts, new)]
 
 
 def _cut(width: int):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "factors": []}
-                for text, repeats, copy in zip(part.column("text").cast(pa.large_binary()), part.column("repeats"), part.column("copy_of"), strict=True):
-                    words = (text.as_py() or b"").split()
-                    found = []
-                    if copy.is_valid:
-                        if len(words) >= width:
-                            found, words_kept = [{"start": 0, "length": len(words), "ref_doc": copy.as_py(), "ref_start": 0}], []
-                        else:
-                            words_kept = words
-                    elif repeats.is_valid and len(repeats):
-                        items = repeats.values.flatten()
-                        found = factors(list(zip(*[x.to_pylist() for x in items], strict=True)), width)
-                        keep = np.ones(len(words), dtype=bool)
-                        for f in found:
-                            keep[f["start"] : f["start"] + f["length"]] = False
-                        words_kept = list(itertools.compress(words, keep.tolist()))
+            for i, j, w in slices(batch.column("text")):
+                part = batch.slice(i, j - i)
+                begin = candidates(w, part.column("shared"), width)
+                owner, first = _pairs(part.column("firsts"))
+                repeated = begin[~np.isin(begin, w.first[owner] + first)]
+                gone = covered(len(w), repeated, width)
+                upto = np.searchsorted(repeated, w.first)
+                n_words, n_removed, kept, found = np.diff(w.first), np.zeros(j - i, dtype=np.int64), [], []
+                whole = part.column("copy_of").is_valid().to_numpy(zero_copy_only=False) & (n_words >= width)
+                data = w.data.tobytes()
+                for k in range(j - i):
+                    a, b = w.first[k], w.first[k + 1]
+                    words = data[w.offsets[k] : w.offsets[k + 1]].split()
+                    if whole[k]:
+                        words, made = [], [{"start": 0, "length": int(n_words[k])}]
+                    elif upto[k + 1] > upto[k]:
+                        words, made = list(itertools.compress(words, (~gone[a:b]).tolist())), runs(repeated[upto[k] : upto[k + 1]] - a, width)
                     else:
-                        words_kept = words
-                    out["n_words"].append(len(words))
-                    out["n_removed"].append(len(words) - len(words_kept))
-                    out["kept_text"].append(b" ".join(words_kept))
-                    out["factors"].append(found)
-                kept = pa.array(out["kept_text"], pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), kept, pa.array(out["factors"], kind)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
+                        made = []
+                    n_removed[k] = n_words[k] - len(words)
+                    kept.append(b" ".join(words).decode())
+                    found.append(made)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string()), pa.array(found, kind)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
 
     return run
 
@@ -149,15 +151,13 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     shared = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     shared = shared.join(copies, "doc_id", "left_anti")
 
-    blocks = named.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_block_rows(width), "h1 long, h2 long, doc_id long, start int")
-    place = F.struct("doc_id", "start")
-    index = blocks.groupBy("h1", "h2").agg(F.min(place).alias("ref"), F.max(place).alias("last")).filter("ref < last").select("h1", "h2", "ref")
-    repeats = blocks.join(index, ["h1", "h2"]).filter(F.struct("doc_id", "start") > F.col("ref"))
-    repeats = repeats.groupBy("doc_id").agg(F.collect_set(F.struct("start", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))).alias("repeats"))
-    schema = f"doc_id long, n_words long, n_removed long, kept_text string, factors array<{FACTOR}>"
-    cut = named.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "repeats", "copy_of")
-    bare = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast(repeats.schema["repeats"].dataType).alias("repeats"), F.lit(None).cast("long").alias("copy_of"))
-    return cut.unionByName(bare).mapInArrow(_cut(width), schema)
+    blocks = map_arrow(named.join(shared, "doc_id").select("doc_id", "text", "shared"), _block_rows(width), "h1 long, h2 int, doc_id long, start int")
+    # the index; only where a block starts first goes back to the documents, not what repeats it
+    index = blocks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    firsts = index.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.start").alias("firsts"))
+    parsed = named.join(shared, "doc_id", "left").join(firsts, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "shared", "firsts", "copy_of")
+    bare = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("shared"), F.lit(None).cast("array<int>").alias("firsts"), F.lit(None).cast("long").alias("copy_of"))
+    return map_arrow(parsed.unionByName(bare), _cut(width), f"doc_id long, n_words long, n_removed long, kept_text string, factors array<{FACTOR}>")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
