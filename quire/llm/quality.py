@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.shipping import map_arrow
+
 from .common import checkpoint
 from .words import Words, mix, slices
 
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     chosen = known.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *TARGETS)
-    counted = rows.mapInArrow(_counts, "bucket long, n long, " + ", ".join(f"{t} long" for t in TARGETS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).filter(F.col("n") >= LEAST_DOCS).collect()
+    counted = map_arrow(rows, _counts, "bucket long, n long, " + ", ".join(f"{t} long" for t in TARGETS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).filter(F.col("n") >= LEAST_DOCS).collect()
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
     lexicon = np.zeros((len(TARGETS), BUCKETS))
     if counted:
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             for i, j, w in slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(list(features(w, lexicon).astype(np.float32)), pa.list_(pa.float32())), *[batch.column(t).slice(i, j - i) for t in TARGETS]], names=["x", *TARGETS])
 
-    got = rows.mapInArrow(run, "x array<float>, " + ", ".join(f"{t} int" for t in TARGETS)).toPandas()
+    got = map_arrow(rows, run, "x array<float>, " + ", ".join(f"{t} int" for t in TARGETS)).toPandas()
     width = 8 * len(EDGES) + 2 * len(TARGETS)
     x = np.stack(got["x"]).astype(float) if len(got) else np.zeros((0, width))
     # rows come in no fixed order; sums over sorted rows are the same in every run
@@ -168,7 +170,7 @@ def evidence(docs: DataFrame, lexicon: np.ndarray, weights: np.ndarray, host: Co
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("doc_id", "host", "path")], *[pa.array(np.round(logits[:, k], 6)) for k in range(len(TARGETS))]], names=["doc_id", "host", "path", *[f"logit_{t}" for t in TARGETS]])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    return named.mapInArrow(run, "doc_id long, host string, path string, " + ", ".join(f"logit_{t} double" for t in TARGETS))
+    return map_arrow(named, run, "doc_id long, host string, path string, " + ", ".join(f"logit_{t} double" for t in TARGETS))
 
 
 def _strength(groups: DataFrame, mean: Column, n: Column, rate: float) -> float:

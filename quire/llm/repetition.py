@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.shipping import map_arrow
+
 from .words import SPACE, Words, covered, mix, slices
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -99,7 +101,7 @@ def rules(docs: DataFrame) -> DataFrame:
     multiple of its limit.  Null or empty text has no words, so it fails; rows with equal doc_id
     each give a row.  A text is measured alone, so no copies or hot sources matter.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _measured, SCHEMA)
 
 
 __all__ = ["GRAM_LIMITS", "SPACE", "measure", "repeated_lines", "rules"]

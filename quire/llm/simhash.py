@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.shipping import map_arrow
+
 from .common import checkpoint
 from .words import mix
 
@@ -118,7 +120,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 part = texts.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 512), pa.array(fingerprint(part.to_pylist(), shingle).view(np.int64))], names=["doc_id", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, print long")
 
 
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +220,7 @@ def spread(hot: DataFrame) -> DataFrame:
     share one are at most four bits apart: each print meets the least print of every word
     within two bits of it.
     """
-    words = hot.select("print").distinct().mapInArrow(_balls, "word long, print long")
+    words = map_arrow(hot.select("print").distinct(), _balls, "word long, print long")
     least = words.groupBy("word").agg(F.min("print").alias("b"), F.max("print").alias("top")).filter(F.col("b") < F.col("top")).select("word", "b")
     return words.join(least, "word").filter(F.col("print") != F.col("b")).select(F.col("print").alias("a"), "b").distinct()
 
@@ -228,8 +230,8 @@ def print_links(prints: DataFrame) -> DataFrame:
 
     Every linked pair is connected through links, though not each by a link of its own.
     """
-    keyed = prints.mapInArrow(_keyed, "key long, print long")
-    found = checkpoint(keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_compared, "a long, b long").distinct())
+    keyed = map_arrow(prints, _keyed, "key long, print long")
+    found = checkpoint(map_arrow(keyed.repartition("key").sortWithinPartitions("key", "print"), _compared, "a long, b long").distinct())
     direct = found.filter("b is not null")
     hot = found.filter("b is null").select(F.col("a").alias("print"))
     return direct if hot.isEmpty() else direct.unionByName(spread(hot))

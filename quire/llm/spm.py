@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.shipping import map_arrow
+
 MARK = "▁"
 #: Words whose ids a Python worker remembers at most.
 MEMORY = 600_000
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check:
                 more = [pa.array([m.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], lists, pa.array(sizes), *more], names=[*columns, *made])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in columns]), run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -269,4 +271,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([None if x is None else m.decode(x) for x in batch.column("ids").to_pylist()], pa.string())], names=[*columns, "decoded"])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return map_arrow(encoded.select(*[F.col(f"`{c}`") for c in columns]), run, schema)

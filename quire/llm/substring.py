@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.shipping import map_arrow
+
 from .common import wide_hash
 from .words import Words, covered, mix, slices
 
@@ -146,7 +148,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     first = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     copies = texts.join(first, ["t1", "t2"]).filter("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("copy_of"))
 
-    found = named.mapInArrow(_anchor_rows(width), "anchor long, doc_id long")
+    found = map_arrow(named, _anchor_rows(width), "anchor long, doc_id long")
     common = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     shared = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     shared = shared.join(copies, "doc_id", "left_anti")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.shipping import map_arrow
+
 EPOCH = "2024-01-01T00:00:00Z"
 Headers = list[tuple[str, str]]
 
@@ -186,7 +188,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(columns, COLUMNS.values(), strict=True)]], names=["key", *COLUMNS])
 
     chosen = records.select(F.col("key").cast("long").alias("key"), *(("headers", "block") if own else ("url", "html")))
-    return chosen.mapInArrow(run, "key long, " + ", ".join(f"{k} {t}" for k, t in COLUMNS.items()))
+    return map_arrow(chosen, run, "key long, " + ", ".join(f"{k} {t}" for k, t in COLUMNS.items()))
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -198,7 +200,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 got = list(read_records(data.as_py() or b""))
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(got), pa.int64()), pa.array(["".join(f"{k}: {v}\r\n" for k, v in h) for h, _ in got], pa.string()), pa.array([b for _, b in got], pa.binary())], names=["key", "headers", "block"])
 
-    return files.select("content").mapInArrow(run, "key long, headers string, block binary")
+    return map_arrow(files.select("content"), run, "key long, headers string, block binary")
 
 
 def as_bytes(derived: DataFrame) -> DataFrame:
