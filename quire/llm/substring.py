@@ -141,7 +141,8 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     is removed elsewhere.  Kept words are joined by one blank.  Null text has no words.  Rows
     with the same doc_id count as the same document; a row without doc_id is neither indexed nor cut.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # without a cast that isn't needed, since the texts' exchange is then the same wherever it is asked for
+    docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.filter("doc_id is not null")
     h1, h2 = wide_hash(F.col("text"))
     texts = named.filter("text is not null").select("doc_id", h1.alias("t1"), h2.alias("t2"))
