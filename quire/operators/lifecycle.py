@@ -53,7 +53,7 @@ def rate_waits(events: DataFrame, interval_us: int, key: str = "type") -> DataFr
     """
     w = Window.partitionBy(key).orderBy("ts", "id")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = events.withColumns({"t": F.unix_micros("ts"), "i": F.row_number().over(w)})
+    r = events.withColumns({"t": F.unix_micros("ts"), "i": F.row_number().over(w).cast("long")})
     start = F.max(F.col("t") - F.col("i") * interval_us).over(upto) + F.col("i") * interval_us
     return r.withColumn("wait_us", start - F.col("t")).select("id", key, "wait_us")
 
