@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT_TYPES = {"signup": "job.queued", "view": "job.started", "click": "page.stage", "error": "job.retry", "purchase": "job.done"}
@@ -93,3 +93,30 @@ def shortest_paths(spark: SparkSession, start: str = "intake", depth: int = 10)
             SELECT e.dst, w.hops + 1, w.path || '>' || e.dst FROM w JOIN quire_edges e ON e.src = w.node WHERE w.hops < {depth})
         SELECT node, min(struct(hops, path)) AS best FROM w GROUP BY node""")
     return walked.select("node", "best.hops", "best.path")
+
+
+def landed(moves: DataFrame) -> DataFrame:
+    """lane, n: pages by the lane they were last seen in (moves: id, page, lane), so that a move leaves its old lane."""
+    last = moves.groupBy("page").agg(F.max_by("lane", "id").alias("lane"))
+    return last.groupBy("lane").agg(F.count("*").alias("n"))
+
+
+def heat(events: DataFrame, now: Column, decay_s: float = 1.4) -> DataFrame:
+    """type, heat: 1 when an event has just come, falling off exponentially since the last."""
+    last = events.groupBy("type").agg(F.max("ts").alias("at"))
+    return last.select("type", F.exp((F.unix_micros("at") - F.unix_micros(now)) / 1_000_000 / decay_s).alias("heat"))
+
+
+def newest_events(events: DataFrame, n: int = 20_000) -> DataFrame:
+    """The log's newest n events, which is what it keeps."""
+    return events.orderBy(F.desc("id")).limit(n)
+
+
+def backlog(job_states: DataFrame) -> DataFrame:
+    """status, n."""
+    return job_states.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def buckets(value: Column, bounds: tuple[float, ...]) -> list[Column]:
+    """Counts of a histogram whose buckets hold all values up to their bound, the last one everything."""
+    return [F.count_if(value <= b).alias(f"le_{b:g}") for b in bounds] + [F.count(value).alias("le_inf")]

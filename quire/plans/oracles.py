@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.operators.lifecycle import EDGES
 from quire.operators.pages import SCRIPTED
 
+from .probe_oracles import oracles
 from .queries import KNOTS
 
 _N = lambda s: f"((doc_id * 7919 + page * 104729 + {s} * 1299709) % 1000) / 1000.0::DOUBLE"
@@ -144,3 +145,5 @@ ORACLE_SQL = {
         SELECT 'hit' AS what, (SELECT count(*) FROM p) - (SELECT count(*) FROM m) AS n UNION ALL SELECT 'miss', (SELECT count(*) FROM m) UNION ALL SELECT 'call', (SELECT count(DISTINCT text) FROM m)""",
     "daily_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+ORACLE_SQL |= oracles(ANSWERED, MEASURED, CASES, EVENTS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from quire.functions import evidence, policy, text
-from quire.operators import dataset, evaluate, intake, segments
+from quire.operators import answers, dataset, evaluate, intake, layout, segments
 from quire.plans import oracles, queries
 from quire.sources import files
 from quire.streaming import jobs
@@ -27,7 +27,7 @@ def normal(df):
 def duck():
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in "part lineitem events documents embeddings pages benchmark labels".split():
+    for t in "part orders lineitem events documents embeddings pages benchmark labels".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
@@ -140,3 +140,37 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert (got["retries"].sort_index() == want["retries"].sort_index()).all() and (got["pages"].sort_index() == want["pages"].sort_index()).all()
     n = jobs.run_to_table(jobs.first_seen(jobs.source(spark, DATA)), "seen", str(tmp_path / "c2")).count()
     assert n == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+OBJECTS = "page int, z int, kind string, invisible boolean, left double, bottom double, right double, top double, width double, height double"
+
+
+def test_coverage_counts_overlaps_once_and_finds_hidden_text(spark):
+    rows = [
+        (1, 0, "text", False, 0.0, 0.0, 10.0, 10.0, 64.0, 64.0),
+        (1, 1, "image", False, -5.0, -5.0, 99.0, 99.0, 64.0, 64.0),  # beyond the page, over the text
+        (2, 0, "image", False, 0.0, 0.0, 63.0, 32.0, 64.0, 64.0),  # 63 cells in a row
+        (2, 1, "image", False, 1.0, 0.0, 64.0, 32.0, 64.0, 64.0),
+        (2, 2, "text", False, 0.0, 0.0, 1.0, 1.0, 64.0, 64.0),
+        (3, 0, "text", True, 0.0, 0.0, 1.0, 1.0, 64.0, 64.0),
+        (4, 0, "image", False, 5.0, 5.0, 5.0, 5.0, 64.0, 64.0),  # no area
+        (4, 1, None, None, None, None, None, None, 64.0, 64.0),
+    ]
+    got = {r["page"]: (r["coverage"], bool(r["hidden"])) for r in layout.coverage(spark.createDataFrame(rows, OBJECTS)).collect()}
+    assert got == {1: (1.0, True), 2: (0.5, False), 3: (0.0, True), 4: (0.0, False)}
+    assert layout.coverage(spark.createDataFrame([], OBJECTS)).count() == 0
+
+
+def test_columns_of_regions(spark):
+    kind = "page int, label string, left double, top double, right double, bottom double, width double, height double"
+    rows = [(1, "text", 0, 0, 40, 90), (1, "Text", 50, 0, 95, 90), (2, "text", 0, 0, 90, 20), (2, "text", 0, 30, 90, 60), (3, "equation", 0, 0, 90, 20), (4, "text", 0, 0, 10, 50), (5, None, 0, 0, 50, 50), (6, "text", 0, 0, 30, 50), (6, "text", 35, 0, 60, 50), (6, "text", 65, 20, 95, 70)]
+    regions = spark.createDataFrame([(p, k, *map(float, box), 100.0, 100.0) for p, k, *box in rows], kind)
+    assert {r["page"]: r["columns"] for r in layout.region_columns(regions).collect()} == {1: 2, 2: 1, 3: None, 4: None, 5: None, 6: 2}
+    facts = {(r["page"], r["label"]): (r["n"], r["area"]) for r in layout.region_facts(regions).collect()}
+    assert facts[3, "formula"] == (1, 0.18) and facts[1, "text"] == (2, 0.765) and facts[5, None] == (1, 0.25)
+
+
+def test_first_valid_answer_and_its_cost(spark):
+    rows = [(1, 0, "no", 5), (1, 1, '[{"code": "simple", "why": " a  b"}]', 7), (1, 2, '{"code": "complex", "why": "c"}', 9), (2, 0, None, 1), (2, 1, '[{"code": "simple"}, 1]', 2), (2, 2, '"simple"', 3)]
+    a = spark.createDataFrame(rows, "key int, attempt int, content string, cost int")
+    assert sorted(tuple(r) for r in answers.first_valid(a, ("simple", "complex")).collect()) == [(1, "simple", "a b", 12), (2, None, "", 6)]
