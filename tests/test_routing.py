@@ -65,7 +65,7 @@ def merged(pages):
 
 def test_segments_random_and_hand_cases(spark):
     rng = random.Random(5)
-    docs = {0: [("L2", 0), ("L1", 0.9), ("L1", 0)], 1: [("L2", 0), ("L1", 0.9), ("L2", 0)], 2: [("L2", None), ("LH", 0.95), ("LH", 0), ("L2", 0.95)]}
+    docs = {0: [("L2", 0.0), ("L1", 0.9), ("L1", 0.0)], 1: [("L2", 0.0), ("L1", 0.9), ("L2", 0.0)], 2: [("L2", None), ("LH", 0.95), ("LH", 0.0), ("L2", 0.95)]}
     docs |= {i: [(rng.choice(["L1", "L2", "L3", "L5", "LH", "L0"]), rng.choice([None, 0.2, 0.5, 0.9])) for _ in range(rng.randint(1, 12))] for i in range(3, 60)}
     rows = [(d, i, lane, c, ["b", "a"] if i else ["c"]) for d, ps in docs.items() for i, (lane, c) in enumerate(ps)]
     df = spark.createDataFrame(rows, "doc_id long, page int, lane string, continuation double, modifiers array<string>")
