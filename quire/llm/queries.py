@@ -103,4 +103,29 @@ ORACLE_SQL = {
         e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS whole FROM r)
         SELECT doc_id, size, source_size, target,
                (whole * size + least(greatest(budget - whole * source_size - (upto - size), 0), size))::BIGINT AS taken FROM e""",
+    "op4_substring": rf"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents),
+        b AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS block FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+        again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY block ORDER BY doc_id, s) AS k FROM b) WHERE k > 1),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM d),
+        c AS (SELECT p.*, coalesce(p.s - max(again.s) OVER (PARTITION BY p.doc_id ORDER BY p.s) < 20, false) AS gone FROM p LEFT JOIN again ON again.doc_id = p.doc_id AND again.s = p.s),
+        g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
+    "op7_repetition": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents),
+        l AS (SELECT doc_id, line, strlen(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+        m AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id, line) > 1 AS again FROM l WHERE size > 0),
+        n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, sum(size) AS chars, coalesce(sum(size) FILTER (again), 0) AS dup_chars FROM m GROUP BY doc_id),
+        q AS (SELECT * FROM (VALUES {", ".join(f"({k}, {v}::DOUBLE)" for k, v in repetition.GRAM_LIMITS.items())}) v(n, lim)),
+        p AS (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM d),
+        g AS (SELECT doc_id, n, lim, s, length(word) AS chars, CASE WHEN s + n - 1 <= len(w) THEN md5(array_to_string(w[s:s + n - 1], ' ')) END AS gram FROM p CROSS JOIN q),
+        r AS (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, n, gram) > 1 AS rep FROM g),
+        i AS (SELECT *, coalesce(s - max(CASE WHEN rep THEN s END) OVER (PARTITION BY doc_id, n ORDER BY s) < n, false) AS inside FROM r),
+        e AS (SELECT doc_id, n, lim, sum(chars) AS word_chars, coalesce(sum(chars) FILTER (inside), 0) AS inside, count(*) FILTER (inside) AS n_inside FROM i GROUP BY ALL),
+        x AS (SELECT doc_id, any_value(word_chars)::BIGINT AS word_chars, max(inside / word_chars / lim) AS gram_share, max(n_inside) FILTER (n = {repetition.WINDOW})::BIGINT AS n_repeat_words FROM e GROUP BY doc_id),
+        a AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+                     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(gram_share, 0)::DOUBLE AS gram_share, coalesce(n_dup_lines / n_lines, 0)::DOUBLE AS line_share, coalesce(dup_chars / chars, 0)::DOUBLE AS line_char_share
+              FROM d LEFT JOIN x USING (doc_id) LEFT JOIN n USING (doc_id))
+        SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_PERCENT} * n_words AS base_failed,
+               NOT base_failed AND gram_share <= 1 AND line_share <= {repetition.LINE_LIMIT} AND line_char_share <= {repetition.LINE_CHAR_LIMIT} AS kept FROM a""",
 }

@@ -21,7 +21,7 @@ SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: n-gram length and the largest share of word characters that may lie in repeated ones.
 GRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
-#: Largest share of lines, and of word characters in lines, that repeat an earlier line.
+#: Largest share of lines, and of the bytes of their words, that repeat an earlier line.
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.50, 0.30
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 
@@ -41,7 +41,7 @@ def repeated(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated_lines(text: bytes) -> tuple[int, int, int, int]:
-    """Lines with a word, those of them equal to an earlier line, and the word characters of both."""
+    """Lines with a word, those of them equal to an earlier line, and the bytes of the words of both."""
     seen: set[bytes] = set()
     n = again = chars = again_chars = 0
     for line in text.split(b"\n"):
