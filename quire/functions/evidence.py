@@ -89,3 +89,38 @@ def describe_agreement(a: Column) -> Column:
     disagree = "The embedded text layer and a fresh OCR pass mostly disagree, so the layer is probably not a faithful copy of the page."
     said = F.when(a >= 0.5, "The embedded text layer and a fresh OCR pass mostly agree.").when(a >= 0.2, "The embedded text layer and a fresh OCR pass partly agree.").otherwise(disagree)
     return F.when(a.isNotNull(), said)
+
+
+# The phrases of the vision check.
+LEGIBILITY = {"clean": "every character is easy to read", "mild_issues": "some characters are harder to read", "hard_to_read": "much of the text is hard to read", "illegible": "the text is illegible", "unsure": "unclear"}
+CAPTURE = {"digital_render": "a digital render, not a photo, scan or fax", "flatbed_scan": "a flatbed scan, not a camera photo or fax", "fax": "a fax", "camera_photo": "a camera photo of a physical page", "screenshot": "a screenshot, not a photo, scan or fax", "unsure": "unclear"}
+HANDWRITING = {"none": "no handwriting", "annotations_only": "a printed page with only handwritten notes, marks or signatures", "fields_filled_by_hand": "a printed form whose fields are filled in by hand", "mostly_handwritten": "mostly handwritten", "unsure": "unclear"}
+DEFECTS = {"photocopy": "photocopy artefacts", "bleed_through": "bleed-through from the reverse side", "curved_page": "curved or warped paper", "heavy_speckle": "heavy speckle", "faded_text": "faded or broken characters"}
+SOFT_DEFECTS = ("photocopy", "bleed_through", "heavy_speckle", "faded_text")
+CONTENT = ("table", "math", "form", "code", "chart", "photo")
+
+
+def describe_vision(capture: Column, legibility: Column, handwriting: Column, defects: Column, content: Column, script: Column) -> Column:
+    """Sentence on a vision check; defects and content are arrays of codes, null capture means that there was none.
+
+    A page that reads as clean keeps only the defects that bend its lines.  Unknown codes stand for themselves.
+    """
+    found = [F.when(F.array_contains(defects, k) & (F.lit(k not in SOFT_DEFECTS) | (legibility != "clean")), F.lit(said)) for k, said in DEFECTS.items()]
+    flags = [F.when(F.array_contains(content, k), F.lit(k)) for k in CONTENT]
+    listed = lambda parts, none: F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit(none))
+    said = F.concat(
+        F.lit("Vision check of the page image: capture looks like "), _named(CAPTURE, capture),
+        F.lit("; legibility: "), _named(LEGIBILITY, legibility),
+        F.lit("; defects that make characters harder to read: "), listed(found, "none"),
+        F.lit("; handwriting: "), _named(HANDWRITING, handwriting),
+        F.lit("; contains "), listed(flags, "plain text only"),
+        F.lit("; main script "), script, F.lit("."),
+    )
+    return F.when(capture.isNull(), "Vision check: unavailable.").otherwise(said)
+
+
+def sentences(said: Column) -> Column:
+    """Array of (topic, text): sentences of evidence; the topic is what stands before a colon, if short."""
+    head = r"^([A-Z][A-Za-z ]{2,28}):\s+(.*)$"
+    parts = F.filter(F.split(said, r"(?<=\.)\s+(?=[A-Z])"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.struct(F.regexp_extract(s, head, 1).alias("topic"), F.when(s.rlike(head), F.regexp_extract(s, head, 2)).otherwise(s).alias("text")))

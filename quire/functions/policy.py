@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,3 +94,13 @@ def rank(lane: Column) -> Column:
 def least_rank(gt: Column) -> Column:
     """Smallest rank in a set of lanes; null if none has one."""
     return F.array_min(F.array_compact(F.transform(gt, rank)))
+
+
+def digest_of(parts: dict, length: int = 16) -> str:
+    """Beginning of the SHA-256 of what decides a result, in canonical JSON; equal digests allow reuse."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:length]
+
+
+def job_id(content: Column, route_key: str) -> Column:
+    """Key of a job by content and configuration: 16 digits of the content's SHA-256 and 8 of the route's key."""
+    return F.concat(F.left(F.sha2(content, 256), F.lit(16)), F.lit("-" + route_key[:8]))

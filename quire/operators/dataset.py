@@ -114,3 +114,46 @@ def round_robin(rows: DataFrame, stratum: str, n: int) -> DataFrame:
     """n rows, the first of every stratum in hash order, then the second, and so on."""
     w = Window.partitionBy(stratum).orderBy(split_rank(F.col("doc_id")), "doc_id")
     return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", stratum).limit(n)
+
+
+def hash_order(ids: Column, salt: str = "split:") -> tuple[Column, Column]:
+    """A stable order for ids, and its parity."""
+    h = F.sha2(F.concat(F.lit(salt), ids), 256)
+    return h, F.conv(F.right(h, F.lit(1)), 16, 10).cast("int") % 2
+
+
+def built_cases(pages: DataFrame, final: DataFrame, variants: DataFrame) -> DataFrame:
+    """Cases id, key, gt, variant: labelled pages (key, id), and variants (id, of, variant) that take their base's truth."""
+    base = pages.join(final.filter(F.size("gt") > 0), "key").select("id", "key", "gt", F.lit(None).cast("string").alias("variant"))
+    made = variants.join(base.select(F.col("id").alias("of"), "key", "gt"), "of").select("id", "key", "gt", "variant")
+    return base.unionByName(made)
+
+
+def repeated_files(cases: DataFrame, other: DataFrame) -> DataFrame:
+    """Digests (column digest) that occur twice among cases or at all in the other set, and which of both it is."""
+    twice = cases.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest", F.lit("twice").alias("why"))
+    shared = cases.join(other.select("digest"), "digest", "left_semi").select("digest").distinct().withColumn("why", F.lit("shared"))
+    return twice.unionByName(shared)
+
+
+def answer_faults(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """batch, image, fault: images without an answer, answers to unknown images, and repeated answers."""
+    key = ["batch", "image"]
+    counted = given.groupBy(*key).agg(F.count("*").alias("n"))
+    both = asked.select(*key).distinct().withColumn("asked", F.lit(True)).join(counted, key, "full")
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("asked").isNull(), "unknown").when(F.col("n") > 1, "repeated")
+    return both.select(*key, fault.alias("fault")).filter("fault is not null")
+
+
+def first_seen(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The first row of each combination of `by`, by an aggregate instead of a sort; all columns stay."""
+    rest = [c for c in rows.columns if c not in by and c != order]
+    best = rows.groupBy(*by).agg(F.min(F.struct(order, *rest)).alias("first"))
+    return best.select(*by, *[F.col(f"first.{c}").alias(c) for c in [order, *rest]]).select(*rows.columns)
+
+
+def release_faults(listed: DataFrame, present: DataFrame) -> DataFrame:
+    """file, fault of listed files (file, digest) that are missing or differ."""
+    found = present.select("file", F.col("digest").alias("found"))
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("digest"), "changed")
+    return listed.join(found, "file", "left").select("file", fault.alias("fault")).filter("fault is not null")

@@ -120,3 +120,73 @@ def backlog(job_states: DataFrame) -> DataFrame:
 def buckets(value: Column, bounds: tuple[float, ...]) -> list[Column]:
     """Counts of a histogram whose buckets hold all values up to their bound, the last one everything."""
     return [F.count_if(value <= b).alias(f"le_{b:g}") for b in bounds] + [F.count(value).alias("le_inf")]
+
+
+#: Milliseconds between the starts of pages when a manifest is played again, and after the last page.  Fixed values.
+PAGE_STAGGER_MS, DONE_AFTER_MS = 140, 40
+STAGES = ("probe", "ocr", "vision", "answers")
+
+
+def timeline(routes: DataFrame) -> DataFrame:
+    """Bars of each page's stages: stage, begin, share of the total in percent (begin_pct, width_pct, 0.6 at least).
+
+    routes: keys and probe, ocr, vision, answers, total in ms, null for a stage that didn't run.
+    Reading by OCR and by vision is parallel; answers end with the total.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = F.greatest(zero("total"), zero("probe") + F.greatest(zero("ocr"), zero("vision")) + zero("answers"), F.lit(1))
+    begin = {"probe": F.lit(0), "ocr": zero("probe"), "vision": zero("probe"), "answers": F.col("whole") - zero("answers")}
+    keys = [c for c in routes.columns if c not in (*STAGES, "total", "ocr_failed")]
+    bars = F.array(*[F.struct(F.lit(k).alias("stage"), begin[k].cast("long").alias("begin"), F.col(k).cast("long").alias("length")) for k in STAGES])
+    r = routes.withColumn("whole", total).select(*keys, "whole", F.explode(bars).alias("bar")).filter("bar.length is not null")
+    return r.select(*keys, "bar.stage", "bar.begin", (F.col("bar.begin") / F.col("whole") * 100).alias("begin_pct"), F.greatest(F.lit(0.6), F.col("bar.length") / F.col("whole") * 100).alias("width_pct"))
+
+
+def replayed(routes: DataFrame) -> DataFrame:
+    """Events doc_id, page, stage, state, at that a stored manifest is played with; page -1 for the document's own.
+
+    routes: doc_id, page, ocr_failed and the columns of timeline().  A page that wasn't probed has its
+    decision alone; one that wasn't read skips OCR and vision.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    start = F.col("page") * PAGE_STAGGER_MS
+    probed, read = start + zero("probe"), F.col("ocr").isNotNull() | F.col("vision").isNotNull()
+    asked = F.greatest(probed + F.greatest(zero("ocr"), zero("vision")), start + zero("total") - zero("answers"))
+    was = F.col("probe").isNotNull()
+    has = lambda c: was & F.col(c).isNotNull()
+    failed = was & read & F.col("ocr").isNull() & F.col("ocr_failed")
+    end = F.when(has("answers"), F.greatest(start + zero("total"), asked + F.col("answers"))).otherwise(start + zero("total"))
+    event = lambda when, stage, state, at: F.when(when, F.struct(F.lit(stage).alias("stage"), F.lit(state).alias("state"), at.cast("long").alias("at")))
+    out = [
+        event(was, "probe", "start", start),
+        event(was, "probe", "done", probed),
+        event(has("ocr"), "ocr", "start", probed),
+        event(has("ocr"), "ocr", "done", probed + zero("ocr")),
+        event(failed, "ocr", "start", probed),
+        event(failed, "ocr", "fail", probed),
+        event(was & F.col("ocr").isNull() & ~failed, "ocr", "skip", probed),
+        event(was & read, "vision", "start", probed),
+        event(has("vision"), "vision", "done", probed + zero("vision")),
+        event(was & read & F.col("vision").isNull(), "vision", "fail", probed),
+        event(was & ~read, "vision", "skip", probed),
+        event(has("answers"), "answers", "start", asked),
+        event(has("answers"), "answers", "done", asked + zero("answers")),
+        event(F.lit(True), "policy", "done", end),
+    ]
+    per_page = routes.select("doc_id", "page", F.explode(F.array_compact(F.array(*out))).alias("e")).select("doc_id", "page", "e.stage", "e.state", "e.at")
+    docs = per_page.groupBy("doc_id").agg(F.max(F.when(F.col("stage") == "policy", F.col("at"))).alias("end"))
+    own = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("start").alias("state"), F.lit(0).cast("long").alias("at")), F.struct(F.lit("done").alias("state"), (F.col("end") + DONE_AFTER_MS).alias("at")))).alias("e"))
+    return per_page.unionByName(own.select("doc_id", F.lit(-1).alias("page"), F.lit("doc").alias("stage"), "e.state", "e.at"))
+
+
+def recorded(events: DataFrame) -> DataFrame:
+    """Events (id, job, name, type) of the newest finished job of each name."""
+    done = events.filter("type = 'job.done'").select("job").distinct()
+    newest = events.filter("type = 'job.queued'").join(done, "job", "left_semi").groupBy("name").agg(F.max_by("job", "id").alias("job"))
+    return events.join(newest.select("job").distinct(), "job", "left_semi")
+
+
+def live(events: DataFrame, now: Column, skew_us: int = 0, window_s: int = 5) -> DataFrame:
+    """type, live, past: events younger than the window by a clock set right by its skew, and others."""
+    age = F.unix_micros(now) + skew_us - F.unix_micros("ts")
+    return events.groupBy("type").agg(F.count_if(age < window_s * 1_000_000).alias("live"), F.count_if(age >= window_s * 1_000_000).alias("past"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.operators.lifecycle import EDGES
 from quire.operators.pages import SCRIPTED
 
+from . import review_oracles
 from .probe_oracles import oracles
 from .queries import KNOTS
 
@@ -147,3 +148,4 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL |= oracles(ANSWERED, MEASURED, CASES, EVENTS)
+ORACLE_SQL |= review_oracles.oracles(PAGES, ANSWERED, CASES, EVENTS, ORACLE_SQL["describe_text"])
