@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.shipping import map_arrow
@@ -31,6 +31,8 @@ from .words import Words, covered, mix, slices
 WIDTH = 20
 GRAM = 8
 FACTOR = "struct<start:int,length:int>"
+#: One document in HINT_SHARE is looked at for anchors with HINT_LEAST rows there, of which HOT at most are dealt over all tasks.
+HINT_SHARE, HINT_LEAST, HOT = 64, 16, 1000
 
 
 def anchors(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +135,26 @@ def _cut(width: int):
     return run
 
 
+def crowded(named: DataFrame, width: int) -> list[int]:
+    """Anchors of very many rows, most frequent first.  They tell where to send rows, never what is found: each occurs HINT_LEAST times at least."""
+    some = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HINT_SHARE)) == 0)
+    n = map_arrow(some, _anchor_rows(width), "anchor long, doc_id long").groupBy("anchor").agg(F.count("*").alias("n"))
+    return [r["anchor"] for r in n.filter(F.col("n") >= HINT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT).collect()]
+
+
+def in_common(found: DataFrame, hot: list[int]) -> DataFrame:
+    """Rows of found (anchor, doc_id) whose anchor occurs twice or more.
+
+    Anchors in `hot` are known to; their rows are dealt over all tasks by document.  All others
+    are counted next to their rows, so that found is made and sent once.
+    """
+    hints = F.broadcast(found.sparkSession.createDataFrame([(a,) for a in hot], "hot long"))  # HOT rows at most
+    tagged = found.join(hints, F.col("anchor") == F.col("hot"), "left")
+    tagged = tagged.select("anchor", "doc_id", F.coalesce(F.when(F.col("hot").isNotNull(), F.xxhash64("doc_id")), F.col("anchor")).alias("place"), F.col("hot").isNotNull().alias("known"))
+    counted = tagged.withColumn("n", F.count("*").over(Window.partitionBy("place", "known")))
+    return counted.filter("known or n > 1").select("anchor", "doc_id")
+
+
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, factors of each row of docs (doc_id, text).
 
@@ -150,8 +172,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     copies = texts.join(first, ["t1", "t2"]).filter("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("copy_of"))
 
     found = map_arrow(named, _anchor_rows(width), "anchor long, doc_id long")
-    common = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    shared = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    shared = in_common(found, crowded(named, width)).groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     shared = shared.join(copies, "doc_id", "left_anti")
 
     blocks = map_arrow(named.join(shared, "doc_id").select("doc_id", "text", "shared"), _block_rows(width), "h1 long, h2 int, doc_id long, start int")

@@ -122,7 +122,7 @@ def test_golay_keys_never_miss():
     assert {r for r, _ in ka & kb} == set(range(500))
 
 
-def test_substring(docs, empty):
+def test_substring(docs, empty, monkeypatch):
     seen, want = set(), {}
     for i, t in sorted(rows()):
         w = WORD.findall(t)
@@ -134,6 +134,10 @@ def test_substring(docs, empty):
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup(docs).collect()}
     assert got == want and substring.dedup(empty).count() == 0
+    monkeypatch.setattr(substring, "HINT_SHARE", 1)
+    monkeypatch.setattr(substring, "HINT_LEAST", 3)
+    assert substring.crowded(docs.select("doc_id", "text"), 20)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup(docs).collect()} == want
     cut = substring.without_repeats(docs)
     assert cut.columns == docs.columns and cut.filter("n_chars <> length(text)").count() == 0
 
