@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.shipping import map_arrow
 
+from . import near
 from .common import checkpoint
 from .words import mix
 
@@ -286,6 +287,19 @@ def print_hex(column: str = "print") -> Column:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Rows of docs without those whose group has a smaller doc_id; a null doc_id or a text without a word stays."""
-    gone = near_groups(docs.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()), shingle)
-    return docs.join(gone.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The first row of each group of docs; a null doc_id or a text without a word stays.
+
+    Groups are connected by texts with Jaccard 0.8 or more over their shingles, all of which
+    are found (near.py).  First is the least doc_id, then the least hash of the text; of
+    rows equal in both one stays.
+    """
+    keyed = near.with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()))
+    rows = checkpoint(near.groups(keyed.select(*near.KEY, "text"), shingle, fingerprint, print_links, components))
+    counted = rows.groupBy("group", *near.KEY).agg(F.count("*").alias("copies"))
+    first = counted.groupBy("group").agg(F.min(F.struct(*near.KEY)).alias("first"))
+    marked = counted.join(first, "group").withColumn("is_first", F.struct(*near.KEY) == F.col("first")).filter("not is_first or copies > 1")
+    marked = checkpoint(marked.select(F.col("doc_id").alias("k0"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "is_first"))
+    named, same = near.with_key(docs, "t1", "t2"), (F.col("doc_id").cast("long") == F.col("k0")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
+    alone = named.join(marked, same, "left_anti").select(*docs.columns)
+    repeated = named.join(marked.filter("is_first"), same, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return alone.unionByName(repeated.select(*docs.columns))

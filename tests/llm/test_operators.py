@@ -122,6 +122,42 @@ def test_golay_keys_never_miss():
     assert {r for r, _ in ka & kb} == set(range(500))
 
 
+def shingle_set(t: str, k: int = 5) -> frozenset:
+    w = WORD.findall(t.translate(ASCII))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)) if w)
+
+
+def test_near_dedup_finds_every_alike_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(900)]
+    passage = [rng.choice(words) for _ in range(60)]
+    made = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 30, 120, 300]))] + (passage if i % 3 == 0 else [])
+        made.append(base)
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            made.append(copy)
+    hub = [rng.choice(words) for _ in range(100)]
+    made += [hub[:p] + [rng.choice(words)] + hub[p + 1 :] for p in range(0, 100, 2)]
+    texts = [" ".join(t) for t in made]
+    rng.shuffle(texts)
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            both = len(sets[a] & sets[b])
+            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(set(root))
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame).collect()) == want and len(want) < len(texts) - 40
+    monkeypatch.setattr(simhash.near, "SAMPLE_SHARE", 1)
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame).collect()) == want
+
+
 def test_substring(docs, empty, monkeypatch):
     seen, want = set(), {}
     for i, t in sorted(rows()):
