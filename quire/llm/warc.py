@@ -27,11 +27,16 @@ EPOCH = "2024-01-01T00:00:00Z"
 Headers = list[tuple[str, str]]
 
 _DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)")
-_BLOCK = re.compile(r"(?is)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|title|head|body|html|figure|option)\b[^<>]{0,2000}>")
-_TAG = re.compile(r"""(?s)</?[a-zA-Z!?](?:[^<>"']|"[^"]{0,2000}"|'[^']{0,2000}'){0,2000}>""")
-_TITLE = re.compile(r"(?is)<title\b[^>]{0,2000}>(.*?)(?:</title\s*>|\Z)")
-_LANG = re.compile(r"(?is)<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([a-zA-Z-]{1,35})")
-_LINK = re.compile(r"(?is)<a\b[^<>]{0,2000}?\bhref\s*=\s*(?:\"([^\"]{0,2000})\"|'([^']{0,2000})'|([^\s\"'<>]{1,2000}))")
+#: The inside of a tag; quotes hold a value only behind =, elsewhere they are characters like others.
+_PIECE = r"""(?:[^<>"'=]|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])"""
+_BLOCK = re.compile(rf"(?is)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|title|head|body|html|figure|option)\b{_PIECE}*+(>)?")
+_TAG = re.compile(rf"(?s)</?[a-zA-Z!?]{_PIECE}*+(>)?")
+_TITLE = re.compile(rf"(?is)<title\b{_PIECE}*+(>)?")
+_TITLE_END = re.compile(r"(?i)</title\s*>")
+_HTML = re.compile(rf"(?is)<html\b({_PIECE}*+)")
+_LANG = re.compile(rf"(?is){_PIECE}*?\blang\s*=\s*[\"']?([a-zA-Z-]{{1,35}})")
+_A = re.compile(rf"(?is)<a\b({_PIECE}*+)")
+_HREF = re.compile(rf"(?is){_PIECE}*?\bhref\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++))")
 
 
 def digest(data: bytes) -> str:
@@ -112,10 +117,27 @@ def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
 def plain_text(page: str) -> str:
     """Text of an HTML page: scripts, styles and comments go, block tags end lines, entities are resolved."""
     text = _DROPPED.sub(" ", page)
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", text)))
+    # what begins a tag and has no end stays, and is passed as a whole, so that time follows the length
+    text = html.unescape(_TAG.sub(lambda m: "" if m[1] else m[0], _BLOCK.sub(lambda m: "\n" if m[1] else m[0], text)))
     return "\n".join(x for line in text.split("\n") if (x := " ".join(line.split())))
 
 
+def page_title(page: str) -> str | None:
+    at = next((m.end() for m in _TITLE.finditer(page) if m[1]), None)
+    if at is None:
+        return None
+    end = _TITLE_END.search(page, at)
+    return page[at : end.start()] if end else page[at:]
+
+
+def page_language(page: str) -> str | None:
+    return next((found[1] for m in _HTML.finditer(page) if (found := _LANG.match(m[1]))), None)
+
+
+def page_links(page: str) -> list[str]:
+    return [found[1] or found[2] or found[3] or "" for m in _A.finditer(page) if (found := _HREF.match(m[1]))]
+
+
 def decoded(payload: bytes, headers: Headers) -> tuple[str, str]:
     """Text and character set of a payload."""
     said = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", header(headers, "Content-Type") or "", re.I) or re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", payload[:2048].decode("latin-1"), re.I)
@@ -135,11 +157,11 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     page, charset = decoded(payload, http)
     is_html = "html" in (header(http, "Content-Type") or "html").lower()
     text = plain_text(page) if is_html else page
-    title = _TITLE.search(page) if is_html else None
-    lang = _LANG.search(page) if is_html else None
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)] if is_html else []
+    title = page_title(page) if is_html else None
+    lang = page_language(page) if is_html else None
+    links = [html.unescape(x) for x in page_links(page)] if is_html else []
     one_line = lambda x: " ".join(x.split())
-    fields = [("http-status", status), ("charset", charset), ("title", one_line(html.unescape(title[1])) if title else None), ("language", lang[1] if lang else None)]
+    fields = [("http-status", status), ("charset", charset), ("title", one_line(html.unescape(title)) if title is not None else None), ("language", lang)]
     fields += [("source-payload-digest", header(headers, "WARC-Payload-Digest") or digest(payload)), ("source-block-digest", header(headers, "WARC-Block-Digest") or digest(block)), ("text-digest", digest(text.encode())), ("text-chars", str(len(text)))]
     fields += [("source-warc-header", f"{k}: {one_line(v)}") for k, v in headers] + [("source-http-header", f"{k}: {one_line(v)}") for k, v in http]
     fields += [("outlink", one_line(x)) for x in links]

@@ -61,6 +61,16 @@ def test_warc(spark):
     assert warc.derivatives(records).count() == 2 and warc.derivatives(pages.filter("false")).count() == 0
 
 
+def test_warc_long_attributes():
+    long = "x" * 2500
+    page = f"<html data-j='{{\"k\": \">{long}\"}}' lang=de><title class={long}>T</title><p>a<img src=\"data:{long}\">b</p><div style='{long}>'>c</div><svg><path d={long}></svg>"
+    page += f"<a title=\"{long}>\" href=\"/q{long}\">d</a><a href='/s{long}'>e</a><a href=/u{long}>f</a><i title=it's>g</i>" + f"<b {'k=1 ' * 2500}>h</b>"
+    (_, meta), (_, text) = warc.derive(*warc.response("1", "http://a.b/", page))
+    assert text.decode().split("\n") == ["T", "ab", "c", "defgh"]
+    lines = meta.decode().split("\r\n")
+    assert [x for x in lines if x.startswith("outlink")] == [f"outlink: /{k}{long}" for k in "qsu"] and "language: de" in lines and "title: T" in lines
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).toPandas()
     sizes = {i: len(WORD.findall(t)) for i, t in rows()}
