@@ -25,7 +25,6 @@ from .words import Words, mix, slices
 
 #: Labelled rows that the text model is fitted on, at most; those with the smallest hashes of doc_id.
 SAMPLE = 20_000
-BUCKETS = 1 << 20
 #: Beginnings of words, in bytes, that count as words of their own kind.
 PREFIXES = (4, 5, 6, 8)
 #: A word counts as evidence from so many labelled documents and standard deviations on.
@@ -40,10 +39,10 @@ _ONE = {k: np.isin(np.arange(256), list(v)) for k, v in {"symbol": b"#*$%&|<>",
 _PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
-def word_buckets(w: Words) -> np.ndarray:
-    """Buckets of each word, a row for the whole and one for each length of its beginning.
+def word_keys(w: Words) -> np.ndarray:
+    """64-bit hashes of each word, a row for the whole and one for each length of its beginning.
 
-    A-Z are lower-cased and punctuation at the ends is left out; a short word has its own bucket again.
+    A-Z are lower-cased and punctuation at the ends is left out; a short word has its own key again.
     """
     starts, ends = w.starts.copy(), w.ends.copy()
     for _ in range(3):
@@ -55,20 +54,42 @@ def word_buckets(w: Words) -> np.ndarray:
     for k in PREFIXES:
         bare.ends = np.minimum(ends, starts + k)
         rows.append(np.where(ends - starts > k, mix(bare.hashes(table=_LOWER) ^ np.uint64(k)), rows[0]))
-    return (np.stack(rows) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.stack(rows)
 
 
-def distinct(w: Words, buckets: np.ndarray) -> np.ndarray:
-    """Text and bucket, as one number, of each pair that occurs."""
-    return np.unique((w.doc.astype(np.int64) * BUCKETS)[None, :] + buckets)
+def distinct(w: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and key of each pair that occurs."""
+    doc, key = np.broadcast_to(w.doc, keys.shape).ravel(), keys.ravel()
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    return doc[new], key[new]
 
 
-def shape(w: Words, buckets: np.ndarray) -> np.ndarray:
+class Lexicon:
+    """Keys that count as evidence and a row of weights for each target."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.weights = keys[order], weights[:, order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys (flat) are listed, and as which.  16 bits rule most out; the whole key decides."""
+        may = np.zeros(1 << 16, dtype=bool)
+        may[self.keys & np.uint64(0xFFFF)] = True
+        at = np.flatnonzero(may[keys & np.uint64(0xFFFF)])
+        which = np.searchsorted(self.keys, keys[at])
+        same = self.keys[np.minimum(which, len(self.keys) - 1)] == keys[at] if len(self.keys) else np.zeros(0, dtype=bool)
+        return at[same], which[same]
+
+
+def shape(w: Words, keys: np.ndarray) -> np.ndarray:
     """Bins of a text's shape, one-hot."""
     n = np.diff(w.first)
     chars = np.maximum(w.sums(w.word), 1)
     letters = np.maximum(w.sums(_ONE["letter"][w.data]), 1)
-    kinds = np.bincount(distinct(w, buckets[:1]) // BUCKETS, minlength=len(n))
+    kinds = np.bincount(distinct(w, keys[:1])[0], minlength=len(n))
     values = [w.sums(_ONE[k][w.data]) / (letters if k == "upper" else chars) for k in ("symbol", "upper", "digit", "shout", "stop")]
     values += [1 - kinds / np.maximum(n, 1), np.minimum(n / 400, 1), np.minimum(chars / np.maximum(n, 1) / 16, 1)]
     out = np.zeros((len(n), len(values) * len(EDGES)))
@@ -78,30 +99,27 @@ def shape(w: Words, buckets: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each word, and those of them with each label."""
-    total = np.zeros((BUCKETS, 1 + len(TARGETS)), dtype=np.int64)
+    """Documents with each key, and those of them with each label, by slice."""
     for batch in batches:
         labels = np.stack([batch.column(t).to_numpy(zero_copy_only=False) for t in TARGETS], axis=1).astype(np.int64)
         for i, _, w in slices(batch.column("text")):
-            seen = distinct(w, word_buckets(w))
-            bucket, of = seen % BUCKETS, labels[i:][seen // BUCKETS]
-            total[:, 0] += np.bincount(bucket, minlength=BUCKETS)
-            for k in range(len(TARGETS)):
-                total[:, 1 + k] += np.bincount(bucket, weights=of[:, k], minlength=BUCKETS).astype(np.int64)
-    at = np.flatnonzero(total[:, 0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, k]) for k in range(1 + len(TARGETS))]], names=["bucket", "n", *TARGETS])
+            doc, key = distinct(w, word_keys(w))
+            one, of = np.unique(key, return_inverse=True)
+            counts = [np.bincount(of, minlength=len(one)), *[np.bincount(of, weights=labels[i:][doc][:, k], minlength=len(one)).astype(np.int64) for k in range(len(TARGETS))]]
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), *[pa.array(c) for c in counts]], names=["key", "n", *TARGETS])
 
 
-def features(w: Words, lexicon: np.ndarray) -> np.ndarray:
+def features(w: Words, lexicon: Lexicon) -> np.ndarray:
     """Shape, and for each target the evidence of the text's distinct listed words, as sum and as strongest."""
-    buckets = word_buckets(w)
-    out = [shape(w, buckets)]
-    listed = lexicon.any(axis=0)[buckets]
-    seen = np.unique(np.broadcast_to(w.doc.astype(np.int64) * BUCKETS, buckets.shape)[listed] + buckets[listed])
-    for row in lexicon:
+    keys = word_keys(w)
+    out = [shape(w, keys)]
+    at, which = lexicon.find(keys.ravel())
+    size = max(1, len(lexicon.keys))
+    seen = np.unique(w.doc.astype(np.int64)[at % max(1, len(w))] * size + which)
+    for row in lexicon.weights:
         total, top = np.zeros(len(w.first) - 1), np.zeros(len(w.first) - 1)
-        np.add.at(total, seen // BUCKETS, row[seen % BUCKETS])
-        np.maximum.at(top, seen // BUCKETS, row[seen % BUCKETS])
+        np.add.at(total, seen // size, row[seen % size])
+        np.maximum.at(top, seen // size, row[seen % size])
         out.append(np.stack([np.clip(total, -6, 6), top], axis=1))
     return np.concatenate(out, axis=1)
 
@@ -120,26 +138,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Word weights (a row for each target) and logistic weights (likewise).
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
+    """Word weights and logistic weights (a row for each target).
 
     labels: doc_id, quality, toxic; rows without them don't count, and with none of either
-    kind the model falls back to a flat one.  Only counts by word and the sample's feature rows, both bounded,
+    kind the model falls back to a flat one.  Only listed words and the sample's feature rows, both bounded,
     reach the driver.
     """
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     chosen = known.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *TARGETS)
-    counted = map_arrow(rows, _counts, "bucket long, n long, " + ", ".join(f"{t} long" for t in TARGETS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).filter(F.col("n") >= LEAST_DOCS).collect()
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
-    lexicon = np.zeros((len(TARGETS), BUCKETS))
-    if counted:
-        bucket, n = np.array([r["bucket"] for r in counted]), np.array([r["n"] for r in counted], dtype=float)
-        for k, t in enumerate(TARGETS):
-            hits, rate = np.array([r[t] for r in counted], dtype=float), (total[t] + 0.5) / (total["n"] + 1)
-            z = (hits - n * rate) / np.sqrt(n * rate * (1 - rate))
-            own = np.clip((hits + rate) / (n + 1), 1e-3, 1 - 1e-3)
-            lexicon[k, bucket] = np.where(np.abs(z) >= LEAST_Z, np.log(own / (1 - own)) - np.log(rate / (1 - rate)), 0)
+    rates = [(total[t] + 0.5) / (total["n"] + 1) for t in TARGETS]
+    counted = map_arrow(rows, _counts, "key long, n long, " + ", ".join(f"{t} long" for t in TARGETS)).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)])
+    far = [F.abs(F.col(t) - F.col("n") * rate) >= LEAST_Z * F.sqrt(F.col("n") * rate * (1 - rate)) for t, rate in zip(TARGETS, rates, strict=True)]
+    listed = counted.filter(F.col("n") >= LEAST_DOCS).filter(far[0] | far[1]).collect()
+    n, values = np.array([r["n"] for r in listed], dtype=float), []
+    for t, rate in zip(TARGETS, rates, strict=True):
+        hits = np.array([r[t] for r in listed], dtype=float)
+        own = np.clip((hits + rate) / (n + 1), 1e-3, 1 - 1e-3)
+        values.append(np.where(np.abs(hits - n * rate) >= LEAST_Z * np.sqrt(n * rate * (1 - rate)), np.log(own / (1 - own)) - np.log(rate / (1 - rate)), 0))
+    lexicon = Lexicon(np.array([r["key"] for r in listed], dtype=np.int64).view(np.uint64), np.stack(values))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,18 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return lexicon, np.stack(weights)
 
 
-def evidence(docs: DataFrame, lexicon: np.ndarray, weights: np.ndarray, host: Column, path: Column) -> DataFrame:
+def evidence(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, and logit_low and logit_toxic of each row of docs by its text alone."""
-    at = [np.flatnonzero(row) for row in lexicon]
-    listed = [(i, row[i]) for i, row in zip(at, lexicon, strict=True)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros((len(listed), BUCKETS))
-        for row, (i, v) in zip(words, listed, strict=True):
-            row[i] = v
         for batch in batches:
             for i, j, w in slices(batch.column("text")):
-                logits = np.clip(features(w, words) @ weights[:, :-1].T + weights[:, -1], -12, 12)
+                logits = np.clip(features(w, lexicon) @ weights[:, :-1].T + weights[:, -1], -12, 12)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("doc_id", "host", "path")], *[pa.array(np.round(logits[:, k], 6)) for k in range(len(TARGETS))]], names=["doc_id", "host", "path", *[f"logit_{t}" for t in TARGETS]])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))

@@ -285,6 +285,22 @@ def test_quality(spark, empty):
     assert kept.columns == frame.columns and 300 < kept.count() < 600 and quality.classify(frame.filter("false"), frame).count() == 0
 
 
+def test_quality_looks_words_up_exactly(spark):
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"zxqvjkwy", dtype=np.uint8)
+    data = np.concatenate([letters[rng.integers(0, 8, (4_000_000, 8))], np.full((4_000_000, 1), 32, dtype=np.uint8)], axis=1)
+    low = lambda d: quality.Words(d.ravel(), np.array([0, d.size])).hashes() & np.uint64((1 << 20) - 1)
+    vile = low(np.frombuffer(b"vilename ", dtype=np.uint8)[None, :])[0]
+    same = low(data) == vile
+    alike, other = data[same][0].tobytes().decode().strip(), data[~same][0].tobytes().decode().strip()
+    body = " ".join("".join(x) for x in rng.choice(list("etaoinshr"), (40, 5)))
+    made = [(i, body + (" vilename" if i % 4 == 0 else " plainest"), "en", "s", 1, int(i % 4 == 0)) for i in range(400)]
+    made += [(1000, f"{body} {alike}", "en", "s", None, None), (1001, f"{body} {other}", "en", "s", None, None)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, quality int, toxic int")
+    got = {r.doc_id: r.p_toxic for r in quality.classify(frame, frame.select("doc_id", "quality", "toxic")).collect()}
+    assert got[1000] == got[1001] < 0.5 < got[0]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
