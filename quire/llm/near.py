@@ -13,6 +13,8 @@ work; after that only pairs that aren't in one group yet.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,17 +25,27 @@ from pyspark.sql import functions as F
 
 from quire.shipping import map_arrow
 
-from .common import checkpoint, wide_hash
+from .common import wide_hash
 from .words import Words, slices
 
 LEAST_OF, LEAST_IN = 4, 5
 #: One text in SAMPLE_SHARE is looked at for shingles with SAMPLE_LEAST rows there, of which COMMON at most come last.
 SAMPLE_SHARE, SAMPLE_LEAST, COMMON = 64, 3, 20_000
+#: So many ids, of a few bytes each, are sent to all executors at most.
+BROADCAST = 100_000
 KEY = ["doc_id", "h1", "h2"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the folder all executors share, compressed, and read again."""
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-near-")) + f"/near-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of each text's distinct shingles, sorted; a text with fewer words is one shingle."""
     hashes, n = w.hashes(table=_LOWER), np.diff(w.first)
@@ -51,6 +63,14 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
+def bitmaps(doc: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    """512 bits for each text, those set that its shingles fall on."""
+    out = np.zeros((n, 512), dtype=np.uint8)
+    out[doc, (value >> np.uint64(55)).astype(np.int64)] = 1
+    packed = np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 8), pa.array(packed))
+
+
 def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(value.view(np.int64)))
 
@@ -78,8 +98,8 @@ def _described(size: int, common: np.ndarray, level: np.ndarray, fingerprint: Ca
                 first = np.searchsorted(doc, np.arange(j - i + 1))
                 sets = np.array([xxhash.xxh64_intdigest(value[a:b].tobytes()) for a, b in zip(first, first[1:])], dtype=np.uint64)
                 prints = fingerprint(part.column("text").cast(pa.large_binary()).to_pylist(), size)
-                made = [pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), beginnings(doc, value, j - i, common, level)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in KEY], *made], names=[*KEY, "print", "sid", "n", "beginning"])
+                made = [pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), beginnings(doc, value, j - i, common, level), bitmaps(doc, value, j - i)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in KEY], *made], names=[*KEY, "print", "sid", "n", "beginning", "bits"])
 
     return run
 
@@ -118,11 +138,29 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are alike, by their whole sets."""
+def _most_shared(a: str, b: str) -> Column:
+    """At most so many items are shared: each bit that only one set has stands for an item that the other lacks."""
+    only = lambda x, y: sum(F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(8))
+    return F.least(F.col(f"n_{a}") - only(a, b), F.col(f"n_{b}") - only(b, a))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) that are alike, by their whole sets, which are made of the texts that pairs name.
+
+    Pairs that the bitmaps of texts (sid, n, bits) rule out for certain aren't looked at.
+    """
+    x, y = (texts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    pairs = pairs.filter("a <> b").distinct().join(x, "a").join(y, "b")
+    pairs = stored(pairs.filter(_alike(_most_shared("a", "b"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    few = ids.count() <= BROADCAST
+    small = F.broadcast if few else lambda df: df
+    where = places.join(small(ids), "sid").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("key")).select("sid", *[F.col(f"key.{c}").alias(c) for c in KEY])
+    where = stored(where)
+    sets = stored(map_arrow(docs.join(small(where), KEY).select("sid", "text"), _sets(size), "sid long, items array<long>").dropDuplicates(["sid"]))
     a, b = (sets.select(F.col("sid").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    return checkpoint(both.filter(_alike(F.size(F.array_intersect("items_a", "items_b")), F.size("items_a"), F.size("items_b"))).select("a", "b"))
+    return stored(both.filter(_alike(F.size(F.array_intersect("items_a", "items_b")), F.size("items_a"), F.size("items_b"))).select("a", "b"))
 
 
 def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -135,33 +173,30 @@ def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Callable, components: Callable) -> DataFrame:
     """doc_id, h1, h2, group of each row of docs (doc_id, h1, h2, text with a word): equal groups are connected by alike texts."""
     common, level = common_shingles(docs, size)
-    rows = checkpoint(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>"))
+    rows = stored(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits array<long>"))
+    places = rows.select("sid", *KEY)
+
+    texts = stored(rows.select("sid", "n", "beginning", "bits").dropDuplicates(["sid"]))
 
-    listed = rows.dropDuplicates(["sid"]).select("sid", "n", F.posexplode("beginning").alias("pos", "item"))
-    listed = checkpoint(listed.withColumn("m", F.count("*").over(Window.partitionBy("item"))).filter("m > 1").drop("m"))
+    listed = texts.select("sid", "n", F.posexplode("beginning").alias("pos", "item"))
+    listed = stored(listed.withColumn("m", F.count("*").over(Window.partitionBy("item"))).filter("m > 1").drop("m"))
 
     of_print = rows.select("print", "sid").distinct()
     least = of_print.groupBy("print").agg(F.min("sid").alias("least"))
     near = print_links(least.select("print")).join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
     near = near.select(*_ordered("x", "y")).unionByName(of_print.join(least, "print").select(*_ordered("sid", "least")))
-    near = checkpoint(near.filter("a <> b").distinct())
-
-    wanted = listed.select("sid").unionByName(near.select(F.col("a").alias("sid"))).unionByName(near.select(F.col("b").alias("sid"))).distinct()
-    where = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("key")).select("sid", *[F.col(f"key.{c}").alias(c) for c in KEY])
-    sets = checkpoint(map_arrow(docs.join(where, KEY).select("sid", "text"), _sets(size), "sid long, items array<long>").dropDuplicates(["sid"]))
-
-    links = verified(near, sets)
-    left = checkpoint(_with_root(listed, components(links)))
+    links = verified(near, docs, texts, places, size)
+    left = stored(_with_root(listed, components(links)))
     one = left.groupBy("item").agg(F.min_by(F.struct("sid", "n", "pos", "root"), F.xxhash64("sid")).alias("one")).select("item", "one.*")
     star = left.alias("x").join(one.alias("y"), "item").filter((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
-    links = links.unionByName(verified(star.select(*_ordered("x.sid", "y.sid")).distinct(), sets))
+    links = links.unionByName(verified(star.select(*_ordered("x.sid", "y.sid")), docs, texts, places, size))
 
-    left = checkpoint(_with_root(listed, components(links)))
+    left = stored(_with_root(listed, components(links)))
     roots = left.select("item", "root").distinct()
     across = roots.alias("x").join(roots.alias("y"), "item").filter("x.root < y.root").select("item", F.col("x.root").alias("x_root"), F.col("y.root").alias("y_root"))
     x, y = across.join(left.withColumnRenamed("root", "x_root").alias("x"), ["item", "x_root"]), left.withColumnRenamed("root", "y_root").alias("y")
     rest = x.join(y, ["item", "y_root"]).filter(_may_be("x", "y"))
-    links = links.unionByName(verified(rest.select(*_ordered("x.sid", "y.sid")).distinct(), sets))
+    links = links.unionByName(verified(rest.select(*_ordered("x.sid", "y.sid")), docs, texts, places, size))
 
     found = components(links).select(F.col("node").alias("sid"), F.col("root").alias("group"))
     return rows.select(*KEY, "sid").join(found, "sid", "left").select(*KEY, F.coalesce("group", "sid").alias("group"))
