@@ -158,7 +158,7 @@ def run_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("a.lane") == F.col("b.lane")).alias("same"), F.sum(F.round(F.abs(F.col("a.p") - F.col("b.p")) * 1_000_000).cast("long")).alias("moved_micro"))
 
 
-def bootstrap(rows: DataFrame, resamples: int = 200, seed: int = 3) -> DataFrame:
+def bootstrap(rows: DataFrame, resamples: int = 1000, seed: int = 3) -> DataFrame:
     """Percentile interval of the mean of ok over resamples of whole rows.
 
     Row i counts in resample k as often as a Poisson(1) draw made from their hash, so no row is

@@ -174,3 +174,8 @@ def test_first_valid_answer_and_its_cost(spark):
     rows = [(1, 0, "no", 5), (1, 1, '[{"code": "simple", "why": " a  b"}]', 7), (1, 2, '{"code": "complex", "why": "c"}', 9), (2, 0, None, 1), (2, 1, '[{"code": "simple"}, 1]', 2), (2, 2, '"simple"', 3)]
     a = spark.createDataFrame(rows, "key int, attempt int, content string, cost int")
     assert sorted(tuple(r) for r in answers.first_valid(a, ("simple", "complex")).collect()) == [(1, "simple", "a b", 12), (2, None, "", 6)]
+
+
+def test_bootstrap_resamples_as_often_as_the_reference(spark):
+    got = evaluate.bootstrap(spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, ok int")).first()
+    assert got.resamples == 1000 and 0 < got.low < got.high < 1
