@@ -7,13 +7,12 @@ but the last keep the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import mixing, quality, simhash, spm, substring
-from quire.llm.common import table
+from quire.llm.common import shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents.  Each but the last is written to the folder named in spark.checkpoint.dir and read again."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-pipeline-")) + f"/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

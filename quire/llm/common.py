@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the folder all executors share and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    The folder is the one the cluster names in spark.checkpoint.dir.  Only where that is
-    unset (tests on one machine) a temporary folder is used.
+    Only a session on one machine (as in tests) gets a temporary folder where that is unset.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="quire-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and cut its lineage there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one operator's run in the shared folder, compressed; drop() deletes them.
+
+    Drop them only when what came of them is itself written, since lost work is made again from here.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df written and read again."""
+        at = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, wide_hash
 
-#: Rows of a bucket of consecutive doc_ids; a bucket's text is sorted in one task.
-ROWS_PER_BUCKET = 1024
+#: Rows that a range of doc_ids should hold, whose texts are sorted in one task; and ranges of one level at most.
+ROWS_PER_BUCKET, PARTS = 1024, 1024
 #: Shared digests are broadcast only below this number (40 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -36,24 +36,55 @@ def digest(form: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in wide_hash(form)]))
 
 
+def _quantiles(n: int) -> Column:
+    """The doc_ids that cut rows into n parts of about equal size."""
+    return F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)
+
+
+def _part(cuts: Column, doc_id: Column, most: int) -> Column:
+    """How many of the ascending cuts aren't above doc_id, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.try_element_at(cuts, at + step) <= doc_id, at + step).otherwise(at))
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id long, text) with order (within one doc_id) and bucket: ranges of doc_id in ascending order.
+
+    Ranges are cut at quantiles of doc_id, whatever its gaps are: at most PARTS, and each of those again at most PARTS
+    if there are rows for it.  Rows without doc_id come first, in order of a hash of their text, and are cut evenly by it.
+    """
+    n, nulls = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    first = min(PARTS, max(1, -(-n // ROWS_PER_BUCKET)))
+    cuts = docs.agg(_quantiles(first).alias("cuts")).first()["cuts"] if first > 1 else None
+    order = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 1)).otherwise(F.lit(0).cast("long"))
+    outer = _part(F.array(*map(F.lit, cuts)), F.col("doc_id"), PARTS) if cuts else F.lit(0)
+    rows = docs.select("doc_id", "text", order.alias("order"), outer.alias("outer"))
+    inner = min(PARTS, -(-n // (first * ROWS_PER_BUCKET)))
+    if inner > 1:  # PARTS * PARTS longs at most
+        finer = rows.filter("doc_id is not null").groupBy("outer").agg(_quantiles(inner).alias("cuts"))
+        rows = rows.join(F.broadcast(finer), "outer", "left").withColumn("inner", _part(F.col("cuts"), F.col("doc_id"), PARTS))
+    else:
+        rows = rows.withColumn("inner", F.lit(0))
+    bits = min(20, max(0, math.ceil(math.log2(max(1, nulls / ROWS_PER_BUCKET)))))
+    of_null = F.shiftright("order", 63 - bits) - (1 << 20) if bits else F.lit(-1).cast("long")
+    bucket = F.when(F.col("doc_id").isNull(), of_null).otherwise((F.col("outer") * (2 * PARTS) + F.col("inner")).cast("long"))
+    return rows.select("doc_id", "text", "order", bucket.alias("bucket"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row of docs (doc_id, text; no null text) with next_text: that of the next row by doc_id.
 
     After the last row comes the first.  Equal doc_ids follow each other in order of text.
-    Consecutive ids are bucketed by a shift, so a bucket has a bounded span of ids whatever
-    their gaps; each bucket's last row takes its text from the first row of the next bucket
-    that has rows, found on two levels of bucket numbers.
+    Each range's last row takes its text from the first row of the next range that has rows,
+    found on two levels of bucket numbers.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    shift = max(0, math.ceil(math.log2((hi - lo + 1) / max(1, n / ROWS_PER_BUCKET)))) if n and hi is not None else 0
-    bucket = F.coalesce(F.shiftright(F.col("doc_id") - F.lit(lo or 0), shift), F.lit(-1).cast("long"))
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy("doc_id", "text")
+    rows = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    w = Window.partitionBy("bucket").orderBy("doc_id", "order", "text")
     inside = rows.select("doc_id", "text", "bucket", F.lead("text").over(w).alias("lead"))
     heads = rows.withColumn("k", F.row_number().over(w)).filter("k = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
     buckets = rows.select("bucket").distinct().withColumn("super", F.shiftright("bucket", 10))
     following = buckets.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("super").orderBy("bucket")))
-    # one row for about a million documents
+    # one row for about a thousand buckets: a few thousand rows at most
     supers = buckets.groupBy("super").agg(F.min("bucket").alias("first"))
     whole = Window.partitionBy().orderBy("super")
     first = F.first("first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

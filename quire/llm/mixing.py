@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import WORD, checkpoint, n_words
 
 #: Rows that one range of a source should hold.
 ROWS_PER_RANGE = 8000
@@ -65,6 +65,8 @@ def mix(docs: DataFrame, weight=cycle_weights, share: float = 1.0, most: int = 3
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), *keep, (n_words(F.col("text")) if size is None else size).alias("size"))
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    if not keep:  # narrow rows: words are counted once
+        rows = checkpoint(rows)
     most_rows = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(1, most_rows / ROWS_PER_RANGE), 16)))
     rows = rows.withColumn("range", F.substring("key", 1, digits))
@@ -85,15 +87,27 @@ def mix(docs: DataFrame, weight=cycle_weights, share: float = 1.0, most: int = 3
     return joined.select("doc_id", "source", *keep, "size", "source_size", "target", (whole * F.col("size") + cut).alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of text, joined by blanks."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), n), " ")
+
+
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: rows of docs, as often as the mix takes them.
+    """The mixed corpus itself: rows of docs, as often as the mix takes them.  All columns of docs stay.
 
-    The row in which a budget ends counts as taken whole if at least half of it is; rows that
-    are not taken are gone.  Rows without a word cost no budget and stay once.  All columns of docs stay.
+    Each source is cut at its exact budget: the row in which that ends has its last copy cut to the words that are left
+    (joined by blanks, with n_chars counted anew where docs has it).  Rows that are not taken are gone; rows without a word
+    cost no budget and stay once.
     """
-    columns = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    named = docs.select("doc_id", "source", F.struct("text", *columns).alias("row"))
-    mixed = mix(named, size=n_words(F.col("row.text")), keep=("row",), **options)
-    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1).cast("int")
+    columns = [c for c in docs.columns if c not in ("doc_id", "source")]
+    named = docs.select("doc_id", "source", F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    mixed = mix(named, size=n_words(F.col("text")), keep=("row",), **options)
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     copies = mixed.withColumn("times", times).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*[c if c in ("doc_id", "source") else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    left = (F.col("taken") - (F.col("epoch") - 1) * F.col("size")).cast("int")
+    cut = (F.col("size") > 0) & (left < F.col("size"))
+    copies = copies.withColumns({"cut": cut, "kept": F.when(cut, first_words(F.col("row.text"), left))})
+    made = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.when(F.col("cut"), F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in columns:
+        made["n_chars"] = F.when(F.col("cut"), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return copies.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -13,8 +13,6 @@ work; after that only pairs that aren't in one group yet.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.shipping import map_arrow
 
-from .common import wide_hash
+from .common import Scratch, wide_hash
 from .words import Words, slices
 
 LEAST_OF, LEAST_IN = 4, 5
@@ -38,14 +36,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder all executors share, compressed, and read again."""
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-near-")) + f"/near-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of each text's distinct shingles, sorted; a text with fewer words is one shingle."""
     hashes, n = w.hashes(table=_LOWER), np.diff(w.first)
@@ -144,23 +134,22 @@ def _most_shared(a: str, b: str) -> Column:
     return F.least(F.col(f"n_{a}") - only(a, b), F.col(f"n_{b}") - only(b, a))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, places: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that are alike, by their whole sets, which are made of the texts that pairs name.
 
     Pairs that the bitmaps of texts (sid, n, bits) rule out for certain aren't looked at.
     """
     x, y = (texts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     pairs = pairs.filter("a <> b").distinct().join(x, "a").join(y, "b")
-    pairs = stored(pairs.filter(_alike(_most_shared("a", "b"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    few = ids.count() <= BROADCAST
-    small = F.broadcast if few else lambda df: df
-    where = places.join(small(ids), "sid").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("key")).select("sid", *[F.col(f"key.{c}").alias(c) for c in KEY])
-    where = stored(where)
-    sets = stored(map_arrow(docs.join(small(where), KEY).select("sid", "text"), _sets(size), "sid long, items array<long>").dropDuplicates(["sid"]))
+    pairs = scratch.keep(pairs.filter(_alike(_most_shared("a", "b"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    where = places.join(named, "sid").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("key")).select("sid", *[F.col(f"key.{c}").alias(c) for c in KEY])
+    where = scratch.keep(where)
+    at = F.broadcast(where) if where.count() <= BROADCAST else where
+    sets = scratch.keep(map_arrow(docs.join(at, KEY).select("sid", "text"), _sets(size), "sid long, items array<long>").dropDuplicates(["sid"]))
     a, b = (sets.select(F.col("sid").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    return stored(both.filter(_alike(F.size(F.array_intersect("items_a", "items_b")), F.size("items_a"), F.size("items_b"))).select("a", "b"))
+    return scratch.keep(both.filter(_alike(F.size(F.array_intersect("items_a", "items_b")), F.size("items_a"), F.size("items_b"))).select("a", "b"))
 
 
 def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -170,33 +159,30 @@ def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.withColumns({"least": F.min("root").over(ends), "top": F.max("root").over(ends)}).filter("least < top").drop("least", "top")
 
 
-def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Callable, components: Callable) -> DataFrame:
+def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Callable, components: Callable, scratch: Scratch) -> DataFrame:
     """doc_id, h1, h2, group of each row of docs (doc_id, h1, h2, text with a word): equal groups are connected by alike texts."""
     common, level = common_shingles(docs, size)
-    rows = stored(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits array<long>"))
+    rows = scratch.keep(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits array<long>"))
     places = rows.select("sid", *KEY)
-
-    texts = stored(rows.select("sid", "n", "beginning", "bits").dropDuplicates(["sid"]))
+    texts = scratch.keep(rows.select("sid", "n", "beginning", "bits").dropDuplicates(["sid"]))
 
     listed = texts.select("sid", "n", F.posexplode("beginning").alias("pos", "item"))
-    listed = stored(listed.withColumn("m", F.count("*").over(Window.partitionBy("item"))).filter("m > 1").drop("m"))
+    listed = scratch.keep(listed.withColumn("m", F.count("*").over(Window.partitionBy("item"))).filter("m > 1").drop("m"))
 
     of_print = rows.select("print", "sid").distinct()
     least = of_print.groupBy("print").agg(F.min("sid").alias("least"))
     near = print_links(least.select("print")).join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
     near = near.select(*_ordered("x", "y")).unionByName(of_print.join(least, "print").select(*_ordered("sid", "least")))
-    links = verified(near, docs, texts, places, size)
-    left = stored(_with_root(listed, components(links)))
-    one = left.groupBy("item").agg(F.min_by(F.struct("sid", "n", "pos", "root"), F.xxhash64("sid")).alias("one")).select("item", "one.*")
-    star = left.alias("x").join(one.alias("y"), "item").filter((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
-    links = links.unionByName(verified(star.select(*_ordered("x.sid", "y.sid")), docs, texts, places, size))
+    one = listed.groupBy("item").agg(F.min_by(F.struct("sid", "n", "pos"), F.xxhash64("sid")).alias("one")).select("item", "one.*")
+    star = listed.alias("x").join(one.alias("y"), "item").filter((F.col("x.sid") != F.col("y.sid")) & _may_be("x", "y"))
+    links = verified(near.unionByName(star.select(*_ordered("x.sid", "y.sid"))), docs, texts, places, size, scratch)
 
-    left = stored(_with_root(listed, components(links)))
+    left = scratch.keep(_with_root(listed, components(links)))
     roots = left.select("item", "root").distinct()
     across = roots.alias("x").join(roots.alias("y"), "item").filter("x.root < y.root").select("item", F.col("x.root").alias("x_root"), F.col("y.root").alias("y_root"))
     x, y = across.join(left.withColumnRenamed("root", "x_root").alias("x"), ["item", "x_root"]), left.withColumnRenamed("root", "y_root").alias("y")
     rest = x.join(y, ["item", "y_root"]).filter(_may_be("x", "y"))
-    links = links.unionByName(verified(rest.select(*_ordered("x.sid", "y.sid")), docs, texts, places, size))
+    links = links.unionByName(verified(rest.select(*_ordered("x.sid", "y.sid")), docs, texts, places, size, scratch))
 
     found = components(links).select(F.col("node").alias("sid"), F.col("root").alias("group"))
     return rows.select(*KEY, "sid").join(found, "sid", "left").select(*KEY, F.coalesce("group", "sid").alias("group"))

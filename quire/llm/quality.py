@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.shipping import map_arrow
 
-from .common import checkpoint
+from .common import checkpoint, wide_hash
 from .words import Words, mix, slices
 
 #: Labelled rows that the text model is fitted on, at most; those with the smallest hashes of doc_id.
@@ -32,6 +32,9 @@ LEAST_DOCS, LEAST_Z = 12, 6.0
 EDGES = [0.0, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.75]
 TARGETS = ("low", "toxic")
 REJECT = 0.5
+KEY = ["doc_id", "h1", "h2"]
+#: Groups of host and path that are broadcast at most, about 100 bytes each; beyond it each goes to SALTS places.
+BROADCAST, SALTS = 100_000, 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -142,12 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexic
     """Word weights and logistic weights (a row for each target).
 
     labels: doc_id, quality, toxic; rows without them don't count, and with none of either
-    kind the model falls back to a flat one.  Only listed words and the sample's feature rows, both bounded,
-    reach the driver.
+    kind the model falls back to a flat one.  A labelled doc_id counts once, with the text of least hash
+    should several rows have it, so the sample is bounded.  Only listed words and weights reach the driver.
     """
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     chosen = known.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *TARGETS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *TARGETS).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = checkpoint(rows.select("text", *TARGETS))
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS]).first()
     rates = [(total[t] + 0.5) / (total["n"] + 1) for t in TARGETS]
     counted = map_arrow(rows, _counts, "key long, n long, " + ", ".join(f"{t} long" for t in TARGETS)).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)])
@@ -163,47 +167,68 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexic
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(list(features(w, lexicon).astype(np.float32)), pa.list_(pa.float32())), *[batch.column(t).slice(i, j - i) for t in TARGETS]], names=["x", *TARGETS])
-
-    got = map_arrow(rows, run, "x array<float>, " + ", ".join(f"{t} int" for t in TARGETS)).toPandas()
-    width = 8 * len(EDGES) + 2 * len(TARGETS)
-    x = np.stack(got["x"]).astype(float) if len(got) else np.zeros((0, width))
-    # rows come in no fixed order; sums over sorted rows are the same in every run
-    order = np.lexsort(x.T) if len(x) else []
-    weights = [logistic(x[order], got[t].to_numpy(dtype=float)[order]) if len(got) and 0 < got[t].sum() < len(got) else np.append(np.zeros(width), -3.0) for t in TARGETS]
-    return lexicon, np.stack(weights)
+                x = features(w, lexicon).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, *[batch.column(t).slice(i, j - i) for t in TARGETS]], names=["x", *TARGETS])
+
+    # the sample is bounded, so its feature rows (270 bytes each) fit one task, and the driver gets the weights alone
+    made = map_arrow(rows, run, "x array<float>, " + ", ".join(f"{t} int" for t in TARGETS))
+    fitted = map_arrow(made.repartition(1), _fitted, "target string, weights array<double>").collect()
+    weights = {r["target"]: r["weights"] for r in fitted}
+    flat = [0.0] * (8 * len(EDGES) + 2 * len(TARGETS)) + [-3.0]
+    return lexicon, np.array([weights.get(t, flat) for t in TARGETS])
+
+
+def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logistic weights for each target that has rows of both kinds, from all feature rows."""
+    held = [(b.column("x").flatten().to_numpy().reshape(len(b), -1), np.stack([b.column(t).to_numpy() for t in TARGETS], axis=1)) for b in batches if len(b)]
+    if held:
+        x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        # rows come in no fixed order; sums over sorted rows are the same in every run
+        order = np.lexsort(np.concatenate([y, x], axis=1).T)
+        x, y = x[order].astype(float), y[order].astype(float)
+        out = [(t, logistic(x, y[:, k]).tolist()) for k, t in enumerate(TARGETS) if 0 < y[:, k].sum() < len(y)]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([w for _, w in out], pa.list_(pa.float64()))], names=["target", "weights"])
 
 
 def evidence(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, host: Column, path: Column) -> DataFrame:
-    """doc_id, host, path, and logit_low and logit_toxic of each row of docs by its text alone."""
+    """KEY, host, path, and logit_low and logit_toxic of each row of docs by its text alone."""
+    carried = [*KEY, "host", "path"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in slices(batch.column("text")):
                 logits = np.clip(features(w, lexicon) @ weights[:, :-1].T + weights[:, -1], -12, 12)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("doc_id", "host", "path")], *[pa.array(np.round(logits[:, k], 6)) for k in range(len(TARGETS))]], names=["doc_id", "host", "path", *[f"logit_{t}" for t in TARGETS]])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in carried], *[pa.array(np.round(logits[:, k], 6)) for k in range(len(TARGETS))]], names=[*carried, *[f"logit_{t}" for t in TARGETS]])
+
+    h1, h2 = wide_hash(F.coalesce("text", F.lit("")))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    return map_arrow(named, run, "doc_id long, h1 long, h2 long, host string, path string, " + ", ".join(f"logit_{t} double" for t in TARGETS))
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    return map_arrow(named, run, "doc_id long, host string, path string, " + ", ".join(f"logit_{t} double" for t in TARGETS))
 
+def _strength(groups: DataFrame, mean: Column, n: Column, about: Column, parent_n: Column, parents: int, rate: float) -> float:
+    """Documents that the level above counts as, from how far groups spread about its mean beyond chance.
 
-def _strength(groups: DataFrame, mean: Column, n: Column, rate: float) -> float:
-    """Documents that the level above counts as, from how far groups spread beyond chance."""
+    With k groups under `parents` means, chance alone spreads them by (k - parents) times the
+    variance within; the rest is the variance between, times sum n - sum n * n / parent_n.
+    """
     var = max(rate * (1 - rate), 1e-6)
-    r = groups.agg(F.sum(n * (mean - rate) ** 2).alias("spread"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count("*").alias("k")).first()
-    if not r["k"] or r["k"] < 2 or r["n"] - r["nn"] / r["n"] <= 0:
+    r = groups.agg(F.sum(n * (mean - about) ** 2).alias("spread"), F.sum(n - n * n / parent_n).alias("free"), F.count("*").alias("k")).first()
+    if not r["k"] or r["k"] <= parents or r["free"] <= 0:
         return 1000.0
-    between = (r["spread"] - (r["k"] - 1) * var) / (r["n"] - r["nn"] / r["n"])
+    between = (r["spread"] - (r["k"] - parents) * var) / r["free"]
     return float(np.clip(var / between - 1, 10.0, 1000.0)) if between > 0 else 1000.0
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, host, path; for low and toxic the text's own, host's, path's and joint probability; rejected.
+def _spread(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined to their group by host and path: by broadcast while groups are few, else salted, since one may hold a third of all rows."""
+    if groups.count() <= BROADCAST:
+        return rows.join(F.broadcast(groups), ["host", "path"])
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.col("h1"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"]).drop("salt")
 
-    docs: doc_id, text, source, lang.  The host is the source and the path its part in one
-    language, unless given.  Null text is judged as empty, null hosts and paths form a group; every row
-    of docs gives a row.  A row is rejected if either joint probability exceeds REJECT.
-    """
+
+def _judged(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, sample: int) -> DataFrame:
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", "source", "lang") if path is None else path
     lexicon, weights = fit(docs, labels, sample)
@@ -212,15 +237,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(F.round(p(f"logit_{t}"), 9).cast("decimal(28,9)")).cast("double").alias(f"sum_{t}") for t in TARGETS])
     paths = checkpoint(paths)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.round(F.sum(f"sum_{t}"), 6).alias(f"host_sum_{t}") for t in TARGETS])
-    whole = hosts.agg(F.sum("host_n").alias("n"), *[F.sum(f"host_sum_{t}").alias(t) for t in TARGETS]).first()
-    joined = rows.join(paths.join(hosts, "host"), ["host", "path"])
-    out = ["doc_id", "host", "path"]
+    groups = checkpoint(paths.join(hosts, "host"))
+    whole = hosts.agg(F.sum("host_n").alias("n"), F.count("*").alias("hosts"), *[F.sum(f"host_sum_{t}").alias(t) for t in TARGETS]).first()
+    joined = _spread(rows, groups)
+    out = [*KEY, "host", "path"]
     bad = F.lit(False)
     logit = lambda c: F.log(c / (1 - c))
     for t in TARGETS:
         rate = float(np.clip((whole[t] or 0) / max(1, whole["n"] or 0), 1e-4, 1 - 1e-4))
-        k_host = _strength(hosts, F.col(f"host_sum_{t}") / F.col("host_n"), F.col("host_n"), rate)
-        k_path = _strength(paths, F.col(f"sum_{t}") / F.col("n"), F.col("n"), rate)
+        of = F.col(f"host_sum_{t}") / F.col("host_n")
+        k_host = _strength(hosts, of, F.col("host_n"), F.lit(rate), F.lit(max(1, whole["n"] or 0)), 1, rate)
+        k_path = _strength(groups, F.col(f"sum_{t}") / F.col("n"), F.col("n"), of, F.col("host_n"), whole["hosts"], rate)
         own = p(f"logit_{t}")
         of_host = (F.col(f"host_sum_{t}") - own + k_host * rate) / (F.col("host_n") - 1 + k_host)
         of_path = (F.col(f"sum_{t}") - own + k_path * F.col(f"host_{t}")) / (F.col("n") - 1 + k_path)
@@ -232,7 +259,21 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     return joined.withColumn("rejected", bad).select(*out, "rejected")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Rows of docs that aren't rejected; all columns stay, and so do rows without doc_id."""
-    gone = classify(docs, labels, **options).filter("rejected").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, host, path; for low and toxic the text's own, host's, path's and joint probability; rejected.
+
+    docs: doc_id, text, source, lang.  The host is the source and the path its part in one
+    language, unless given.  Null text is judged as empty, null hosts and paths form a group; every row
+    of docs gives a row, rows with one doc_id too.  A row is rejected if either joint probability exceeds REJECT.
+    """
+    return _judged(docs, labels, host, path, sample).drop("h1", "h2")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Rows of docs that aren't rejected; all columns stay, and so do rows without doc_id.
+
+    A row goes by its doc_id and text, so of rows with one doc_id only those with a rejected text go.
+    """
+    gone = _judged(docs, labels, host, path, sample).filter("rejected").select(*[F.col(c).alias(f"gone_{c}") for c in KEY]).distinct()
+    h1, h2 = wide_hash(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("gone_doc_id")) & (h1 == F.col("gone_h1")) & (h2 == F.col("gone_h2")), "left_anti").select(*docs.columns)

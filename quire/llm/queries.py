@@ -11,7 +11,7 @@ from .common import table
 #: Rules of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Host labels whose pages make up the URL query's list.
-LISTED_LABELS = ["spam-farm", "adult-x"]
+LISTED_LABELS = ["spam-farm", "adult-x", "casino-win", "free-bets", "ads-track", "cheap-pills"]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,9 @@ ORACLE_SQL = {
         h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
         c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
-                     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+                     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) ELSE '' END, '&'),
                         lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') AS canonical FROM h),
-        l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'adult-x'])),
+        l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'adult-x', 'casino-win', 'free-bets', 'ads-track', 'cheap-pills'])),
         r AS (SELECT c.*, l.canonical IS NOT NULL AS listed, CASE
                 WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quire.shipping import map_arrow
 
 from . import near
-from .common import checkpoint
+from .common import Scratch, checkpoint
 from .words import mix
 
 MOST_BITS = 4
@@ -294,7 +294,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     rows equal in both one stays.
     """
     keyed = near.with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()))
-    rows = checkpoint(near.groups(keyed.select(*near.KEY, "text"), shingle, fingerprint, print_links, components))
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = checkpoint(near.groups(keyed.select(*near.KEY, "text"), shingle, fingerprint, print_links, components, scratch))
+    scratch.drop()
     counted = rows.groupBy("group", *near.KEY).agg(F.count("*").alias("copies"))
     first = counted.groupBy("group").agg(F.min(F.struct(*near.KEY)).alias("first"))
     marked = counted.join(first, "group").withColumn("is_first", F.struct(*near.KEY) == F.col("first")).filter("not is_first or copies > 1")

@@ -52,14 +52,18 @@ def anchors(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, place, value[place]
 
 
-def _anchor_rows(width: int):
+def _keys(batch: pa.RecordBatch, key: list[str]) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in key]
+
+
+def _anchor_rows(width: int, key: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = _keys(batch, key)
             for i, j, w in slices(batch.column("text")):
                 _, place, value = anchors(w, width)
                 new = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, dtype=bool)
-                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(ids[i:j][w.doc[place[new]]])], names=["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), *[pa.array(k[i:j][w.doc[place[new]]]) for k in ids]], names=["anchor", *key])
 
     return run
 
@@ -79,10 +83,10 @@ def candidates(w: Words, shared: pa.ListArray, width: int) -> np.ndarray:
         return begin[np.isin(mix(value + salt(w.doc[begin])), mix(wanted.view(np.uint64) + salt(owner)))]
 
 
-def _block_rows(width: int):
+def _block_rows(width: int, key: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = _keys(batch, key)
             for i, j, w in slices(batch.column("text")):
                 begin = candidates(w, batch.column("shared").slice(i, j - i), width)
                 first, second = np.zeros(len(w), dtype=np.uint64), np.zeros(len(w), dtype=np.uint64)
@@ -90,7 +94,7 @@ def _block_rows(width: int):
                     at, h = w.grams(w.hashes(which), width, which)
                     out[at] = h
                 doc = w.doc[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(first[begin].view(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i:j][doc]), pa.array((begin - w.first[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(first[begin].view(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), *[pa.array(k[i:j][doc]) for k in ids], pa.array((begin - w.first[doc]).astype(np.int32))], names=["h1", "h2", *key, "start"])
 
     return run
 
@@ -130,58 +134,73 @@ def _cut(width: int):
                     n_removed[k] = n_words[k] - len(words)
                     kept.append(b" ".join(words).decode())
                     found.append(made)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string()), pa.array(found, kind)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(n_words.astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string()), pa.array(found, kind)], names=["doc_id", "part", "n_words", "n_removed", "kept_text", "factors"])
 
     return run
 
 
-def crowded(named: DataFrame, width: int) -> list[int]:
+def crowded(named: DataFrame, width: int, key: list[str]) -> list[int]:
     """Anchors of very many rows, most frequent first.  They tell where to send rows, never what is found: each occurs HINT_LEAST times at least."""
     some = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HINT_SHARE)) == 0)
-    n = map_arrow(some, _anchor_rows(width), "anchor long, doc_id long").groupBy("anchor").agg(F.count("*").alias("n"))
+    n = map_arrow(some, _anchor_rows(width, key), "anchor long, " + _longs(key)).groupBy("anchor").agg(F.count("*").alias("n"))
     return [r["anchor"] for r in n.filter(F.col("n") >= HINT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT).collect()]
 
 
-def in_common(found: DataFrame, hot: list[int]) -> DataFrame:
-    """Rows of found (anchor, doc_id) whose anchor occurs twice or more.
+def _longs(key: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in key)
+
+
+def in_common(found: DataFrame, hot: list[int], key: list[str]) -> DataFrame:
+    """Rows of found (anchor, key) whose anchor occurs twice or more.
 
     Anchors in `hot` are known to; their rows are dealt over all tasks by document.  All others
     are counted next to their rows, so that found is made and sent once.
     """
     hints = F.broadcast(found.sparkSession.createDataFrame([(a,) for a in hot], "hot long"))  # HOT rows at most
     tagged = found.join(hints, F.col("anchor") == F.col("hot"), "left")
-    tagged = tagged.select("anchor", "doc_id", F.coalesce(F.when(F.col("hot").isNotNull(), F.xxhash64("doc_id")), F.col("anchor")).alias("place"), F.col("hot").isNotNull().alias("known"))
+    tagged = tagged.select("anchor", *key, F.coalesce(F.when(F.col("hot").isNotNull(), F.xxhash64("doc_id")), F.col("anchor")).alias("place"), F.col("hot").isNotNull().alias("known"))
     counted = tagged.withColumn("n", F.count("*").over(Window.partitionBy("place", "known")))
-    return counted.filter("known or n > 1").select("anchor", "doc_id")
+    return counted.filter("known or n > 1").select("anchor", *key)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, factors of each row of docs (doc_id, text).
+    """doc_id, part, n_words, n_removed, kept_text, factors of each row of docs (doc_id, text).
 
     Removed are the words of every block of `width` words that also starts earlier: in a
     smaller doc_id, or earlier in the same document.  Blocks are those of the input, whatever
     is removed elsewhere.  Kept words are joined by one blank.  Null text has no words.  Rows
-    with the same doc_id count as the same document; a row without doc_id is neither indexed nor cut.
+    with one doc_id and different texts are documents of their own, in order of `part`, a hash of
+    the text; rows equal in both are one document and give equal rows.  A row without doc_id is
+    neither indexed nor cut.
     """
     # without a cast that isn't needed, since the texts' exchange is then the same wherever it is asked for
     docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # `part` is carried through the joins only if some doc_id has several rows; without such, it decides nothing
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count() > 0
+    key = ["doc_id", "part"] if several else ["doc_id"]
     named = docs.filter("doc_id is not null")
+    if several:
+        named = named.withColumn("part", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))).dropDuplicates(key)
     h1, h2 = wide_hash(F.col("text"))
-    texts = named.filter("text is not null").select("doc_id", h1.alias("t1"), h2.alias("t2"))
-    first = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    copies = texts.join(first, ["t1", "t2"]).filter("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("copy_of"))
+    texts = named.filter("text is not null").select(*key, h1.alias("t1"), h2.alias("t2"))
+    place = F.struct(*key)
+    first = texts.groupBy("t1", "t2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    copies = texts.join(first, ["t1", "t2"]).filter(place > F.col("first")).groupBy(*key).agg(F.min("first.doc_id").alias("copy_of"))
 
-    found = map_arrow(named, _anchor_rows(width), "anchor long, doc_id long")
-    shared = in_common(found, crowded(named, width)).groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    shared = shared.join(copies, "doc_id", "left_anti")
+    found = map_arrow(named, _anchor_rows(width, key), "anchor long, " + _longs(key))
+    shared = in_common(found, crowded(named, width, key), key).groupBy(*key).agg(F.collect_set("anchor").alias("shared"))
+    shared = shared.join(copies, key, "left_anti")
 
-    blocks = map_arrow(named.join(shared, "doc_id").select("doc_id", "text", "shared"), _block_rows(width), "h1 long, h2 int, doc_id long, start int")
+    blocks = map_arrow(named.join(shared, key).select(*key, "text", "shared"), _block_rows(width, key), f"h1 long, h2 int, {_longs(key)}, start int")
     # the index; only where a block starts first goes back to the documents, not what repeats it
-    index = blocks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    firsts = index.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.start").alias("firsts"))
-    parsed = named.join(shared, "doc_id", "left").join(firsts, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "shared", "firsts", "copy_of")
-    bare = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("shared"), F.lit(None).cast("array<int>").alias("firsts"), F.lit(None).cast("long").alias("copy_of"))
-    return map_arrow(parsed.unionByName(bare), _cut(width), f"doc_id long, n_words long, n_removed long, kept_text string, factors array<{FACTOR}>")
+    index = blocks.groupBy("h1", "h2").agg(F.min(F.struct(*key, "start")).alias("first"))
+    firsts = index.groupBy(*[F.col(f"first.{c}").alias(c) for c in key]).agg(F.collect_list("first.start").alias("firsts"))
+    known = docs.filter("doc_id is not null").withColumn("part", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))) if several else named
+    parsed = known.join(shared, key, "left").join(firsts, key, "left").join(copies, key, "left")
+    columns = ["doc_id", "part", "text", "shared", "firsts", "copy_of"]
+    parsed = parsed.withColumn("part", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))).select(*columns)
+    bare = docs.filter("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("part"), "text", F.lit(None).cast("array<long>").alias("shared"), F.lit(None).cast("array<int>").alias("firsts"), F.lit(None).cast("long").alias("copy_of"))
+    return map_arrow(parsed.unionByName(bare), _cut(width), f"doc_id long, part long, n_words long, n_removed long, kept_text string, factors array<{FACTOR}>")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -190,9 +209,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A text without a repeat stays as it is, white space included; one that loses every word is
     left out.  n_chars, where docs has it, is counted anew.
     """
-    cut = dedup(docs, width).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("n_words").alias("cut_words"), "n_removed", "kept_text").dropDuplicates(["cut_id"])
-    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left").filter("n_removed is null or n_removed < cut_words")
-    joined = joined.withColumn("text", F.coalesce("kept_text", "text"))
+    cut = dedup(docs, width).filter("n_removed > 0").dropDuplicates(["doc_id", "part"])
+    cut = cut.select(F.struct("doc_id", "part", "n_words", "n_removed", "kept_text").alias("cut"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name of docs clashes
+    joined = rows.join(cut, (F.col("row.doc_id").cast("long") == F.col("cut.doc_id")) & (F.coalesce(F.xxhash64("row.text"), F.lit(0).cast("long")) == F.col("cut.part")), "left")
+    joined = joined.filter("cut is null or cut.n_removed < cut.n_words")
+    made = {"text": F.when(F.col("cut").isNotNull(), F.col("cut.kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("cut.kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -30,10 +30,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, www., user, default port, fragment, tracking parameters and the last slash go; host in lower case."""
+    """Scheme, www., user, default port, fragment, tracking parameters and the last slash go; host in lower case.
+
+    '' for null and where there is no ://.
+    """
     host, path = host_and_path(url)
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":(80|443)$", ""), r"^www\.", "")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    query = F.when(url.contains("://"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)).otherwise("")
     query = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"))), "&")
     return F.coalesce(F.concat(host, F.regexp_replace(path, r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")), F.lit(""))
 
@@ -55,15 +58,15 @@ def _bits(key: Column, n_blocks: int) -> tuple[Column, list[Column]]:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)), [F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(WORDS)]
 
 
-def build_filter(listed: DataFrame, n_listed: int) -> tuple[DataFrame, int]:
+def build_filter(listed: DataFrame, n_listed: int, urls_per_block: float = URLS_PER_BLOCK) -> tuple[DataFrame, int]:
     """The filter's blocks (block, w0, w1 ...) for the column `canonical` of listed, and their number."""
-    n_blocks = 1 << max(0, math.ceil(math.log2(max(1, n_listed) / URLS_PER_BLOCK)))
+    n_blocks = 1 << max(0, math.ceil(math.log2(max(1, n_listed) / urls_per_block)))
     block, bits = _bits(F.col("canonical"), n_blocks)
     words = [F.bit_or(F.expr(f"shiftleft(1L, b{i})")).alias(f"w{i}") for i in range(WORDS)]
     return listed.select(block.alias("block"), *[b.alias(f"b{i}") for i, b in enumerate(bits)]).groupBy("block").agg(*words), n_blocks
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], urls_per_block: float = URLS_PER_BLOCK) -> DataFrame:
     """page_id, host, path, canonical, rule, possible, verdict of every row of pages (page_id, url).
 
     listed: column `canonical`, repeats and nulls allowed.  A rule decides where one fits;
@@ -73,7 +76,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     """
     listed = listed.select("canonical").filter(F.col("canonical") != "").distinct()
     n_listed = listed.count()
-    blocks, n_blocks = build_filter(listed, n_listed)
+    blocks, n_blocks = build_filter(listed, n_listed, urls_per_block)
     if n_blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
         blocks = F.broadcast(blocks)
     host, path = host_and_path(F.col("url"))

@@ -39,6 +39,11 @@ _A = re.compile(rf"(?is)<a\b({_PIECE}*+)")
 _HREF = re.compile(rf"(?is){_PIECE}*?\bhref\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++))")
 
 
+_CHUNK_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,12})[ \t]*(?:;.*)?", re.S)
+#: Content types whose payload is text; others (images, archives ...) have no plain-text record.
+_TEXTUAL = re.compile(r"text/|html|xml|json|javascript", re.I)
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -70,21 +75,49 @@ def serialize(headers: Headers, block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """Pieces of a WARC file, plain or gzipped by member; ends where a member breaks off."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        at = 0
+        while not member.eof:
+            held = member.unconsumed_tail or data[at : at + step]
+            at += 0 if member.unconsumed_tail else step
+            if not held:
+                return
+            try:
+                yield member.decompress(held, step)
+            except zlib.error:
+                return
+        data = member.unused_data + data[at:]
+
+
 def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Headers and block of each record of a WARC file, plain or gzipped by member; stops where it breaks off."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        headers = _fields(data[at:end].split(b"\r\n", 1)[-1])
+    """Headers and block of each record of a WARC file, plain or gzipped by member; stops where it breaks off.
+
+    A gzipped file is taken piece by piece, so that one record is held at a time.
+    """
+    held, pieces = bytearray(), inflated(data)
+    more = lambda: (piece := next(pieces, None)) is not None and (held.extend(piece) or True)
+    while True:
+        while (begin := held.find(b"WARC/1.")) < 0 or (end := held.find(b"\r\n\r\n", begin)) < 0:
+            if begin < 0:
+                del held[:-6]
+            if not more():
+                return
+        headers = _fields(bytes(held[begin:end]).split(b"\r\n", 1)[-1])
         size = header(headers, "Content-Length")
-        if size is None or not size.isdigit() or end + 4 + int(size) > len(data):
+        if size is None or not (size.isascii() and size.isdigit()):
             return
-        yield headers, data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
+        stop = end + 4 + int(size)
+        while len(held) < stop:
+            if not more():
+                return
+        yield headers, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
@@ -97,11 +130,9 @@ def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
     if (header(headers, "Transfer-Encoding") or "").lower() == "chunked":
         out, at = [], 0
         while (end := payload.find(b"\r\n", at)) >= 0:
-            try:
-                size = int(payload[at:end].split(b";")[0], 16)
-            except ValueError:
-                break
-            if not size:
+            said = _CHUNK_SIZE.fullmatch(payload, at, end)
+            size = int(said[1], 16) if said else 0
+            if not size:  # the last chunk, or no size at all
                 break
             out.append(payload[end + 2 : end + 2 + size])
             at = end + 4 + size
@@ -149,24 +180,31 @@ def decoded(payload: bytes, headers: Headers) -> tuple[str, str]:
 
 
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
-    """The metadata and the conversion record of a response record; other record types give none."""
+    """The metadata and the conversion record of a response record; other record types give none.
+
+    A payload whose content type isn't text (an image, say) has the metadata record alone, without charset and text fields.
+    """
     if (header(headers, "WARC-Type") or "").lower() != "response":
         return []
     source, uri, date = (header(headers, f"WARC-{k}") for k in ("Record-ID", "Target-URI", "Date"))
     status, http, payload = http_parts(block)
     page, charset = decoded(payload, http)
-    is_html = "html" in (header(http, "Content-Type") or "html").lower()
+    kind_of = (header(http, "Content-Type") or "text/html").lower()
+    textual, is_html = bool(_TEXTUAL.search(kind_of)), "html" in kind_of
     text = plain_text(page) if is_html else page
     title = page_title(page) if is_html else None
     lang = page_language(page) if is_html else None
     links = [html.unescape(x) for x in page_links(page)] if is_html else []
     one_line = lambda x: " ".join(x.split())
-    fields = [("http-status", status), ("charset", charset), ("title", one_line(html.unescape(title)) if title is not None else None), ("language", lang)]
-    fields += [("source-payload-digest", header(headers, "WARC-Payload-Digest") or digest(payload)), ("source-block-digest", header(headers, "WARC-Block-Digest") or digest(block)), ("text-digest", digest(text.encode())), ("text-chars", str(len(text)))]
+    fields = [("http-status", status), ("charset", charset if textual else None), ("title", one_line(html.unescape(title)) if title is not None else None), ("language", lang)]
+    fields += [("source-payload-digest", header(headers, "WARC-Payload-Digest") or digest(payload)), ("source-block-digest", header(headers, "WARC-Block-Digest") or digest(block))]
+    fields += [("text-digest", digest(text.encode("utf-8", "replace"))), ("text-chars", str(len(text)))] if textual else []
     fields += [("source-warc-header", f"{k}: {one_line(v)}") for k, v in headers] + [("source-http-header", f"{k}: {one_line(v)}") for k, v in http]
     fields += [("outlink", one_line(x)) for x in links]
     out = []
     for kind, content_type, body in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode()), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
+        if kind == "conversion" and not textual:
+            continue
         made = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id(kind, source or '', digest(block))}>"), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest(body)), ("Content-Type", content_type), ("Content-Length", str(len(body)))]
         out.append(([(k, v) for k, v in made if v is not None], body))
     return out
@@ -188,10 +226,10 @@ def _row(headers: Headers, body: bytes, source_digest: str | None) -> tuple:
     return (get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), get("WARC-Date"), get("Content-Type"), len(body), get("WARC-Block-Digest"), source_digest, "".join(f"{k}: {v}\r\n" for k, v in headers), body.decode("utf-8", "replace"))
 
 
-def derivatives(records: DataFrame) -> DataFrame:
+def derivatives(records: DataFrame, date: str = EPOCH) -> DataFrame:
     """Derived records of `records`: key long, and either headers string and block binary, or url and html.
 
-    With url and html a response record is made first.  A row gives a metadata and a
+    With url and html a response record is made first, dated by the column `fetched` (a string) if there is one, else by `date`.  A row gives a metadata and a
     conversion record, none if it isn't a response.  Null html counts as empty, a null url
     leaves the target out, and rows with equal keys are separate records.
     """
@@ -202,14 +240,14 @@ def derivatives(records: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 500):
                 keys, rows = [], []
                 for r in batch.slice(i, 500).to_pylist():
-                    headers, block = (_fields((r["headers"] or "").encode()), r["block"] or b"") if own else response(str(r["key"]), r["url"], r["html"])
+                    headers, block = (_fields((r["headers"] or "").encode()), r["block"] or b"") if own else response(str(r["key"]), r["url"], r["html"], r.get("fetched") or date)
                     for made, body in derive(headers, block):
                         keys.append(r["key"])
                         rows.append(_row(made, body, header(headers, "WARC-Payload-Digest")))
                 columns = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(columns, COLUMNS.values(), strict=True)]], names=["key", *COLUMNS])
 
-    chosen = records.select(F.col("key").cast("long").alias("key"), *(("headers", "block") if own else ("url", "html")))
+    chosen = records.select(F.col("key").cast("long").alias("key"), *(("headers", "block") if own else ("url", "html", *(["fetched"] if "fetched" in records.columns else []))))
     return map_arrow(chosen, run, "key long, " + ", ".join(f"{k} {t}" for k, t in COLUMNS.items()))
 
 
