@@ -7,8 +7,8 @@ the first fifth (and one) of both, whatever the order is, so a join on those fin
 pair; the sample only keeps lists short.
 
 Pairs are compared on their whole sets.  Since groups are wanted and not pairs, what SimHash
-links and what shares a shingle with one member of each list is compared first, in linear
-work; after that only pairs that aren't in one group yet.
+links is compared first, and each text with the one that it shares most lists with among the
+lists' first members, in linear work; after that only pairs that aren't in one group yet.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .words import Words, slices
 LEAST_OF, LEAST_IN = 4, 5
 #: One text in SAMPLE_SHARE is looked at for shingles with SAMPLE_LEAST rows there, of which COMMON at most come last.
 SAMPLE_SHARE, SAMPLE_LEAST, COMMON = 64, 3, 20_000
+#: Bits of a sketch, as a power of two, at most; longer texts' sketches rule less out.
+MOST_BITS = 20
 #: So many ids, of a few bytes each, are sent to all executors at most.
 BROADCAST = 100_000
 KEY = ["doc_id", "h1", "h2"]
@@ -53,12 +55,56 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
-def bitmaps(doc: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
-    """512 bits for each text, those set that its shingles fall on."""
-    out = np.zeros((n, 512), dtype=np.uint8)
-    out[doc, (value >> np.uint64(55)).astype(np.int64)] = 1
-    packed = np.packbits(out, axis=1, bitorder="little").view("<i8").ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 8), pa.array(packed))
+def sketches(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
+    """Bits of each text that its shingles fall on by their top bits: four a shingle and more, a power of two."""
+    first, out = np.searchsorted(doc, np.arange(n + 1)), []
+    for a, b in zip(first, first[1:]):
+        k = min(MOST_BITS, max(9, int(4 * (b - a) - 1).bit_length()))
+        bits = np.zeros(1 << k, dtype=np.uint8)
+        bits[(value[a:b] >> np.uint64(64 - k)).astype(np.int64)] = 1
+        out.append(np.packbits(bits).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def alone(a: bytes, b: bytes) -> tuple[int, int]:
+    """At least so many shingles has each of two texts that the other lacks, by their sketches."""
+    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (v if len(v) == n else v.reshape(n, -1).max(axis=1) for v in (x, y))
+    both = int((x & y).sum())
+    return int(x.sum()) - both, int(y.sum()) - both
+
+
+def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches don't rule out."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        only = np.array([alone(a.as_py(), b.as_py()) for a, b in zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)], dtype=np.int64).reshape(-1, 2)
+        shared = np.minimum(n_a - only[:, 0], n_b - only[:, 1])
+        yield batch.select(["a", "b"]).filter(pa.array((LEAST_OF + LEAST_IN) * shared >= LEAST_OF * (n_a + n_b)))
+
+
+def _compared(size: int):
+    """Pairs of texts whose sets of shingles are alike."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, x in slices(batch.column("text_a")):
+                sets_x = _sets(*shingles(x, size), j - i)
+                for k, m, y in slices(batch.column("text_b").slice(i, j - i)):
+                    keep = np.zeros(m - k, dtype=bool)
+                    for at, set_y in enumerate(_sets(*shingles(y, size), m - k)):
+                        set_x = sets_x[k + at]
+                        shared = len(np.intersect1d(set_x, set_y, assume_unique=True))
+                        keep[at] = (LEAST_OF + LEAST_IN) * shared >= LEAST_OF * (len(set_x) + len(set_y))
+                    yield batch.select(["a", "b"]).slice(i + k, m - k).filter(pa.array(keep))
+
+    return run
+
+
+def _sets(doc: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+    first = np.searchsorted(doc, np.arange(n + 1))
+    return [value[a:b] for a, b in zip(first, first[1:])]
 
 
 def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
@@ -88,25 +134,25 @@ def _described(size: int, common: np.ndarray, level: np.ndarray, fingerprint: Ca
                 first = np.searchsorted(doc, np.arange(j - i + 1))
                 sets = np.array([xxhash.xxh64_intdigest(value[a:b].tobytes()) for a, b in zip(first, first[1:])], dtype=np.uint64)
                 prints = fingerprint(part.column("text").cast(pa.large_binary()).to_pylist(), size)
-                made = [pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), beginnings(doc, value, j - i, common, level), bitmaps(doc, value, j - i)]
+                made = [pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), beginnings(doc, value, j - i, common, level), sketches(doc, value, j - i)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in KEY], *made], names=[*KEY, "print", "sid", "n", "beginning", "bits"])
 
     return run
 
 
-def _sets(size: int):
+def _items(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(i, j - i), _lists(*shingles(w, size), j - i)], names=["sid", "items"])
+            for _, _, w in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(w, size)[1].view(np.int64))], names=["item"])
 
     return run
 
 
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample have, sorted, and how many; they tell the order of shingles, never what is found."""
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARE)) == 0).select(F.col("h1").alias("sid"), "text")
-    n = map_arrow(some, _sets(size), "sid long, items array<long>").select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_SHARE)) == 0).select("text")
+    n = map_arrow(some, _items(size), "item long").groupBy("item").agg(F.count("*").alias("n"))
     got = n.filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "item").limit(COMMON).collect()
     common, level = np.array([r["item"] for r in got], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in got], dtype=np.int64)
     order = np.argsort(common)
@@ -128,28 +174,23 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _most_shared(a: str, b: str) -> Column:
-    """At most so many items are shared: each bit that only one set has stands for an item that the other lacks."""
-    only = lambda x, y: sum(F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(8))
-    return F.least(F.col(f"n_{a}") - only(a, b), F.col(f"n_{b}") - only(b, a))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, places: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) that are alike, by their whole sets, which are made of the texts that pairs name.
+    """Pairs (a, b) that are alike, by the whole sets of their texts.
 
-    Pairs that the bitmaps of texts (sid, n, bits) rule out for certain aren't looked at.
+    Pairs that the sketches of texts (sid, n, bits) rule out for certain aren't looked at.
     """
     x, y = (texts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    pairs = pairs.filter("a <> b").distinct().join(x, "a").join(y, "b")
-    pairs = scratch.keep(pairs.filter(_alike(_most_shared("a", "b"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    pairs = scratch.keep(map_arrow(pairs.filter("a <> b").distinct().join(x, "a").join(y, "b"), _possible, "a long, b long"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    where = places.join(named, "sid").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("key")).select("sid", *[F.col(f"key.{c}").alias(c) for c in KEY])
-    where = scratch.keep(where)
-    at = F.broadcast(where) if where.count() <= BROADCAST else where
-    sets = scratch.keep(map_arrow(docs.join(at, KEY).select("sid", "text"), _sets(size), "sid long, items array<long>").dropDuplicates(["sid"]))
-    a, b = (sets.select(F.col("sid").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    return scratch.keep(both.filter(_alike(F.size(F.array_intersect("items_a", "items_b")), F.size("items_a"), F.size("items_b"))).select("a", "b"))
+    where = places.join(named, "sid").groupBy("sid", *KEY).agg(F.count("*").alias("rows")).groupBy("sid").agg(F.min(F.struct("rows", *KEY)).alias("key"))
+    where = scratch.keep(where.select("sid", "key.*"))
+    found = where.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
+    at = F.broadcast(where) if found["n"] <= BROADCAST else where
+    whole = docs.join(at.drop("rows"), KEY).select("sid", "text")
+    if (found["rows"] or 1) > 1:  # rows equal in doc_id and text
+        whole = whole.dropDuplicates(["sid"])
+    a, b = (whole.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return scratch.keep(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), _compared(size), "a long, b long"))
 
 
 def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -162,7 +203,7 @@ def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Callable, components: Callable, scratch: Scratch) -> DataFrame:
     """doc_id, h1, h2, group of each row of docs (doc_id, h1, h2, text with a word): equal groups are connected by alike texts."""
     common, level = common_shingles(docs, size)
-    rows = scratch.keep(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits array<long>"))
+    rows = scratch.keep(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits binary"))
     places = rows.select("sid", *KEY)
     texts = scratch.keep(rows.select("sid", "n", "beginning", "bits").dropDuplicates(["sid"]))
 
@@ -175,7 +216,9 @@ def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Calla
     near = near.select(*_ordered("x", "y")).unionByName(of_print.join(least, "print").select(*_ordered("sid", "least")))
     one = listed.groupBy("item").agg(F.min_by(F.struct("sid", "n", "pos"), F.xxhash64("sid")).alias("one")).select("item", "one.*")
     star = listed.alias("x").join(one.alias("y"), "item").filter((F.col("x.sid") != F.col("y.sid")) & _may_be("x", "y"))
-    links = verified(near.unionByName(star.select(*_ordered("x.sid", "y.sid"))), docs, texts, places, size, scratch)
+    star = star.groupBy(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).agg(F.count("*").alias("shared"))
+    best = star.groupBy("x").agg(F.max_by("y", F.struct("shared", F.xxhash64("y"))).alias("y"))
+    links = verified(near.unionByName(best.select(*_ordered("x", "y"))), docs, texts, places, size, scratch)
 
     left = scratch.keep(_with_root(listed, components(links)))
     roots = left.select("item", "root").distinct()

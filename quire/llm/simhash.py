@@ -301,7 +301,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     first = counted.groupBy("group").agg(F.min(F.struct(*near.KEY)).alias("first"))
     marked = counted.join(first, "group").withColumn("is_first", F.struct(*near.KEY) == F.col("first")).filter("not is_first or copies > 1")
     marked = checkpoint(marked.select(F.col("doc_id").alias("k0"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "is_first"))
+    n = marked.agg(F.count("*").alias("all"), F.count_if("is_first").alias("first")).first()
+    small = F.broadcast if n["all"] <= near.BROADCAST else lambda df: df
     named, same = near.with_key(docs, "t1", "t2"), (F.col("doc_id").cast("long") == F.col("k0")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
-    alone = named.join(marked, same, "left_anti").select(*docs.columns)
-    repeated = named.join(marked.filter("is_first"), same, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    alone = named.join(small(marked), same, "left_anti").select(*docs.columns)
+    if not n["first"]:
+        return alone
+    repeated = named.join(small(marked.filter("is_first")), same, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
     return alone.unionByName(repeated.select(*docs.columns))
