@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode white space, as Java regex.
-SPACE = r"(?U)\s+"
-#: Scripts in the order in which ties are settled, each with its pattern.  Fixed values.
+#: Unicode white space and the four separators that count as such, as Java regex.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
+#: Ends of lines.
+BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: Scripts and their patterns.  Fixed values.
 SCRIPTS = {"latin": r"\p{IsLatin}", "cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "arabic": r"\p{IsArabic}", "cyrillic": r"\p{IsCyrillic}"}
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: Why a text can't be language.  Fixed phrases, which go into the evidence.
+BAD_CHARACTERS, ONE_LETTER, RUN_TOGETHER, NO_LANGUAGE = "control or undefined characters", "many one-letter fragments", "words run together without spaces", "does not read as text in any language"
+#: From what readability on a layer reads as text, and fewer letters than can be judged.  Fixed values.
+READABLE, LEAST_LETTERS, CHUNK_LETTERS = 0.2, 20, 5
+#: Stored text of a page at most; measures are taken of all of it.
+STORED_CHARS = 50_000
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -25,7 +33,7 @@ def tokens(text: Column) -> Column:
 
 
 def chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", ""))
+    return F.length(strip(text))
 
 
 def cid_share(text: Column) -> Column:
@@ -44,17 +52,22 @@ def math_share(text: Column) -> Column:
     return _count(text, r"[\p{Sm}\x{0370}-\x{03FF}\x{1D400}-\x{1D7FF}]") / _at_least_one(_count(text, r"(?U)\S"))
 
 
-def script_counts(text: Column) -> Column:
-    """array<struct<script, n>> in the order that settles ties, scripts without a letter left out."""
-    letters = _count(text, r"\p{L}")
-    known = [F.struct(F.lit(k).alias("script"), _count(text, rf"(?=\p{{L}}){p}").alias("n")) for k, p in SCRIPTS.items()]
-    other = letters - sum((k["n"] for k in known[1:]), known[0]["n"])
-    return F.filter(F.array(*known, F.struct(F.lit("other").alias("script"), other.alias("n"))), lambda s: s["n"] > 0)
+def strip(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE + "$", "")
 
 
-def dominant_script(counts: Column) -> Column:
-    """The script with most letters, the earlier on a tie; '' where there is none."""
-    best = F.aggregate(counts, F.struct(F.lit("").alias("script"), F.lit(0).alias("n")), lambda a, s: F.when(s["n"] > a["n"], s).otherwise(a))
+def script_shares(text: Column) -> Column:
+    """array<struct<script, share>> of the scripts of a text's letters, shares to two places, the script seen first in front."""
+    others = r"[\p{L}&&[^" + "".join(p.strip("[]") for p in SCRIPTS.values()) + "]]"
+    seen = [(k, rf"(?=\p{{L}}){p}") for k, p in SCRIPTS.items()] + [("other", others)]
+    letters = _at_least_one(_count(text, r"\p{L}"))
+    found = [F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(k).alias("script"), F.round(_count(text, p) / letters, 2).alias("share")) for k, p in seen]
+    return F.transform(F.array_sort(F.filter(F.array(*found), lambda s: s["at"] > 0)), lambda s: F.struct(s["script"].alias("script"), s["share"].alias("share")))
+
+
+def dominant_script(shares: Column) -> Column:
+    """The script with the largest share, the one seen first on a tie; '' where there is none."""
+    best = F.aggregate(shares, F.struct(F.lit("").alias("script"), F.lit(-1.0).alias("share")), lambda a, s: F.when(s["share"] > a["share"], s).otherwise(a))
     return best["script"]
 
 
@@ -75,23 +88,23 @@ def agreement(a: Column, b: Column) -> Column:
 def guard(text: Column) -> Column:
     """Why a text can't be language, or '': unusual characters, single letters, or runs without spaces."""
     bad = _count(text, r"[\p{Cc}\p{Cn}\p{Cs}\x{FFFD}&&[^\t\n\r\f]]")
-    letters = lambda t: _count(t, r"[\p{L}\p{M}]")
+    letters = lambda t: _count(t, r"\p{L}")
     words = F.filter(F.transform(tokens(text), letters), lambda n: n > 0)
     singles = F.size(F.filter(words, lambda n: n == 1))
     total = F.aggregate(words, F.lit(0), lambda s, n: s + n)
     long = F.aggregate(F.filter(words, lambda n: n >= 25), F.lit(0), lambda s, n: s + n)
-    spaced = _count(text, UNSPACED) <= 0.3 * _at_least_one(_count(text, r"\p{L}"))
+    spaced = _count(text, UNSPACED) <= 0.3 * letters(text)
     return (
-        F.when(bad >= 0.02 * _at_least_one(F.length(text)), "control or unassigned characters")
-        .when(spaced & (F.size(words) > 0) & (2 * singles >= F.size(words)), "mostly one-letter words")
-        .when(spaced & (total > 0) & (long >= 0.6 * total), "words run together")
+        F.when(bad >= 0.02 * _at_least_one(F.length(text)), BAD_CHARACTERS)
+        .when(spaced & (F.size(words) > 0) & (2 * singles >= F.size(words)), ONE_LETTER)
+        .when(spaced & (total > 0) & (long >= 0.6 * total), RUN_TOGETHER)
         .otherwise("")
     )
 
 
 def chunks(text: Column, width: int = 80, tail: int = 40) -> Column:
     """Lines, stripped, joined by blanks until `width` characters; a last piece under `tail` joins the one before."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, BREAK), strip), lambda s: s != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
     join = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))
 
@@ -108,6 +121,98 @@ def chunks(text: Column, width: int = 80, tail: int = 40) -> Column:
     return F.aggregate(lines, start, step, close)
 
 
+def cleaned(chunk: Column) -> Column:
+    """What a language model is shown of a chunk: lower case, letters, marks and single blanks."""
+    return strip(F.regexp_replace(F.lower(F.regexp_replace(chunk, SPACE, " ")), r"(?U)[^\p{L}\p{M}\s]", ""))
+
+
+def with_language(rows: DataFrame, scored, text: str = "text") -> DataFrame:
+    """rows with language, readability, unreadable of their text, by a vote of its chunks weighted by their letters.
+
+    scored(cleaned chunk) -> struct<code, p> stands for the language model; code 'zxx' is no language.  Readability is
+    the weight of real language, null if there are too few letters; a language needs half of that weight.  Each step is
+    a column of its own, so that none is computed twice.
+    """
+    plain = F.translate(F.replace(F.col(text), F.lit("\uFFFE"), F.lit("")), "\u1361", " ")
+    mass = lambda v: v["letters"] * F.least(F.lit(1.0), v["said"]["p"])
+    judged = F.transform("_chunks", lambda c: F.struct(_count(c, r"\p{L}").alias("letters"), cleaned(c).alias("clean")))
+    votes = F.transform(F.filter("_judged", lambda c: (c["letters"] >= CHUNK_LETTERS) & (c["clean"] != "")), lambda c: F.struct(c["letters"].alias("letters"), scored(c["clean"]).alias("said")))
+    real = F.transform(F.filter("_votes", lambda v: v["said"]["code"] != "zxx"), lambda v: F.struct(v["said"]["code"].alias("code"), mass(v).alias("mass")))
+    of = lambda code: F.aggregate(F.filter("_real", lambda v: v["code"] == code), F.lit(0.0), lambda s, v: s + v["mass"])
+    each = F.transform(F.array_distinct(F.transform("_real", lambda v: v["code"])), lambda c: F.struct(c.alias("code"), of(c).alias("mass")))
+    steps = {
+        "_plain": plain,
+        "_why": guard(F.col("_plain")),
+        "_chunks": chunks(F.col("_plain")),
+        "_judged": judged,
+        "_votes": votes,
+        "_weight": F.aggregate("_votes", F.lit(0), lambda s, v: s + v["letters"]),
+        "_real": real,
+        "_total": F.aggregate("_real", F.lit(0.0), lambda s, v: s + v["mass"]),
+        "_top": F.aggregate(each, F.struct(F.lit("").alias("code"), F.lit(0.0).alias("mass")), lambda a, c: F.when(c["mass"] > a["mass"], c).otherwise(a)),
+        "_share": F.round(F.col("_total") / _at_least_one(F.col("_weight")), 3),
+    }
+    for name, step in steps.items():
+        rows = rows.withColumn(name, step)
+    why, few = F.col("_why"), F.col("_weight") < LEAST_LETTERS
+    made = {
+        "language": F.when((why != "") | few, F.lit("")).when(F.col("_top.mass") >= 0.5 * F.col("_total"), F.col("_top.code")).otherwise(""),
+        "readability": F.when(why != "", F.lit(0.0)).when(few, F.lit(None).cast("double")).otherwise(F.col("_share")),
+        "unreadable": F.when(why != "", why).when(few | (F.col("_share") >= READABLE), F.lit("")).otherwise(NO_LANGUAGE),
+    }
+    return rows.withColumns(made).drop(*steps)
+
+
+def by_profile(profiles: dict[str, tuple[str, ...]]):
+    """A small stand-in for a language model: the code whose frequent words make up most of a chunk's words, or zxx."""
+
+    def scored(clean: Column) -> Column:
+        words = F.split(clean, " ")
+        among = lambda frequent: F.size(F.filter(words, lambda w: w.isin(*frequent)))
+        best = F.array_max(F.array(*[F.struct(among(frequent).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("code")) for i, (k, frequent) in enumerate(profiles.items())]))
+        return F.struct(F.when(best["n"] > 0, best["code"]).otherwise("zxx").alias("code"), F.least(F.lit(1.0), best["n"] * 4.0 / F.size(words)).alias("p"))
+
+    return scored
+
+
+def common_share(text: Column, common: tuple[str, ...]) -> Column:
+    """Share of a text's words (letters and apostrophes) that are frequent words; 0 without words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z']+"), F.lit(0))
+    return F.size(F.filter(words, lambda w: w.isin(*common))) / _at_least_one(F.size(words))
+
+
+def odd_body_share(text: Column) -> Column:
+    """Share of private-use, unassigned, control and replacement characters, white space left out."""
+    body = F.regexp_replace(text, SPACE, "")
+    return _count(body, r"[\p{Co}\p{Cn}\p{Cc}\x{FFFD}]") / _at_least_one(F.length(body))
+
+
+def stored(text: Column) -> Column:
+    return F.left(text, F.lit(STORED_CHARS))
+
+
+def characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def garble_cid(text: Column) -> Column:
     """A layer as some broken fonts give it: each ASCII letter as its code."""
     return F.regexp_replace(text, "[A-Za-z]", "(cid:12)")
+
+
+def garble_codes(text: Column) -> Column:
+    """Every letter as a code that depends on it: its code point modulo 97, plus 3."""
+    one = lambda c: F.when(c.rlike(r"^\p{L}$"), F.concat(F.lit("(cid:"), (F.ascii(c) % 97 + 3).cast("string"), F.lit(")"))).otherwise(c)
+    return F.array_join(F.transform(characters(text), one), "")
+
+
+def garble_shift(text: Column, by: int = 29) -> Column:
+    """Every letter `by` code points further, as glyph numbers without a table of characters come out.  Letters of the basic plane."""
+    code = lambda c: F.decode(F.unhex(F.lpad(F.hex(F.ascii(c) + by), 4, "0")), "UTF-16BE")
+    return F.array_join(F.transform(characters(text), lambda c: F.when(c.rlike(r"^\p{L}$"), code(c)).otherwise(c)), "")
+
+
+def garble_bytes(text: Column) -> Column:
+    """UTF-8 read as Latin-1, each e doubled that way and each a lost."""
+    read = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.replace(F.replace(read, F.lit("e"), F.lit("Ã©")), F.lit("a"), F.lit(""))

@@ -12,32 +12,57 @@ from pyspark.sql import functions as F
 CODES = {"capture": {"clean": ["L3"], "degraded": ["L4"], "borderline": ["L3", "L4"], "handwritten": ["L5"], "unusable": []}, "layout": {"simple": ["L1"], "complex": ["L2"], "borderline": ["L1", "L2"], "unusable": []}}
 
 
-def difference_hash(values: Column, n: int = 64) -> Column:
-    """Long whose bit i says that value i + 1 exceeds value i."""
-    bits = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.when(F.element_at(values, i + 1) > F.element_at(values, i), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda h, b: h * 2 + b)
+#: Rows and columns of the grey picture that a difference hash is taken of.
+GRID = (16, 17)
 
 
-def near_pairs(hashes: DataFrame, most: int = 12, bits: int = 63) -> DataFrame:
-    """a, b, distance of rows (id, h) at most `most` bits apart, a < b.
+def difference_hash(grey: Column) -> Column:
+    """array<long> of 256 bits: whether a picture's value exceeds its left neighbour's, 16 rows of 17 values."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    With `most` + 1 bands one is equal in every such pair, so the join is on bands and each
-    pair is kept only in the first band in which it agrees.
+    def bit(i: Column) -> Column:  # i of 256 from 0; its right-hand value stands behind i // 16 further ones, row by row
+        at = i + F.floor(i / (GRID[1] - 1)).cast("int") + 1
+        return F.when(F.element_at(grey, at + 1) > F.element_at(grey, at), one).otherwise(zero)
+
+    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda h, k: h.bitwiseOR(F.call_function("shiftleft", bit(F.lit(64 * w) + k), k)))
+    return F.array(*map(word, range(4)))
+
+
+def near_pairs(hashes: DataFrame, most: int = 2) -> DataFrame:
+    """a, b, distance of rows (id, doc, h) of different documents whose hashes (four longs) differ in at most `most` bits, a < b.
+
+    With two bits or fewer at least two of the four words are equal, so the join is on pairs of words; a pair is kept in
+    the first of these in which it agrees.  Equal hashes are joined as one, and pairs of their rows made last.
     """
-    n = most + 1
-    edge = [i * bits // n for i in range(n + 1)]
-    bands = [F.shiftrightunsigned("h", edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)) for i in range(n)]
-    keyed = hashes.select("id", "h", F.posexplode(F.array(*bands)).alias("band", "key"))
+    if most > 2:
+        raise ValueError("two equal words of four are only sure up to two bits")
+    known = hashes.select("h").distinct()
+    two = [(i, j) for i in range(4) for j in range(i)]
+    keyed = known.select("h", F.posexplode(F.array(*[F.struct(F.col("h")[i].alias("p"), F.col("h")[j].alias("q")) for i, j in two])).alias("band", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    d = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h")))
-    j = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (d <= most))
-    return j.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).distinct()
+    same = F.array(*[(F.col("a.h")[i] == F.col("b.h")[i]) & (F.col("a.h")[j] == F.col("b.h")[j]) for i, j in two])
+    d = sum(F.bit_count(F.col("a.h")[i].bitwiseXOR(F.col("b.h")[i])) for i in range(4))
+    j = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))).filter((d <= most) & (F.array_position(same, True) == F.col("a.band") + 1))
+    near = j.select(F.col("a.h").alias("x"), F.col("b.h").alias("y"), d.alias("distance"))
+    x, y = (hashes.select(F.col("h").alias(c), F.col("id").alias(f"id_{c}"), F.col("doc").alias(f"doc_{c}")) for c in "xy")
+    pairs = near.join(x, "x").join(y, "y").filter((F.col("id_x") < F.col("id_y")) & (F.col("doc_x") != F.col("doc_y")))
+    return pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "distance")
+
 
+#: How a source page is named in an attribution.  Fixed values.
+SOURCE_PAGE = (r"olmOCR-Bench.*(bench_data/pdfs/\S+\.pdf)", r"(Berzerker/gnhk_ocr_dataset).*row_idx=(\d+)", r"PureDocBench.*(page_id=\S+)")
 
-def overlapping(texts: DataFrame, items: DataFrame, pattern: str) -> DataFrame:
-    """doc_id, item_id of texts that share an identifier (what the pattern finds) with an item."""
-    ids = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("found"))
-    return ids(texts, "doc_id").join(ids(items, "item_id"), "found").select("doc_id", "item_id").distinct()
+
+def source_pages(text: Column) -> Column:
+    """Identifiers of source pages in an attribution: what the patterns' groups hold, joined."""
+    groups = lambda p: F.concat_ws(" ", *[F.regexp_extract(text, p, i + 1) for i in range(p.count("(") - p.count(r"\("))])
+    return F.array_compact(F.array(*[F.when(text.rlike(p), groups(p)) for p in SOURCE_PAGE]))
+
+
+def overlapping(pages: DataFrame, other: DataFrame) -> DataFrame:
+    """key, found of pages (key, source) whose source page the other set (source) has too."""
+    taken = other.select(F.explode(source_pages(F.col("source"))).alias("found")).distinct()
+    return pages.select("key", F.explode(source_pages(F.col("source"))).alias("found")).join(taken, "found", "left_semi").select("key", "found")
 
 
 def verdicts(opinions: DataFrame) -> DataFrame:
@@ -47,28 +72,19 @@ def verdicts(opinions: DataFrame) -> DataFrame:
     opinions across one boundary give both lanes, and otherwise the majority decides.
     """
     lanes = F.create_map(*[x for r, codes in CODES.items() for c, ls in codes.items() for x in (F.lit(f"{r}/{c}"), F.array(*map(F.lit, ls)) if ls else F.array().cast("array<string>"))])
-    votes = opinions.groupBy("key", "rubric").pivot("labeller", ["a", "b", "c"]).agg(F.first("code"))
     of = lambda code: F.element_at(lanes, F.concat("rubric", F.lit("/"), code))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    said = F.array_compact(F.array(a, b, c))
-    usable = F.filter(said, lambda x: x != "unusable")
-    all_lanes = F.array_sort(F.array_distinct(F.flatten(F.transform(usable, of))))
-    inside = lambda *pair: (F.size(all_lanes) > 0) & (F.size(F.array_except(all_lanes, F.array(*map(F.lit, pair)))) == 0)
-    pair = F.when(inside("L1", "L2"), F.array(F.lit("L1"), F.lit("L2"))).when(inside("L3", "L4"), F.array(F.lit("L3"), F.lit("L4")))
-    major = F.when((c == a) | (c == b), c)
-    unusable = F.size(said) - F.size(usable)
-    state = (
-        F.when(a.isNull() | b.isNull(), "pending")
-        .when(a == b, F.when(F.size(of(a)) > 0, "final").otherwise("drop"))
-        .when(c.isNull(), "needs_c")
-        .when(unusable >= 2, "drop")
-        .when(pair.isNotNull() & (F.size(F.array_distinct(usable)) > 1), "final")
-        .when(major.isNotNull() & (F.size(of(major)) > 0), "final")
-        .otherwise("drop")
-    )
-    found = F.when(a == b, of(a)).when(pair.isNotNull() & (F.size(F.array_distinct(usable)) > 1), pair).otherwise(of(major))
-    out = votes.withColumn("state", state)
-    return out.select("key", "state", F.when(F.col("state") == "final", found).otherwise(F.array().cast("array<string>")).alias("lanes"))
+    none = F.array().cast("array<string>")
+    table = opinions.groupBy("key", "rubric").pivot("labeller", ["a", "b", "c"]).agg(F.first("code"))
+    table = table.withColumn("given", F.array_compact(F.array("a", "b", "c")))
+    table = table.withColumn("useful", F.array_remove("given", "unusable")).withColumn("spread", F.array_distinct(F.flatten(F.transform("useful", of))))
+    within = [F.when((F.size("spread") > 0) & (F.size(F.array_except("spread", F.array(F.lit(lo), F.lit(hi)))) == 0), F.array(F.lit(lo), F.lit(hi))) for lo, hi in (("L1", "L2"), ("L3", "L4"))]
+    table = table.withColumn("boundary", F.when(F.size(F.array_distinct("useful")) > 1, F.coalesce(*within)))
+    agreed, third = F.col("a") == F.col("b"), F.col("c").isin(F.col("a"), F.col("b"))
+    decided = F.when(agreed, of(F.col("a"))).when(F.size("given") - F.size("useful") >= 2, none).otherwise(F.coalesce("boundary", F.when(third, of(F.col("c"))), none))
+    waiting = F.when(F.col("a").isNull() | F.col("b").isNull(), "pending").when(~agreed & F.col("c").isNull(), "needs_c")
+    out = table.withColumns({"waiting": waiting, "decided": decided})
+    state = F.coalesce("waiting", F.when(F.size("decided") > 0, "final").otherwise("drop"))
+    return out.select("key", state.alias("state"), F.when(F.col("waiting").isNull(), F.col("decided")).otherwise(none).alias("lanes"))
 
 
 def append_opinions(store: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,24 +96,25 @@ def append_opinions(store: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
     return joined.filter("old is null").drop("old"), joined.filter("old <> code")
 
 
+#: What goes before an id that is hashed for a split.  Fixed value.
+SALT = "split:"
+SIDES = ("tune", "holdout")
+
+
 def split_rank(doc: Column) -> Column:
-    return F.sha2(F.concat(F.lit("split:"), doc.cast("string")), 256)
+    return F.sha2(F.concat(F.lit(SALT), doc.cast("string")), 256)
 
 
 def _balance(pdf: pd.DataFrame) -> pd.DataFrame:
-    count = {"tune": 0, "holdout": 0}
-    for split, weight in zip(pdf["fixed"], pdf["weight"], strict=True):
-        if split in count:
-            count[split] += weight
-    pdf, out = pdf.assign(rank=[hashlib.sha256(f"split:{d}".encode()).hexdigest() for d in pdf["doc_id"]]).sort_values("rank"), []
-    for rank, fixed, weight in zip(pdf["rank"], pdf["fixed"], pdf["weight"], strict=True):
-        if fixed in count:
-            out.append(fixed)
-            continue
-        even = count["tune"] == count["holdout"]
-        out.append(("tune", "holdout")[int(rank, 16) % 2] if even else min(count, key=count.get))
-        count[out[-1]] += weight
-    return pd.DataFrame({"doc_id": pdf["doc_id"], "stratum": pdf["stratum"], "split": out})
+    digest = pdf["doc_id"].map(lambda d: hashlib.sha256(f"{SALT}{d}".encode()).hexdigest())
+    pdf = pdf.assign(digest=digest, split=pdf["fixed"].where(pdf["fixed"].isin(SIDES))).sort_values("digest")
+    lead = pdf["weight"].where(pdf["split"] == SIDES[0], -pdf["weight"].where(pdf["split"] == SIDES[1], 0)).sum()  # how much heavier the first side is
+    open_ = pdf["split"].isna()
+    for at in pdf.index[open_]:
+        second = int(pdf.at[at, "digest"][-1], 16) % 2 == 1 if lead == 0 else lead > 0
+        pdf.at[at, "split"] = SIDES[int(second)]
+        lead += -pdf.at[at, "weight"] if second else pdf.at[at, "weight"]
+    return pdf[["doc_id", "stratum", "split"]]
 
 
 def sticky_split(docs: DataFrame) -> DataFrame:
@@ -116,7 +133,7 @@ def round_robin(rows: DataFrame, stratum: str, n: int) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", stratum).limit(n)
 
 
-def hash_order(ids: Column, salt: str = "split:") -> tuple[Column, Column]:
+def hash_order(ids: Column, salt: str = SALT) -> tuple[Column, Column]:
     """A stable order for ids, and its parity."""
     h = F.sha2(F.concat(F.lit(salt), ids), 256)
     return h, F.conv(F.right(h, F.lit(1)), 16, 10).cast("int") % 2

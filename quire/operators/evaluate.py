@@ -17,17 +17,32 @@ def hit(lane: str) -> Column:
     return F.array_contains("gt", F.col(lane))
 
 
-def nearest_rank(value: Column, q: float) -> Column:
-    """The element min(n - 1, int(q n)) of the sorted values, 0 when there are none."""
-    s = F.sort_array(F.collect_list(value))
-    n = F.size(s)
-    return F.coalesce(F.try_element_at(s, F.least(n - 1, F.floor(n * q).cast("int")) + 1), F.lit(0).cast("long"))
+def order_statistics(counted: DataFrame, by: list[str], value: str, at: dict[str, Column], rest: list[Column] | None = None) -> DataFrame:
+    """by and, for each name in at, the value at that place (from 0) among a group's sorted values; `rest` is aggregated too.
+
+    counted: a row for each group and value with n, how often it occurs, so that no group is gathered as a list.  The
+    places are Columns over `all`, the group's number of values.
+    """
+    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = counted.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*by))})
+    return c.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in at.items()], *(rest or []))
+
+
+def nearest_rank(q: float) -> Column:
+    """Place min(n - 1, int(q n))."""
+    return F.least(F.col("all") - 1, F.floor(F.col("all") * q))
 
 
-def upper_rank(value: Column, q: float) -> Column:
-    """The element max(0, int(q n) - 1) of the sorted values."""
-    s = F.sort_array(F.collect_list(value))
-    return F.try_element_at(s, F.greatest(F.floor(F.size(s) * q).cast("int"), F.lit(1)))
+def upper_rank(q: float) -> Column:
+    """Place max(0, int(q n) - 1)."""
+    return F.greatest(F.floor(F.col("all") * q) - 1, F.lit(0))
+
+
+def latencies(rows: DataFrame, *by: str) -> DataFrame:
+    """p50 and p95 by nearest rank, p95 by the upper rank, and the median, of latency_ms."""
+    counted = rows.groupBy(*by, "latency_ms").agg(F.count("*").alias("n"))
+    at = {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95), "upper95": upper_rank(0.95), "low": F.floor((F.col("all") - 1) / 2), "high": F.floor(F.col("all") / 2)}
+    return order_statistics(counted, list(by), "latency_ms", at).select(*by, "p50", "p95", "upper95", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def _ranks(rows: DataFrame) -> DataFrame:
@@ -35,19 +50,33 @@ def _ranks(rows: DataFrame) -> DataFrame:
 
 
 def metrics(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts and rates by the given columns, or over all rows."""
+    """Counts and rates by the given columns, or over all rows, in one pass: sums by latency first, then over the latencies."""
     r = _ranks(rows).withColumn("most_rank", F.array_max(F.array_compact(F.transform("gt", policy.rank))))
-    share = lambda c: F.avg(c.cast("int"))
-    return r.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        share(hit("lane")).alias("accuracy"),
-        share(hit("candidate")).alias("candidate_accuracy"),
-        F.count_if(F.col("lane_rank") < F.col("gt_rank")).alias("under"),
-        F.count_if(F.col("lane_rank") > F.col("most_rank")).alias("over"),
-        share(F.col("lane") == "LH").alias("review_rate"),
-        nearest_rank(F.col("latency_ms"), 0.5).alias("p50_ms"),
-        nearest_rank(F.col("latency_ms"), 0.95).alias("p95_ms"),
-        F.sum("cost_micro").alias("cost_micro"),
+    counts = {
+        "n": F.lit(True),
+        "right": hit("lane"),
+        "right_candidates": hit("candidate"),
+        "under": F.col("lane_rank") < F.col("gt_rank"),
+        "candidate_under": F.col("candidate_rank") < F.col("gt_rank"),
+        "over": F.col("lane_rank") > F.col("most_rank"),
+        "reviewed": F.col("lane") == "LH",
+    }
+    counted = r.groupBy(*by, "latency_ms").agg(*[F.count_if(c).alias(k) for k, c in counts.items()], F.sum("cost_micro").alias("cost_micro"))
+    m = order_statistics(counted, list(by), "latency_ms", {"p50_ms": nearest_rank(0.5), "p95_ms": nearest_rank(0.95)}, [F.sum(k).alias(k) for k in (*counts, "cost_micro")])
+    share = lambda c: F.col(c) / F.col("n")
+    return m.select(
+        *by,
+        "n",
+        share("right").alias("accuracy"),
+        share("right_candidates").alias("candidate_accuracy"),
+        "under",
+        "candidate_under",
+        "over",
+        share("reviewed").alias("review_rate"),
+        "p50_ms",
+        "p95_ms",
+        "cost_micro",
+        F.round(F.col("cost_micro") / 1000 / F.col("n"), 4).alias("cost_per_1k"),
     )
 
 
@@ -70,32 +99,58 @@ def threshold(cost_ratio: float) -> float:
     return round(max(0.0, 1 - 1 / cost_ratio), 6)
 
 
-def pool(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[tuple[float, float]]:
-    """Isotonic fit by pooling neighbours that fall; x ascending and distinct.  Knots at both ends of each pool."""
-    blocks: list[list[float]] = []  # first x, last x, sum, weight
-    for xi, t, w in zip(x, total, weight, strict=True):
-        blocks.append([xi, xi, t, w])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
-            _, hi, t2, w2 = blocks.pop()
-            blocks[-1][1:] = [hi, blocks[-1][2] + t2, blocks[-1][3] + w2]
-    return [(float(k), round(t / w, 4)) for lo, hi, t, w in blocks for k in ([lo] if lo == hi else [lo, hi])]
+def lower_hull(weight: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
+    """Isotonic means by their definition: first and last position and slope of each edge of the lower convex hull.
+
+    The points are the running sums of total against those of weight, from (0, 0).  From each vertex the hull
+    goes on to the point of least slope, the last one of these on a tie.
+    """
+    x, y = np.append(0.0, np.cumsum(weight)), np.append(0.0, np.cumsum(total))
+    at, edges = 0, []
+    while at < len(weight):
+        slopes = (y[at + 1 :] - y[at]) / (x[at + 1 :] - x[at])
+        end = len(weight) - int(np.argmin(slopes[::-1]))
+        edges.append((at, end - 1, float(slopes[end - at - 1])))
+        at = end
+    return edges
 
 
 def _curve(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("x")
-    knots = pool(pdf["x"].to_numpy(), pdf["ok"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float))
+    x, edges = pdf["x"].to_numpy(), lower_hull(pdf["n"].to_numpy(dtype=float), pdf["ok"].to_numpy(dtype=float))
+    knots = [(x[k], round(slope, 4)) for lo, hi, slope in edges for k in sorted({lo, hi})]
     return pd.DataFrame({"curve": pdf["curve"].iloc[0], "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
 
 
 def curves(rows: DataFrame) -> DataFrame:
     """curve ('*' for all lanes, else a lane with CURVE_ROWS cases), x, y.
 
-    Ties are grouped first; x has four places, so a curve's group has 10,001 rows at most however many cases there are.
+    Ties are grouped first; x has four places, so a curve's group has 10,001 rows at most however many cases there are,
+    and what counts a curve's cases needs no second pass over them.
     """
     usable = rows.filter(F.col("candidate").isin(*[x for x in policy.RANK if x != "L0"])).select("candidate", F.round("path_p", 4).alias("x"), hit("candidate").cast("int").alias("ok"))
-    each = usable.withColumn("curve", F.explode(F.array(F.lit("*"), F.col("candidate")))).groupBy("curve", "x").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
-    enough = each.groupBy("curve").agg(F.sum("n").alias("rows")).filter((F.col("rows") >= CURVE_ROWS) | (F.col("curve") == "*")).select("curve")
-    return each.join(enough, "curve").groupBy("curve").applyInPandas(_curve, "curve string, x double, y double")
+    each = usable.groupBy("candidate", "x").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
+    each = each.withColumn("curve", F.explode(F.array(F.lit("*"), F.col("candidate")))).groupBy("curve", "x").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"))
+    cases = F.sum("n").over(Window.partitionBy("curve"))
+    return each.withColumn("cases", cases).filter((F.col("cases") >= CURVE_ROWS) | (F.col("curve") == "*")).groupBy("curve").applyInPandas(_curve, "curve string, x double, y double")
+
+
+def knot_table(fitted: DataFrame) -> DataFrame:
+    """One row a curve with its knots as array<struct<x, y>>, ascending."""
+    return fitted.groupBy("curve").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("knots"))
+
+
+def calibration(fitted: DataFrame, cost_ratio: float, basis: str | None) -> dict:
+    """version, threshold, cost_ratio, basis, curves: what a calibration file holds.  Its version follows its contents."""
+    knots = {r["curve"]: [[k["x"], k["y"]] for k in r["knots"]] for r in knot_table(fitted).collect()}
+    parts = {"pooled": knots.pop("*", []), "lanes": dict(sorted(knots.items())), "threshold": threshold(cost_ratio), "basis": basis}
+    return {"version": "c2-" + policy.digest_of(parts, 10), "cost_ratio": cost_ratio, **parts}
+
+
+def one_basis(rows: DataFrame) -> DataFrame:
+    """bases, null counted as one, and whether the rows can be fitted on."""
+    n = rows.agg((F.count_distinct("basis") + F.max(F.col("basis").isNull().cast("int"))).alias("bases"))
+    return n.select("bases", (F.col("bases") == 1).alias("fits"))
 
 
 def outcome(rows: DataFrame, least: float) -> DataFrame:
@@ -158,18 +213,21 @@ def run_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("a.lane") == F.col("b.lane")).alias("same"), F.sum(F.round(F.abs(F.col("a.p") - F.col("b.p")) * 1_000_000).cast("long")).alias("moved_micro"))
 
 
-def bootstrap(rows: DataFrame, resamples: int = 1000, seed: int = 3) -> DataFrame:
-    """Percentile interval of the mean of ok over resamples of whole rows.
+def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 3, places: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """low and high of the mean of value over resamples of whole rows with replacement: order statistics at int(place * resamples).
 
-    Row i counts in resample k as often as a Poisson(1) draw made from their hash, so no row is
-    copied or collected; the sums are all that is shuffled.
+    Rows are counted by value first.  Draw j of resample k picks the row at place hash(seed, k, j) modulo n in order of
+    value, found among the running counts of the distinct values, so neither order nor place of the rows matters and
+    every run agrees.  The draws are made on the executors; a benchmark's pages bound their number.
     """
-    u = (F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
-    steps, p, term = F.lit(0), 0.0, np.exp(-1.0)
-    for i in range(1, 9):
-        p += term
-        steps = steps + (u > float(p)).cast("int")
-        term /= i
-    drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", steps)
-    means = drawn.groupBy("k").agg((F.sum(F.col("w") * F.col("ok")) / F.greatest(F.sum("w"), F.lit(1))).alias("mean"))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.count("*").alias("resamples"))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row a distinct value
+    packed = counted.withColumn("upto", upto).agg(F.array_sort(F.collect_list(F.struct("upto", "value"))).alias("steps"), F.sum("n").alias("n"))
+    spark = rows.sparkSession
+    drawn = spark.range(1, resamples + 1).withColumnRenamed("id", "k").repartition("k").join(F.broadcast(packed)).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "k", "j")), 1, 15)
+    place = F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("n"))
+    picked = F.element_at(F.filter("steps", lambda s: s["upto"] > place), 1)["value"]
+    means = drawn.groupBy("k").agg(F.avg(picked).alias("mean")).withColumn("i", F.row_number().over(Window.orderBy("mean", "k")) - 1)
+    at = [int(q * resamples) for q in places]
+    return means.agg(F.min(F.when(F.col("i") == at[0], F.col("mean"))).alias("low"), F.min(F.when(F.col("i") == at[1], F.col("mean"))).alias("high"), F.count("*").alias("resamples"))

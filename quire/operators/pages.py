@@ -21,11 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explode_pages(docs: DataFrame, size: int = PAGE_CHARS) -> DataFrame:
-    """doc_id, source, lang, page, text: texts cut into pages of `size` code points; one page at least.  Null text is empty."""
-    whole = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("whole"))
-    last = F.greatest(F.ceil(F.length("whole") / size) - 1, F.lit(0)).cast("int")
-    paged = whole.withColumn("page", F.explode(F.sequence(F.lit(0), last)))
-    return paged.select("doc_id", "source", "lang", "page", F.substring("whole", F.col("page") * size + 1, F.lit(size)).alias("text"))
+    """doc_id, source, lang, page, text: texts cut into pages of `size` code points; one page at least.  Null text is empty.
+
+    One pass over each text, whatever its length.
+    """
+    whole = F.coalesce("text", F.lit(""))
+    cut = F.when(whole == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    return docs.select("doc_id", "source", "lang", F.posexplode(cut).alias("page", "text"))
 
 
 def layers(pages: DataFrame) -> DataFrame:
@@ -43,9 +45,9 @@ def noise(seed: int) -> Column:
     return ((F.col("doc_id") * 7919 + F.col("page") * 104729 + seed * 1299709) % 1000) / 1000.0
 
 
-def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answered(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Measured pages with trust, the scripted answers and their lane and path; no shuffle up to here."""
-    m = measured(layers(explode_pages(documents(spark, sf_dir))))
+    m = measured(layers(explode_pages(documents(spark, sf_dir) if docs is None else docs)))
     m = m.withColumn("trusted", policy.trusted(F.col("chars"), F.lit(""), F.col("cid_share"), F.col("odd_char_share"), F.lit(False), F.lit(0.0)))
     made = {k: noise(seed) * scale for k, (seed, scale) in SCRIPTED.items()}
     made["text_layer_trustworthy"] = F.when(F.col("trusted"), 0.5 + noise(2) * 0.5).otherwise(noise(2) * 0.6)
@@ -57,15 +59,20 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumns({"candidate": rules.lane(), "path_p": rules.path()})
 
 
-def routed(spark: SparkSession, sf_dir: str, least: float = 0.35) -> DataFrame:
-    return answered(spark, sf_dir).withColumn("lane", policy.reviewed(F.col("candidate"), F.col("path_p"), least))
+def routed(spark: SparkSession, sf_dir: str, least: float = 0.35, docs: DataFrame | None = None) -> DataFrame:
+    return answered(spark, sf_dir, docs).withColumn("lane", policy.reviewed(F.col("candidate"), F.col("path_p"), least))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routed pages of labelled documents with a set of right lanes, group, split, latency and cost."""
+    """Routed pages of labelled documents with a set of right lanes, group, split, latency and cost.
+
+    Only labelled documents are cut into pages and measured.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    docs = documents(spark, sf_dir)
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     gt = F.when(F.col("toxic") == 1, F.array(F.lit("L3"), F.lit("L4"))).when(F.col("quality") == 0, F.array(F.lit("L2"))).when(F.col("doc_id") % 3 == 0, F.array(F.lit("L1"), F.lit("L2"))).otherwise(F.array(F.lit("L1")))
     group = F.element_at(F.array(*map(F.lit, ("img", "pdf", "ocr", "garb"))), (F.col("doc_id") % 4 + 1).cast("int"))
     split = F.when(F.col("doc_id") % 3 == 0, "tune").when(F.col("doc_id") % 3 == 1, "holdout")
-    rows = routed(spark, sf_dir).join(labels, "doc_id")
+    rows = routed(spark, sf_dir, docs=labelled).join(labels, "doc_id")
     return rows.withColumns({"gt": gt, "grp": group, "split": split, "latency_ms": (F.col("doc_id") * 31 + F.col("page") * 17) % 5000, "cost_micro": F.col("chars").cast("long") * 3})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.operators.lifecycle import EDGES
 from quire.operators.pages import SCRIPTED
 
-from . import review_oracles
+from . import containers, language, review_oracles
 from .probe_oracles import oracles
 from .queries import KNOTS
 
@@ -54,9 +54,10 @@ VERDICTS = OPINIONS + """, w AS (SELECT key, max(code) FILTER (labeller = 'a') A
           CASE WHEN a = b THEN codes[a] WHEN len(list_distinct(usable)) > 1 THEN ['L1', 'L2'] ELSE codes[major] END AS found FROM u),
     verdicts AS (SELECT key, state, CASE WHEN state = 'final' THEN found ELSE []::VARCHAR[] END AS lanes FROM v)"""
 _STRATA = """st AS (SELECT doc_id, concat_ws(' ', source, quality::VARCHAR) AS stratum FROM documents JOIN labels USING (doc_id))"""
-_SCRIPT = lambda p: f"len(regexp_extract_all(text, '{p}'))"
-_HIST = PAGES + rf""", h AS (SELECT doc_id, page, {_SCRIPT(r'\p{L}')} AS letters, len(list_filter(regexp_extract_all(text, '\p{{Latin}}'), lambda q: regexp_matches(q, '\p{{L}}'))) AS latin, {_SCRIPT(r'[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]')} AS cjk, {_SCRIPT(r'\p{Arabic}')} AS arabic, {_SCRIPT(r'\p{Cyrillic}')} AS cyrillic FROM p),
-    hh AS (SELECT doc_id, page, list_filter([{{'script': 'latin', 'n': latin}}, {{'script': 'cjk', 'n': cjk}}, {{'script': 'arabic', 'n': arabic}}, {{'script': 'cyrillic', 'n': cyrillic}}, {{'script': 'other', 'n': letters - latin - cjk - arabic - cyrillic}}], lambda s: s.n > 0) AS s FROM h)"""
+_CLASSES = {"latin": r"\p{Latin}", "cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", "arabic": r"\p{Arabic}", "cyrillic": r"\p{Cyrillic}"}
+_SEEN = lambda cs: ", ".join(f"{{'at': list_position({cs}, list_filter({cs}, lambda c: regexp_matches(c, '{p}'))[1]), 'script': '{k}', 'n': len(list_filter({cs}, lambda c: regexp_matches(c, '{p}')))}}" for k, p in (*_CLASSES.items(), ("other", "^[^" + "".join(v.strip("[]") for v in _CLASSES.values()) + "]$")))
+_HIST = lambda source: rf""", hh AS (SELECT doc_id, page, list_sort(list_filter([{_SEEN('cs')}], lambda s: s.n > 0)) AS s, greatest(len(cs), 1) AS letters FROM (SELECT doc_id, page, regexp_extract_all({source}, '\p{{L}}') AS cs FROM p)),
+    sh AS (SELECT doc_id, page, list_transform(s, lambda q: {{'script': q.script, 'share': round(q.n / letters, 2)}}) AS s FROM hh)"""
 
 ORACLE_SQL = {
     "doc_pages": f"WITH {PAGES} SELECT doc_id, page, length(text) AS n FROM p",
@@ -71,8 +72,9 @@ ORACLE_SQL = {
     "calibrated_lookup": f"""WITH {ANSWERED}, k(x, y) AS (VALUES {_KNOTS}), kk AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM k)
         SELECT doc_id, page, round(CASE WHEN path_p <= {KNOTS[0][0]} THEN {KNOTS[0][1]} WHEN path_p >= {KNOTS[-1][0]} THEN {KNOTS[-1][1]} ELSE y + (path_p - x) / (x2 - x) * (y2 - y) END, 4)::DOUBLE AS confidence
         FROM r LEFT JOIN kk ON path_p > {KNOTS[0][0]} AND path_p < {KNOTS[-1][0]} AND x <= path_p AND path_p < x2""",
-    "fixed_routes": """SELECT page_id, CASE WHEN strlen(coalesce(html, '')) = 0 THEN 'text' ELSE 'text' END AS kind, CASE WHEN regexp_matches(lower(substr(html, 1, 512)), '<html|<!doctype html') THEN 'text/html' ELSE 'text/plain' END AS mime,
-        CASE WHEN strlen(coalesce(html, '')) = 0 OR strlen(html) > 200 * 1024 * 1024 THEN 'LQ' ELSE 'L0' END AS lane FROM pages""",
+    "fixed_routes": """WITH k AS (SELECT *, strlen(coalesce(html, '')) = 0 AS bare FROM pages)
+        SELECT page_id, CASE WHEN bare THEN 'unknown' ELSE 'text' END AS kind, CASE WHEN bare THEN 'application/octet-stream' WHEN regexp_matches(lower(substr(html, 1, 512)), '<html|<!doctype html') THEN 'text/html' ELSE 'text/plain' END AS mime,
+        CASE WHEN bare THEN 'LQ' ELSE 'L0' END AS lane, CASE WHEN bare THEN 'quarantined: empty' ELSE 'native text format' END AS reason FROM k""",
     "describe_text": f"""WITH {MEASURED} SELECT doc_id, page, CASE WHEN chars = 0 THEN 'Embedded text layer: none.' ELSE 'Embedded text layer: ' || concat_ws(', ', CASE WHEN chars < 100 THEN 'only a few words' WHEN chars < 500 THEN 'a short amount of text' ELSE 'a full page of text' END,
         CASE WHEN cid_share > 0.3 THEN 'does not read as text in any language: encoding codes' WHEN chars < 20 THEN 'mostly numbers and symbols' ELSE 'reads as ' || lang || ' text' END,
         CASE WHEN cid_share > 0.05 THEN 'contains encoding codes like (cid:NN)' END, CASE WHEN odd_char_share > 0.05 THEN 'many unusual or private-use symbols' END, CASE WHEN short_token_share > 0.35 THEN 'many one-letter fragments' END,
@@ -81,23 +83,22 @@ ORACLE_SQL = {
         SELECT doc_id, page, 'Layout: ' || CASE WHEN t = 0 THEN 'no tables' WHEN t = 1 THEN '1 table' WHEN t < 5 THEN t || ' tables' ELSE 'many tables' END || ', ' || CASE WHEN f = 0 THEN 'no formula blocks' WHEN f = 1 THEN '1 formula block' WHEN f < 5 THEN f || ' formula blocks' ELSE 'many formula blocks' END
         || ', ' || CASE WHEN g = 0 THEN 'no figures' WHEN g = 1 THEN '1 figure' WHEN g < 5 THEN g || ' figures' ELSE 'many figures' END || ', ' || CASE WHEN doc_id % 2 = 0 THEN 'text is laid out in two or more columns' ELSE 'text is in a single column' END || '.' AS said FROM k""",
     "previous_tail": f"WITH {PAGES} SELECT doc_id, page, tail FROM (SELECT doc_id, page, right(lag(text) OVER (PARTITION BY doc_id ORDER BY page), 600) AS tail FROM p) WHERE tail <> ''",
-    "script_histogram": f"WITH {_HIST} SELECT doc_id, page, s.script AS script, s.n::BIGINT AS n FROM (SELECT doc_id, page, unnest(s) AS s FROM hh)",
-    "dominant_script": f"WITH {_HIST} SELECT doc_id, page, coalesce(list_filter(s, lambda q: q.n = list_max(list_transform(s, lambda z: z.n)))[1].script, '') AS script FROM hh",
+    "script_histogram": f"WITH {PAGES}{_HIST('text')} SELECT doc_id, page, (i - 1)::INT AS place, s[i].script AS script, s[i].share AS share FROM (SELECT doc_id, page, s, unnest(range(1, len(s) + 1)) AS i FROM sh)",
+    "dominant_script": f"WITH {PAGES}{_HIST("CASE WHEN doc_id % 8 = 0 THEN 'ддд abc' ELSE text END")} SELECT doc_id, page, coalesce(list_filter(s, lambda q: q.share = list_max(list_transform(s, lambda z: z.share)))[1].script, '') AS script FROM sh",
     "agreement_jaccard": f"""WITH {PAGES}, n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY page) AS other FROM p),
         u AS (SELECT doc_id, page, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(other), '[\\p{{L}}\\p{{M}}]{{3,}}')) AS b FROM n WHERE other IS NOT NULL)
         SELECT doc_id, page, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 3) END AS agreement FROM u""",
-    "guards": rf"""WITH {PAGES}, k AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^\s]+'), lambda t: len(regexp_extract_all(t, '[\p{{L}}\p{{M}}]'))), lambda n: n > 0) AS w FROM p)
-        SELECT doc_id, page, CASE WHEN len(regexp_extract_all(text, '[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\x{{FFFD}}]')) >= 0.02 * greatest(length(text), 1) THEN 'control or unassigned characters'
-            WHEN len(w) > 0 AND 2 * len(list_filter(w, lambda n: n = 1)) >= len(w) THEN 'mostly one-letter words' WHEN list_sum(w) > 0 AND coalesce(list_sum(list_filter(w, lambda n: n >= 25)), 0) >= 0.6 * list_sum(w) THEN 'words run together' ELSE '' END AS guard FROM k""",
-    "garble_cid": "SELECT doc_id, length(g) AS n, md5(g) AS digest FROM (SELECT doc_id, regexp_replace(text, '[A-Za-z]', '(cid:12)', 'g') AS g FROM documents)",
+    "guards": rf"""WITH {PAGES}, k AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^\s]+'), lambda t: len(regexp_extract_all(t, '\p{{L}}'))), lambda n: n > 0) AS w FROM p)
+        SELECT doc_id, page, CASE WHEN len(regexp_extract_all(text, '[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\x{{FFFD}}]')) >= 0.02 * greatest(length(text), 1) THEN 'control or undefined characters'
+            WHEN len(w) > 0 AND 2 * len(list_filter(w, lambda n: n = 1)) >= len(w) THEN 'many one-letter fragments' WHEN list_sum(w) > 0 AND coalesce(list_sum(list_filter(w, lambda n: n >= 25)), 0) >= 0.6 * list_sum(w) THEN 'words run together without spaces' ELSE '' END AS guard FROM k""",
     "segment_runs": f"WITH RECURSIVE {SEGMENTS} SELECT * FROM seg",
     "segment_width": f"WITH RECURSIVE {SEGMENTS} SELECT doc_id, start, round((stop - start + 1) * 100.0::DOUBLE / (max(stop) OVER (PARTITION BY doc_id) + 1), 4) AS width FROM seg",
     "manifests": f"WITH RECURSIVE {SEGMENTS}, n AS (SELECT doc_id, count(*)::INT AS n_segments FROM seg GROUP BY doc_id) SELECT doc_id, count(*)::INT AS n_pages, any_value(n_segments) AS n_segments, string_agg(lane, ',' ORDER BY page) AS lanes, sum(cost_micro)::BIGINT AS cost_micro FROM ro JOIN n USING (doc_id) GROUP BY doc_id",
     "manifest_reuse": "SELECT doc_id, NOT (doc_id % 6 = 0) AS route FROM documents",
     "bomb_predicate": "SELECT archive, sum(size)::BIGINT AS total, sum(size) > 1000000000 OR bool_or(size > 10000000 AND size > 100 * greatest(packed, 1)) AS bomb FROM (SELECT l_orderkey AS archive, trunc(l_extendedprice * 1000)::BIGINT AS size, trunc(l_quantity * 5000)::BIGINT AS packed FROM lineitem) GROUP BY archive",
     "dedup_bytes": "SELECT sha256(coalesce(text, '')) AS sha, max(strlen(coalesce(text, '')))::INT AS size, count(*) AS copies FROM documents GROUP BY 1",
-    "eval_metrics": f"""WITH {CASES} SELECT grp, count(*) AS n, avg(ok_lane::INT) AS accuracy, avg(ok::INT) AS candidate_accuracy, count(*) FILTER (lane_rank < gt_rank) AS under, count(*) FILTER (lane_rank > most_rank) AS over, avg((lane = 'LH')::INT) AS review_rate,
-        list_sort(list(latency_ms))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50_ms, list_sort(list(latency_ms))[least(count(*) - 1, floor(0.95::DOUBLE * count(*))::BIGINT) + 1] AS p95_ms, sum(cost_micro)::BIGINT AS cost_micro FROM c GROUP BY grp""",
+    "eval_metrics": f"""WITH {CASES} SELECT grp, count(*) AS n, avg(ok_lane::INT) AS accuracy, avg(ok::INT) AS candidate_accuracy, count(*) FILTER (lane_rank < gt_rank) AS under, count(*) FILTER (candidate_rank < gt_rank) AS candidate_under, count(*) FILTER (lane_rank > most_rank) AS over, avg((lane = 'LH')::INT) AS review_rate,
+        list_sort(list(latency_ms))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50_ms, list_sort(list(latency_ms))[least(count(*) - 1, floor(0.95::DOUBLE * count(*))::BIGINT) + 1] AS p95_ms, sum(cost_micro)::BIGINT AS cost_micro, round(sum(cost_micro) / 1000 / count(*), 4) AS cost_per_1k FROM c GROUP BY grp""",
     "eval_grouping_sets": f"""WITH {CASES}, g AS (SELECT grouping(grp, split) AS grain, grp, split, count(*) AS n, sum(ok::INT)::BIGINT AS "right" FROM c GROUP BY GROUPING SETS ((), (grp), (split)))
         SELECT CASE grain WHEN 3 THEN 'all' WHEN 1 THEN 'group' ELSE 'split' END AS grain, coalesce(grp, split, CASE WHEN grain = 3 THEN '*' END) AS value, n, "right" FROM g WHERE coalesce(grp, split, CASE WHEN grain = 3 THEN '*' END) IS NOT NULL""",
     "confusion_pivot": f"WITH {CASES} SELECT array_to_string(gt, '/') AS gt, " + ", ".join(f"count(*) FILTER (candidate = '{x}') AS {x}" for x in ("L1", "L2", "L3", "L4", "L5")) + " FROM c GROUP BY 1",
@@ -115,13 +116,24 @@ ORACLE_SQL = {
         mn AS (SELECT a.curve, a.i AS j, b.i AS k, min((b.co - a.co + a.ok) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.curve, a.i ORDER BY b.i DESC) AS low FROM q a JOIN q b ON a.curve = b.curve AND a.i <= b.i),
         f AS (SELECT curve, k AS i, max(low) AS y FROM mn GROUP BY curve, k), z AS (SELECT q.curve, q.x, f.y, lag(f.y) OVER o AS before, lead(f.y) OVER o AS after FROM q JOIN f USING (curve, i) WINDOW o AS (PARTITION BY q.curve ORDER BY q.x))
         SELECT curve, x, round(y, 4) AS y FROM z WHERE before IS NULL OR after IS NULL OR abs(y - before) > 1e-12 OR abs(y - after) > 1e-12""",
-    "near_duplicates": """WITH h AS (SELECT vec_id AS id, list_sum(list_transform(generate_series(1, 63), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN (1::HUGEINT << (63 - i)::INT) ELSE 0 END))::BIGINT AS h FROM embeddings)
-        SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 14""",
-    "disjoint_check": r"""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}]{14,}')) AS f FROM documents), b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[\p{L}]{14,}')) AS f FROM benchmark)
-        SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (f)""",
+    "near_duplicates": """WITH g AS (SELECT vec_id AS v, list_transform(range(272), lambda i: embedding[i * 13 % 64 + 1]::DOUBLE) AS grey FROM embeddings),
+        b AS (SELECT v + 100000 AS id, CASE WHEN v % 3 = 0 THEN v ELSE v + 100000 END AS doc, list_transform(range(272), lambda i: CASE WHEN i = v % 272 OR (v % 7 = 0 AND i = (v % 272 + 100) % 272) THEN 9.0 ELSE grey[i + 1] END) AS grey FROM g WHERE v % 5 = 0),
+        h AS (SELECT id, doc, array_to_string(list_transform(range(256), lambda i: CASE WHEN grey[i // 16 * 17 + i % 16 + 2] > grey[i // 16 * 17 + i % 16 + 1] THEN '1' ELSE '0' END), '')::BIT AS h FROM (SELECT v AS id, v AS doc, grey FROM g UNION ALL SELECT * FROM b))
+        SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.id < b.id AND a.doc <> b.doc WHERE bit_count(xor(a.h, b.h)) <= 2""",
+    "disjoint_check": r"""SELECT doc_id AS key, CASE doc_id % 4 WHEN 0 THEN 'bench_data/pdfs/' || source || '-' || doc_id || '.pdf' WHEN 1 THEN 'Berzerker/gnhk_ocr_dataset ' || doc_id ELSE 'page_id=' || doc_id END AS found FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 < 3""",
     "label_verdicts": f"WITH {VERDICTS} SELECT key, state, array_to_string(lanes, '/') AS lanes FROM verdicts",
     "contradictions": f"WITH {VERDICTS} SELECT key, CASE WHEN key % 2 = 0 THEN 'L1' ELSE 'L2' END AS prior, array_to_string(lanes, '/') AS lanes FROM verdicts WHERE state = 'final' AND NOT list_contains(lanes, CASE WHEN key % 2 = 0 THEN 'L1' ELSE 'L2' END)",
     "conflict_append": f"""WITH {OPINIONS}, n AS (SELECT o.*, CASE WHEN key % 5 = 0 THEN 'complex' ELSE code END AS new, key % 3 = 0 AS fresh FROM o) SELECT CASE WHEN fresh THEN 'append' ELSE 'conflict' END AS what, labeller, count(*) AS n FROM n WHERE fresh OR new <> code GROUP BY ALL""",
+    "bootstrap": f"""WITH {CASES}, bv AS (SELECT ok::INT AS value, count(*) AS n FROM c GROUP BY 1), bs AS (SELECT value, sum(n) OVER (ORDER BY value)::BIGINT AS upto, sum(n) OVER ()::BIGINT AS total FROM bv),
+        bn AS (SELECT any_value(total) AS total, min(upto) FILTER (value = 0) AS zeros FROM bs), bk AS (SELECT unnest(range(1, 1001)) AS k), bj AS (SELECT unnest(range(1, total + 1)) AS j, total, coalesce(zeros, 0) AS zeros FROM bn),
+        bm AS (SELECT k, avg((('0x' || md5('3:' || k || ':' || j)[1:15])::BIGINT % total >= zeros)::INT) AS mean FROM bk, bj GROUP BY k), br AS (SELECT mean, row_number() OVER (ORDER BY mean, k) - 1 AS i FROM bm)
+        SELECT min(mean) FILTER (i = 25) AS low, min(mean) FILTER (i = 975) AS high, count(*) AS resamples FROM br""",
+    "sticky_split": f"""WITH RECURSIVE st AS (SELECT doc_id, concat_ws(' ', source, quality::VARCHAR) AS stratum, ceil((coalesce(n_chars, 0) + 1) / 1200)::BIGINT AS weight, doc_id % 10 = 0 AS fixed, sha256('split:' || doc_id) AS digest FROM documents JOIN labels USING (doc_id)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY digest) AS i FROM st WHERE NOT fixed), b AS (SELECT stratum, coalesce(sum(weight) FILTER (fixed), 0)::BIGINT AS lead FROM st GROUP BY stratum),
+        f AS (SELECT stratum, 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::VARCHAR AS split, lead FROM b UNION ALL
+            SELECT f.stratum, o.i, o.doc_id, CASE WHEN second THEN 'holdout' ELSE 'tune' END, f.lead + CASE WHEN second THEN -o.weight ELSE o.weight END FROM f JOIN o ON o.stratum = f.stratum AND o.i = f.i + 1,
+            LATERAL (SELECT CASE WHEN f.lead = 0 THEN ('0x' || right(o.digest, 1))::INT % 2 = 1 ELSE f.lead > 0 END AS second))
+        SELECT doc_id, stratum, split FROM f WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id, stratum, 'tune' FROM st WHERE fixed""",
     "stratified_round_robin": f"WITH {_STRATA}, t AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('split:' || doc_id), doc_id)::INT AS turn FROM st) SELECT doc_id, stratum, turn FROM t ORDER BY turn, stratum LIMIT 50",
     "cross_tab": f"WITH {VERDICTS} SELECT key % 4 AS part, count(*) FILTER (state = 'final') AS final, count(*) FILTER (state = 'needs_c') AS needs_c, count(*) FILTER (state = 'drop') AS \"drop\" FROM verdicts GROUP BY 1",
     "axis_scores": f"""WITH {CASES}, s AS (SELECT split AS name, avg(ok::INT) AS lane, avg(((tl >= 0.5) = list_contains(gt, 'L1'))::INT) AS trust, avg(CASE WHEN doc_id % 6 <> 0 THEN ((has_table >= 0.5) = list_contains(gt, 'L2'))::INT END) AS table_ FROM c WHERE split IS NOT NULL GROUP BY split)
@@ -148,4 +160,5 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL |= oracles(ANSWERED, MEASURED, CASES, EVENTS)
+ORACLE_SQL |= containers.ORACLE_SQL | language.oracles(PAGES, LAYERS, MEASURED)
 ORACLE_SQL |= review_oracles.oracles(PAGES, ANSWERED, CASES, EVENTS, ORACLE_SQL["describe_text"])

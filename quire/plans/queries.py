@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import evidence, policy, text
 from quire.operators import dataset, evaluate, intake, lifecycle, pages, segments
 
-from . import probes, reviews
+from . import containers, language, probes, reviews
 
 Spark = SparkSession
 _KEYS = ["doc_id", "page"]
@@ -68,9 +68,10 @@ def calibrated_lookup(spark: Spark, d: str) -> DataFrame:
 
 
 def fixed_routes(spark: Spark, d: str) -> DataFrame:
-    p = _t(spark, d, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("size"), intake.sniff(F.col("html").cast("binary"), F.lit("page")).alias("s"))
-    reason = intake.quarantine(F.col("size"))
-    return p.select("page_id", F.col("s.kind").alias("kind"), F.col("s.mime").alias("mime"), intake.fixed_lane(F.col("s.kind"), reason).alias("lane"))
+    files = _t(spark, d, "pages").select("page_id", F.lit("page").alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    p = intake.typed(files)
+    kind, reason = F.col("kind"), F.col("quarantine")
+    return p.select("page_id", "kind", "mime", intake.fixed_lane(kind, reason).alias("lane"), intake.fixed_reason(kind, reason).alias("reason"))
 
 
 def describe_text(spark: Spark, d: str) -> DataFrame:
@@ -95,12 +96,14 @@ def previous_tail(spark: Spark, d: str) -> DataFrame:
 
 
 def script_histogram(spark: Spark, d: str) -> DataFrame:
-    p = pages.explode_pages(pages.documents(spark, d)).select(*_KEYS, F.explode(text.script_counts(F.col("text"))).alias("s"))
-    return p.select(*_KEYS, "s.script", F.col("s.n").cast("long").alias("n"))
+    p = pages.explode_pages(pages.documents(spark, d)).select(*_KEYS, F.posexplode(text.script_shares(F.col("text"))).alias("place", "s"))
+    return p.select(*_KEYS, "place", "s.script", "s.share")
 
 
 def dominant_script(spark: Spark, d: str) -> DataFrame:
-    return pages.explode_pages(pages.documents(spark, d)).select(*_KEYS, text.dominant_script(text.script_counts(F.col("text"))).alias("script"))
+    """Every eighth document has as many Cyrillic letters put in front as it has Latin ones after, so that order decides."""
+    tied = F.when(F.col("doc_id") % 8 == 0, F.concat(F.repeat(F.lit("д"), F.lit(3)), F.lit(" abc"))).otherwise(F.col("text"))
+    return pages.explode_pages(pages.documents(spark, d)).select(*_KEYS, text.dominant_script(text.script_shares(tied)).alias("script"))
 
 
 def agreement_jaccard(spark: Spark, d: str) -> DataFrame:
@@ -118,10 +121,6 @@ def chunk_fold(spark: Spark, d: str) -> DataFrame:
     return pages.explode_pages(pages.documents(spark, d)).select(*_KEYS, F.posexplode(text.chunks(F.col("text"))).alias("chunk", "text"))
 
 
-def garble_cid(spark: Spark, d: str) -> DataFrame:
-    return pages.documents(spark, d).select("doc_id", F.length(text.garble_cid(F.col("text"))).alias("n"), F.md5(text.garble_cid(F.col("text"))).alias("digest"))
-
-
 def _routes(spark: Spark, d: str) -> DataFrame:
     r = pages.routed(spark, d)
     mods = policy.Rules(F.col).modifiers(F.col("candidate"), F.lit(1), F.lit("latin"))
@@ -171,8 +170,7 @@ def confusion_pivot(spark: Spark, d: str) -> DataFrame:
 
 
 def nearest_rank(spark: Spark, d: str) -> DataFrame:
-    ms = F.col("latency_ms")
-    return pages.cases(spark, d).groupBy("grp").agg(evaluate.nearest_rank(ms, 0.5).alias("p50"), evaluate.nearest_rank(ms, 0.95).alias("p95"), evaluate.upper_rank(ms, 0.95).alias("upper95"), F.median("latency_ms").alias("median"))
+    return evaluate.latencies(pages.cases(spark, d), "grp")
 
 
 def wrong_cases(spark: Spark, d: str) -> DataFrame:
@@ -203,13 +201,29 @@ def ece(spark: Spark, d: str) -> DataFrame:
 
 
 def near_duplicates(spark: Spark, d: str) -> DataFrame:
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), dataset.difference_hash(F.col("embedding")).alias("h"))
-    return dataset.near_pairs(e, most=14)
+    """Vectors laid out as pictures of 16 rows of 17, and for some a second picture with one or two cells made bright."""
+    rows, columns = dataset.GRID
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    grey = F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.element_at("embedding", i * 13 % 64 + 1).cast("double"))
+    e = e.select("v", grey.alias("grey"))
+    cell = (F.col("v") % 272).cast("int")
+    bright = F.transform("grey", lambda g, i: F.when((i == cell) | ((F.col("v") % 7 == 0) & (i == (cell + 100) % 272)), F.lit(9.0)).otherwise(g))
+    second = e.filter("v % 5 = 0").select((F.col("v") + 100_000).alias("id"), F.when(F.col("v") % 3 == 0, F.col("v")).otherwise(F.col("v") + 100_000).alias("doc"), bright.alias("grey"))
+    both = e.select(F.col("v").alias("id"), F.col("v").alias("doc"), "grey").unionByName(second)
+    return dataset.near_pairs(both.select("id", "doc", dataset.difference_hash(F.col("grey")).alias("h")))
+
+
+def _sources(spark: Spark, d: str) -> DataFrame:
+    """Attributions as both sets write them, made from the documents' ids and sources."""
+    i = F.col("doc_id").cast("string")
+    written = [F.concat(F.lit("olmOCR-Bench, file bench_data/pdfs/"), "source", F.lit("-"), i, F.lit(".pdf, CC")), F.concat(F.lit("Berzerker/gnhk_ocr_dataset train row_idx="), i), F.concat(F.lit("PureDocBench page_id="), i, F.lit(" v1")), F.concat(F.lit("https://example.org/"), i)]
+    return pages.documents(spark, d).select(F.col("doc_id").alias("key"), F.element_at(F.array(*written), (F.col("doc_id") % 4 + 1).cast("int")).alias("source"))
 
 
 def disjoint_check(spark: Spark, d: str) -> DataFrame:
-    docs, items = pages.documents(spark, d).select("doc_id", "text"), _t(spark, d, "benchmark").select("item_id", "text")
-    return dataset.overlapping(docs, items, r"[\p{L}]{14,}")
+    """Pages of the new set whose source page the old set (every third document, named anew) has."""
+    s = _sources(spark, d)
+    return dataset.overlapping(s, s.filter("key % 3 = 0").select(F.concat(F.lit("taken from "), "source").alias("source")))
 
 
 def _opinions(spark: Spark, d: str) -> DataFrame:
@@ -283,7 +297,7 @@ def run_agreement(spark: Spark, d: str) -> DataFrame:
 
 def bootstrap(spark: Spark, d: str) -> DataFrame:
     c = pages.cases(spark, d)
-    return evaluate.bootstrap(c.select((F.col("doc_id") * 1000 + F.col("page")).alias("id"), evaluate.hit("candidate").cast("int").alias("ok")))
+    return evaluate.bootstrap(c.select(evaluate.hit("candidate").cast("int").alias("ok")), "ok")
 
 
 def job_state(spark: Spark, d: str) -> DataFrame:
@@ -336,5 +350,5 @@ def daily_events(spark: Spark, d: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, garble_cid, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, gcra_waits, newest_jobs, recent_medians, occupancy, spend_cap, shortest_path, answers_cache, daily_events)}
-QUERIES |= probes.QUERIES | reviews.QUERIES
+QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, gcra_waits, newest_jobs, recent_medians, occupancy, spend_cap, shortest_path, answers_cache, daily_events)}
+QUERIES |= probes.QUERIES | reviews.QUERIES | language.QUERIES | containers.QUERIES
