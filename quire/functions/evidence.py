@@ -6,7 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MATH_SHARE = 0.008
-#: Fixed phrases.
+#: Characters of a page's and of the previous page's text that are shown.  Fixed values.
+SAMPLE_CHARS, PREVIOUS_CHARS = 1200, 600
+#: Bounds of the bins (upper ones are exclusive) with their phrases, in order; the last has no bound.  Fixed values.
+AMOUNT = [(100, "only a few words"), (500, "a short amount of text"), (None, "a full page of text")]
+SHARPNESS = [(300, "very soft or blurry"), (1500, "somewhat soft"), (None, "sharp")]
+CONTRAST = [(25, "low contrast"), (None, "normal contrast")]
+BACKGROUND = [(235, "grey or tinted paper background"), (None, "white paper background")]
+#: Bounds that a value has to exceed, or to reach where `reach` is said, from the highest; the last has no bound.  Fixed values.
+COLOUR = [(15, "colourful"), (3, "some colour"), (None, "greyscale")]
+COVERAGE = [(0.9, "the page is one full-page image"), (0.3, "images cover a large part of the page"), (None, "little or no image content")]
+AGREEMENT = [
+    (0.5, "The embedded text layer and a fresh OCR pass mostly agree."),
+    (0.2, "The embedded text layer and a fresh OCR pass partly agree."),
+    (None, "The embedded text layer and a fresh OCR pass mostly disagree, so the layer is probably not a faithful copy of the page."),
+]
+#: Phrases on page edges, on text layers and on PDFs.  Fixed values.
+DARK_EDGES = "dark or coloured surroundings at the page edges, as when a page is photographed on a surface"
+UNEVEN_EDGES, CLEAN_EDGES, NOISE, BILEVEL = "uneven or speckled page edges", "clean white page edges", "visible pixel noise", "almost only pure black and pure white pixels"
+CODES, ODD, FRAGMENTS, MATHS = "contains encoding codes like (cid:NN)", "many unusual or private-use symbols", "many one-letter fragments", "frequent mathematical symbols or operators"
+IMAGE_INPUT, PDF_INPUT = "Input: an image file (JPEG) with no embedded text.", "Input: a one-page PDF"
+HIDDEN, SCANNED = "its text layer is hidden behind or under the page image, typical of an earlier OCR pass", "made by scanning or OCR software ("
+MATH_FONTS, NO_MATHS, MONO_FONTS = "uses mathematical fonts", "no mathematical fonts or symbols", "uses monospaced fonts"
+PRODUCERS = ("Tesseract", "ABBYY", "img2pdf")
+TWO_COLUMNS, ONE_COLUMN = "text is laid out in two or more columns", "text is in a single column"
 SCRIPT_NAMES = {"latin": "Latin letters", "cjk": "Chinese, Japanese or Korean characters", "arabic": "Arabic letters", "cyrillic": "Cyrillic letters", "other": "letters of another script"}
 UNREADABLE = "does not read as text in any language"
 
@@ -20,6 +43,24 @@ def _sentence(head: str, parts: list[Column]) -> Column:
     return F.concat(F.lit(head), F.concat_ws(", ", *parts), F.lit("."))
 
 
+def _below(value: Column, bins: list) -> Column:
+    """Phrase of the first bin whose bound value is below."""
+    *bounded, (_, last) = bins
+    out = F
+    for bound, said in bounded:
+        out = out.when(value < bound, F.lit(said))
+    return out.otherwise(F.lit(last))
+
+
+def _above(value: Column, bins: list, reach: bool = False) -> Column:
+    """Phrase of the first bin whose bound value exceeds (or reaches)."""
+    *bounded, (_, last) = bins
+    out = F
+    for bound, said in bounded:
+        out = out.when(value >= bound if reach else value > bound, F.lit(said))
+    return out.otherwise(F.lit(last))
+
+
 def reads(unreadable: Column, readability: Column, language: Column) -> Column:
     known = language != ""
     return (
@@ -32,30 +73,16 @@ def reads(unreadable: Column, readability: Column, language: Column) -> Column:
 
 
 def describe_text(what: str, chars: Column, reading: Column, cid: Column, odd: Column, short: Column, math: Column, script: Column, unreadable: Column) -> Column:
-    amount = F.when(chars < 100, "only a few words").when(chars < 500, "a short amount of text").otherwise("a full page of text")
-    parts = [
-        amount,
-        reading,
-        F.when(cid > 0.05, F.lit("contains encoding codes like (cid:NN)")),
-        F.when(odd > 0.05, F.lit("many unusual or private-use symbols")),
-        F.when((short > 0.35) & ~unreadable.contains("one-letter"), F.lit("many one-letter fragments")),
-        F.when(math >= MATH_SHARE, F.lit("frequent mathematical symbols or operators")),
-        F.when(script != "", F.concat(F.lit("mostly "), _named(SCRIPT_NAMES, script))),
-    ]
+    flags = [(cid > 0.05, CODES), (odd > 0.05, ODD), ((short > 0.35) & ~unreadable.contains("one-letter"), FRAGMENTS), (math >= MATH_SHARE, MATHS)]
+    most = F.when(script != "", F.concat(F.lit("mostly "), _named(SCRIPT_NAMES, script)))
+    parts = [_below(chars, AMOUNT), reading, *[F.when(test, F.lit(said)) for test, said in flags], most]
     return F.when(chars == 0, F.lit(f"{what}: none.")).otherwise(_sentence(f"{what}: ", parts))
 
 
 def describe_image(sharpness: Column, contrast: Column, border_mean: Column, border_std: Column, background: Column, colour: Column, noise: Column, bilevel: Column) -> Column:
-    parts = [
-        F.when(sharpness < 300, "very soft or blurry").when(sharpness < 1500, "somewhat soft").otherwise("sharp"),
-        F.when(contrast < 25, "low contrast").otherwise("normal contrast"),
-        F.when(border_mean < 200, "dark or coloured surroundings at the page edges, as when a page is photographed on a surface").when(border_std > 20, "uneven or speckled page edges").otherwise("clean white page edges"),
-        F.when(background < 235, "grey or tinted paper background").otherwise("white paper background"),
-        F.when(colour > 15, "colourful").when(colour > 3, "some colour").otherwise("greyscale"),
-        F.when(noise >= 2, F.lit("visible pixel noise")),
-        F.when((bilevel > 0.95) & (contrast < 30), F.lit("almost only pure black and pure white pixels")),
-    ]
-    return _sentence("Page image: ", parts)
+    edges = F.when(border_mean < 200, DARK_EDGES).when(border_std > 20, UNEVEN_EDGES).otherwise(CLEAN_EDGES)
+    flags = [F.when(noise >= 2, F.lit(NOISE)), F.when((bilevel > 0.95) & (contrast < 30), F.lit(BILEVEL))]
+    return _sentence("Page image: ", [_below(sharpness, SHARPNESS), _below(contrast, CONTRAST), edges, _below(background, BACKGROUND), _above(colour, COLOUR), *flags])
 
 
 def coarse_count(n: Column, noun: str) -> Column:
@@ -63,7 +90,7 @@ def coarse_count(n: Column, noun: str) -> Column:
 
 
 def columns_phrase(columns: Column) -> Column:
-    return F.when(columns == 2, F.lit("text is laid out in two or more columns")).when(columns == 1, F.lit("text is in a single column"))
+    return F.when(columns == 2, F.lit(TWO_COLUMNS)).when(columns == 1, F.lit(ONE_COLUMN))
 
 
 def describe_layout(tables: Column, formulas: Column, figures: Column, figure_area: Column, columns: Column) -> Column:
@@ -71,24 +98,33 @@ def describe_layout(tables: Column, formulas: Column, figures: Column, figure_ar
     return _sentence("Layout: ", [coarse_count(tables, "table"), coarse_count(formulas, "formula block"), figure, columns_phrase(columns)])
 
 
-def describe_structure(coverage: Column, hidden: Column, producer: Column, math_font: Column, mono_font: Column, chars: Column, math: Column, columns: Column) -> Column:
-    scanner = producer.contains("Tesseract") | producer.contains("ABBYY") | producer.contains("img2pdf")
+def describe_structure(is_pdf: Column, coverage: Column, hidden: Column, producer: Column, math_font: Column, mono_font: Column, chars: Column, math: Column, columns: Column) -> Column:
+    """Sentence on a page's structure; columns is null where the layout's sentence tells them."""
+    scanner = F.exists(F.array(*map(F.lit, PRODUCERS)), lambda p: producer.contains(p))
     parts = [
-        F.lit("Input: a one-page PDF"),
-        F.when(coverage > 0.9, "the page is one full-page image").when(coverage > 0.3, "images cover a large part of the page").otherwise("little or no image content"),
-        F.when(hidden & (coverage > 0.9), F.lit("its text layer is hidden behind or under the page image, typical of an earlier OCR pass")),
-        F.when(scanner, F.concat(F.lit("made by scanning or OCR software ("), F.element_at(F.split(F.trim(producer), r"\s+"), 1), F.lit(")"))),
-        F.when(math_font, F.lit("uses mathematical fonts")).when((chars > 0) & (math < MATH_SHARE), F.lit("no mathematical fonts or symbols")),
-        F.when(mono_font, F.lit("uses monospaced fonts")),
+        F.lit(PDF_INPUT),
+        _above(coverage, COVERAGE),
+        F.when(hidden & (coverage > 0.9), F.lit(HIDDEN)),
+        F.when(scanner, F.concat(F.lit(SCANNED), F.element_at(F.split(F.trim(producer), r"\s+"), 1), F.lit(")"))),
+        F.when(math_font, F.lit(MATH_FONTS)).when((chars > 0) & (math < MATH_SHARE), F.lit(NO_MATHS)),
+        F.when(mono_font, F.lit(MONO_FONTS)),
         columns_phrase(columns),
     ]
-    return _sentence("", parts)
+    return F.when(is_pdf, _sentence("", parts)).otherwise(F.lit(IMAGE_INPUT))
 
 
 def describe_agreement(a: Column) -> Column:
-    disagree = "The embedded text layer and a fresh OCR pass mostly disagree, so the layer is probably not a faithful copy of the page."
-    said = F.when(a >= 0.5, "The embedded text layer and a fresh OCR pass mostly agree.").when(a >= 0.2, "The embedded text layer and a fresh OCR pass partly agree.").otherwise(disagree)
-    return F.when(a.isNotNull(), said)
+    return F.when(a.isNotNull(), _above(a, AGREEMENT, reach=True))
+
+
+def state(is_pdf: Column, sentences_: list[Column], text: Column, vision: Column, previous: Column) -> Column:
+    """struct<page_evidence, embedded_text_sample, vision_check, previous_page_text_sample> that answers are asked on; null parts weren't shown."""
+    return F.struct(
+        F.concat_ws(" ", *sentences_).alias("page_evidence"),
+        F.when(is_pdf, F.left(text, F.lit(SAMPLE_CHARS))).alias("embedded_text_sample"),
+        vision.alias("vision_check"),
+        F.when(previous != "", F.right(previous, F.lit(PREVIOUS_CHARS))).alias("previous_page_text_sample"),
+    )
 
 
 # The phrases of the vision check.

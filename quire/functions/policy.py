@@ -8,11 +8,14 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Questions whose answers make a page complex or degraded.  Fixed values.
 COMPLEX = ("complex_layout", "has_code", "has_table", "is_form", "has_math")
 DEGRADED = ("camera_or_fax", "heavily_degraded", "capture_defects")
 #: Rank of lanes that a document can be sent to; review and quarantine have none.  Fixed values.
 RANK = {"L0": 0, "L1": 1, "L2": 2, "L3": 3, "L4": 4, "L5": 5}
+#: Scripts that are flagged, and what reasons say.  Fixed values.
 FLAGGED_SCRIPTS = ("cjk", "arabic", "hebrew", "cyrillic", "greek")
+TRUSTED, UNTRUSTED, COMPLEX_LAYOUT, SIMPLE_LAYOUT, HANDWRITTEN, DEGRADED_PAGE, CLEAN_PAGE = "trusted text layer", "no trusted text", "complex layout", "simple layout", "mostly handwritten", "degraded or photo/fax", "clean image"
 
 
 def two_places(p: Column) -> Column:
@@ -52,13 +55,13 @@ class Rules:
 
     def reasons(self) -> Column:
         say = lambda what, p: F.concat(F.lit(f"{what} ("), two_places(p), F.lit(")"))
-        layer, none = say("trusted text layer", self.trust), say("no trusted text", 1 - self.trust)
+        layer, none = say(TRUSTED, self.trust), say(UNTRUSTED, 1 - self.trust)
         return self._branch(
-            F.array(say("mostly handwritten", self.hand)),
-            F.array(layer, say("complex layout", self.complexity)),
-            F.array(layer, say("simple layout", 1 - self.complexity)),
-            F.array(none, say("degraded or photo/fax", self.bad)),
-            F.array(none, say("clean image", 1 - self.bad)),
+            F.array(say(HANDWRITTEN, self.hand)),
+            F.array(layer, say(COMPLEX_LAYOUT, self.complexity)),
+            F.array(layer, say(SIMPLE_LAYOUT, 1 - self.complexity)),
+            F.array(none, say(DEGRADED_PAGE, self.bad)),
+            F.array(none, say(CLEAN_PAGE, 1 - self.bad)),
         )
 
     def modifiers(self, lane: Column, columns: Column, script: Column) -> Column:
@@ -78,6 +81,18 @@ def reviewed(lane: Column, p: Column, least) -> Column:
     return F.when(p < least, F.lit("LH")).otherwise(lane)
 
 
+def confidence(curves: Column, lane: Column, p: Column) -> Column:
+    """Calibrated probability by the lane's curve in a map of curves, or by the pooled one ('*') where it has none."""
+    return interpolate(F.coalesce(F.try_element_at(curves, lane), F.element_at(curves, F.lit("*"))), p)
+
+
+def review(candidate: Column, path: Column, calibrated: Column, threshold: Column, raw: float) -> tuple[Column, Column]:
+    """Final lane, and why it is review (null if it isn't): by the calibrated probability where there is one, else by the raw path."""
+    low = lambda how, p, least: F.concat(F.lit(f"low confidence ({how} "), two_places(p), F.lit(" < "), two_places(least), F.lit(")"))
+    why = F.when(calibrated.isNotNull(), F.when(calibrated < threshold, low("calibrated", calibrated, threshold))).when(path < raw, low("path", path, F.lit(raw)))
+    return F.when(why.isNotNull(), F.lit("LH")).otherwise(candidate), why
+
+
 def interpolate(knots: Column, p: Column) -> Column:
     """Piecewise-linear curve through knots (array<struct<x, y>>, ascending x), level beyond both ends."""
     first, last = F.element_at(knots, 1), F.element_at(knots, -1)

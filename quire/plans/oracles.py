@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.operators.lifecycle import EDGES
 from quire.operators.pages import SCRIPTED
 
-from . import containers, language, review_oracles
+from . import containers, decisions, language, review_oracles
 from .probe_oracles import oracles
 from .queries import KNOTS
 
@@ -59,13 +59,15 @@ _SEEN = lambda cs: ", ".join(f"{{'at': list_position({cs}, list_filter({cs}, lam
 _HIST = lambda source: rf""", hh AS (SELECT doc_id, page, list_sort(list_filter([{_SEEN('cs')}], lambda s: s.n > 0)) AS s, greatest(len(cs), 1) AS letters FROM (SELECT doc_id, page, regexp_extract_all({source}, '\p{{L}}') AS cs FROM p)),
     sh AS (SELECT doc_id, page, list_transform(s, lambda q: {{'script': q.script, 'share': round(q.n / letters, 2)}}) AS s FROM hh)"""
 
+_REASONS = f"""CASE WHEN hw >= 0.5 THEN 'mostly handwritten (' || {_P2('hw')} || ')' WHEN tl >= 0.5 THEN 'trusted text layer (' || {_P2('tl')} || '); ' || CASE WHEN cx >= 0.5 THEN 'complex layout (' || {_P2('cx')} || ')' ELSE 'simple layout (' || {_P2('1 - cx')} || ')' END
+    ELSE 'no trusted text (' || {_P2('1 - tl')} || '); ' || CASE WHEN bad >= 0.5 THEN 'degraded or photo/fax (' || {_P2('bad')} || ')' ELSE 'clean image (' || {_P2('1 - bad')} || ')' END END"""
+
 ORACLE_SQL = {
     "doc_pages": f"WITH {PAGES} SELECT doc_id, page, length(text) AS n FROM p",
     "text_stats": f"WITH {MEASURED} SELECT doc_id, page, chars, cid_share, odd_char_share, short_token_share, math_share FROM m",
     "trust_gate": f"WITH {ANSWERED} SELECT doc_id, page, trusted, NOT trusted AND chars > 0 AS needs_ocr FROM r",
     "lane_rule_table": f"WITH {ANSWERED} SELECT doc_id, page, candidate, round(path_p, 4) AS path_p FROM r",
-    "reasons": f"""WITH {ANSWERED} SELECT doc_id, page, CASE WHEN hw >= 0.5 THEN 'mostly handwritten (' || {_P2('hw')} || ')' WHEN tl >= 0.5 THEN 'trusted text layer (' || {_P2('tl')} || '); ' || CASE WHEN cx >= 0.5 THEN 'complex layout (' || {_P2('cx')} || ')' ELSE 'simple layout (' || {_P2('1 - cx')} || ')' END
-        ELSE 'no trusted text (' || {_P2('1 - tl')} || '); ' || CASE WHEN bad >= 0.5 THEN 'degraded or photo/fax (' || {_P2('bad')} || ')' ELSE 'clean image (' || {_P2('1 - bad')} || ')' END END AS reasons FROM r""",
+    "reasons": f"WITH {ANSWERED} SELECT doc_id, page, {_REASONS} AS reasons FROM r",
     "modifiers": f"WITH {ANSWERED} SELECT doc_id, page, array_to_string({_MODS(', CASE WHEN doc_id % 5 = 0 THEN ' + chr(39) + 'multi_column' + chr(39) + ' END')}, ',') AS modifiers FROM r",
     "review_override": f"WITH {ANSWERED} SELECT doc_id, page, lane, candidate FROM routed",
     "lane_histogram": f"WITH {ANSWERED} SELECT lane, count(routed.lane) AS n FROM (VALUES ('L0'), ('L1'), ('L2'), ('L3'), ('L4'), ('L5'), ('LH'), ('LQ')) lanes(lane) LEFT JOIN routed USING (lane) GROUP BY lane",
@@ -160,5 +162,6 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL |= oracles(ANSWERED, MEASURED, CASES, EVENTS)
+ORACLE_SQL |= decisions.oracles(PAGES, MEASURED, ANSWERED, _REASONS, _P2)
 ORACLE_SQL |= containers.ORACLE_SQL | language.oracles(PAGES, LAYERS, MEASURED)
 ORACLE_SQL |= review_oracles.oracles(PAGES, ANSWERED, CASES, EVENTS, ORACLE_SQL["describe_text"])
