@@ -94,16 +94,28 @@ def with_next(docs: DataFrame) -> DataFrame:
     return inside.join(tails, "bucket", "left").select("doc_id", "text", F.coalesce("lead", "head").alias("next_text"))
 
 
+def edited_text() -> Column:
+    """The text with its last floor(n_chars / 2) code points replaced by the first as many of next_text."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
+
+
 def numbered(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(digest, form, number) for digests in which different canonical bytes meet; as good as always empty.
 
-    prints: digest of each document.  Only digests that two documents share are looked at.
+    prints: fingerprint, edited_fingerprint and near_edited of each document.  Only digests that two texts share are looked
+    at; an edited text whose canonical bytes are its own document's was compared with those already.
     """
-    shared = prints.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-    forms = docs.select(canonical(F.col("text")).alias("form")).withColumn("digest", digest(F.col("form")))
-    distinct = forms.join(shared, "digest", "left_semi").groupBy("digest", "form").agg(F.count("*").alias("n")).select("digest", "form")
+    edited = prints.filter("near_edited < 1").select(F.col("edited_fingerprint").alias("digest"), F.lit(1).alias("edited"))
+    counts = prints.select(F.col("fingerprint").alias("digest"), F.lit(0).alias("edited")).unionByName(edited).groupBy("digest").agg(F.count("*").alias("n"), F.sum("edited").alias("edited"))
+    shared = checkpoint(counts.filter("n > 1").select("digest", "edited"))
+    n = shared.agg(F.count("*").alias("n"), F.count_if(F.col("edited") > 0).alias("edited")).first()
+    small = F.broadcast if n["n"] <= BROADCAST_ROWS else lambda df: df
+    forms = docs.select(canonical(F.col("text")).alias("form")).withColumn("digest", digest(F.col("form"))).join(small(shared), "digest", "left_semi")
+    if n["edited"]:
+        more = with_next(docs).select(canonical(edited_text()).alias("form")).withColumn("digest", digest(F.col("form")))
+        forms = forms.unionByName(more.join(small(shared.filter("edited > 0")), "digest", "left_semi").select(*forms.columns))
+    distinct = forms.groupBy("digest", "form").agg(F.count("*").alias("n")).select("digest", "form")
     several = distinct.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     return distinct.join(several, "digest", "left_semi").withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("form")))
 
@@ -111,14 +123,11 @@ def numbered(docs: DataFrame, prints: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of docs (doc_id, text).
 
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many
-    of the next document.  Likeness is 1.0 where canonical bytes are equal, else 0.0.  Null
-    text counts as empty; rows with equal doc_id each give a row; an empty table gives none.
+    Likeness is 1.0 where canonical bytes are equal, else 0.0.  Null text counts as empty; rows with equal doc_id each
+    give a row; an empty table gives none.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    kept = F.length("text") - half
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), kept), F.substring(F.col("next_text"), F.lit(1), half))
+    edited = edited_text()
     rows = with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("form"), canonical(edited).alias("edited_form"), canonical(F.col("next_text")).alias("next_form"))
     same = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     out = checkpoint(
@@ -132,10 +141,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             same("form", "next_form").alias("near_next"),
         )
     )
-    clashes = numbered(docs, out.select(F.col("fingerprint").alias("digest")))
+    clashes = numbered(docs, out)
     if clashes.isEmpty():
         return out
-    # Never seen; here for the one case in 2**128: the number of the form goes behind the digest.
-    forms = docs.select("doc_id", canonical(F.col("text")).alias("form")).withColumn("fingerprint", digest(F.col("form")))
-    named = forms.join(F.broadcast(clashes.withColumnRenamed("digest", "fingerprint")), ["fingerprint", "form"]).select("doc_id", "fingerprint", "number").distinct()
-    return out.join(named, ["doc_id", "fingerprint"], "left").withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit("-"), F.col("number")), F.lit("")))).drop("number").select(*out.columns)
+    # Never seen; here for the one case in 2**128: the number of the form goes behind both digests.
+    named = with_next(docs).select("doc_id", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(edited).alias("edited_form"))
+    for form, print_ in (("form", "fingerprint"), ("edited_form", "edited_fingerprint")):
+        number = F.broadcast(clashes.select(F.col("form").alias(form), F.col("digest").alias(print_), F.col("number").alias(f"{form}_number")))
+        named = named.withColumn(print_, digest(F.col(form))).join(number, [form, print_], "left")
+    behind = lambda c, n: F.concat(c, F.coalesce(F.concat(F.lit("-"), n), F.lit("")))
+    named = named.select("doc_id", "edited_sha256", "fingerprint", "edited_fingerprint", "form_number", "edited_form_number").distinct()
+    out = out.join(named, ["doc_id", "edited_sha256", "fingerprint", "edited_fingerprint"])
+    return out.select("doc_id", "n_chars", "edited_sha256", behind(F.col("fingerprint"), F.col("form_number")).alias("fingerprint"), behind(F.col("edited_fingerprint"), F.col("edited_form_number")).alias("edited_fingerprint"), "near_edited", "near_next")

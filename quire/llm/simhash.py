@@ -51,8 +51,11 @@ def golay_index() -> np.ndarray:
         masks = np.array(masks, dtype=np.uint32)
         error = np.zeros(2048, dtype=np.uint32)
         error[_remainder(masks)] = masks
-        words = np.arange(1 << 23, dtype=np.uint32)
-        _tables.append(((words ^ error[_remainder(words)]) >> np.uint32(11)).astype(np.uint16))
+        table = np.zeros(1 << 23, dtype=np.uint16)
+        for lo in range(0, len(table), 1 << 17):  # in parts, for the sake of the worker's memory
+            words = np.arange(lo, lo + (1 << 17), dtype=np.uint32)
+            table[lo : lo + (1 << 17)] = (words ^ error[_remainder(words)]) >> np.uint32(11)
+        _tables.append(table)
     return _tables[0]
 
 

@@ -5,6 +5,7 @@ it starts first.  A document is parsed from left to right: where the block at a
 indexed with an earlier place, a factor begins, and it goes on word by word as long as the
 next block is indexed with an earlier place too.  Blocks that straddle the border between
 two references are looked up like all others, so a repeat is found wherever its parts come from.
+A factor's source place isn't kept beside it, and blocks are told apart by 96 bits of hash, not by their words.
 Words in factors (each at least WIDTH long) are duplicates.
 
 Only blocks that can repeat are indexed.  Each block is named by its anchor, the smallest

@@ -11,9 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Bytes hashed at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20240101)

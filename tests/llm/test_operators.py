@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -184,6 +185,10 @@ def test_simhash_crowded_keys(spark, monkeypatch):
     direct = label(simhash.print_links(frame))
     crowded = label(simhash.spread(frame))
     assert direct == crowded and len(set(direct.values())) == 3
+    keyed = pa.RecordBatch.from_arrays([pa.array(np.repeat([5, 9], len(prints))), pa.array(np.concatenate([prints, prints]).view(np.int64))], names=["key", "print"])
+    monkeypatch.setattr(simhash, "BUCKET", 16)  # every key is a large one now, which the tasks hand on
+    handed = {a for step in (7, 40, 1000) for b in simhash._compared(keyed.slice(i, step) for i in range(0, len(keyed), step)) for a, to in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True) if to is None}
+    assert handed == set(prints.view(np.int64).tolist())
 
 
 def test_golay_keys_never_miss():
@@ -250,6 +255,33 @@ def test_substring(docs, empty, monkeypatch):
     assert cut.columns == docs.columns and cut.filter("n_chars <> length(text)").count() == 0
 
 
+def test_rows_with_one_id_keep_their_own_text(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 99)) for _ in range(n))
+    passage, tail_a, tail_b = words(40), words(30), words(30)
+    made = [(1, f"{passage} {tail_a}", 7, "x"), (1, f"{passage} {tail_b}", 7, "y"), (2, f"{words(30)} {passage}", 7, "z"), (2, None, 7, "n"), (None, passage, 7, "w"), (3, tail_a, 7, "same"), (3, tail_a, 7, "same")]
+    frame = spark.createDataFrame(made, "doc_id long, text string, n_removed int, kept_text string")
+    got = sorted((r.doc_id or 0, r.text or "", r.kept_text) for r in substring.without_repeats(frame).collect())
+    assert frame.columns == substring.without_repeats(frame).columns
+    texts = [t for _, t, _ in got]
+    assert sum(tail_a in t for t in texts) == 1 and sum(tail_b in t for t in texts) == 1 and sum(passage in t for t in texts) == 2
+    assert {k for _, _, k in got} >= {"x", "y", "z", "n", "w"}
+    near = spark.createDataFrame([(1, tail_a, "p"), (1, tail_b, "q"), (1, tail_b, "q"), (4, tail_a, "r"), (None, tail_a, "s")], "doc_id long, text string, root string")
+    assert sorted(r.root for r in simhash.one_of_each(near).collect()) == ["p", "q", "s"]
+
+
+def test_slices_and_blocks_change_nothing(monkeypatch):
+    from quire.llm import words as W
+
+    texts = pa.array([r[1] for r in corpus()] + [" ".join(f"word{i % 700}" for i in range(60_000))])
+    whole = [m for _, _, w in W.slices(texts) for m in zip(*[v.tolist() for v in repetition.measure(w).values()], strict=True)]
+    hashes = np.concatenate([w.hashes() for _, _, w in W.slices(texts)])
+    monkeypatch.setattr(W, "SLICE", 900)
+    monkeypatch.setattr(W, "BLOCK", 300)
+    assert [m for _, _, w in W.slices(texts) for m in zip(*[v.tolist() for v in repetition.measure(w).values()], strict=True)] == whole
+    assert (np.concatenate([w.hashes() for _, _, w in W.slices(texts)]) == hashes).all()
+
+
 def test_sentencepiece(docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     lib = sentencepiece.SentencePieceProcessor(model_file=spm.model_path())
@@ -342,6 +374,11 @@ def test_url_filter(spark):
     assert len(got) == len(urls) and got.host[:3].tolist() == ["", "", "a.com"] and got.path[3] == "/en/a"
     assert got.rule[2:8].tolist() == ["com/", "www.example.com/en/", "www.example.com/en/", "example.com/en/", "net/es/", "net/fr/"]
     assert got.verdict[:13].tolist() == ["allow", "allow", "allow", "allow", "allow", "block", "block", "block", "allow", "block", "block", "allow", "allow"]
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 97, F.lit(".org/p"), "id").alias("url"))
+    some = many.filter("page_id % 3 = 0").select(urlfilter.canonical(F.col("url")).alias("canonical"))
+    crowded = urlfilter.judge(many, some, RULES, urls_per_block=1000).toPandas()  # a filter far too small lets many pass
+    assert crowded.possible.sum() > 1500 and set(crowded[crowded.verdict == "block"].page_id) == set(range(0, 3000, 3))
+    assert urlfilter.judge(pages, listed, RULES).filter("canonical <> '' and page_id < 2").count() == 0
     assert (got.verdict[13:] == "block").all() and urlfilter.judge(pages, listed.filter("false"), RULES).filter("verdict = 'block'").count() == 3
 
 
@@ -360,6 +397,34 @@ def test_digest(docs, empty):
     assert digest.fingerprints(empty).count() == 0 and digest.fingerprints(docs.limit(1)).count() == 1
 
 
+@pytest.mark.parametrize("rows_per_bucket", [1024, 7])
+def test_neighbours_by_id_whatever_the_gaps(spark, monkeypatch, rows_per_bucket):
+    monkeypatch.setattr(digest, "ROWS_PER_BUCKET", rows_per_bucket)
+    monkeypatch.setattr(digest, "PARTS", 4)
+    ids = [*range(200), 10**15, -(2**63), 2**63 - 1, 5, None, None, None]
+    made = [(k, f"text {i}") for i, k in enumerate(ids)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r.text: r.next_text for r in digest.with_next(frame).collect()}
+    named = sorted(((k, t) for k, t in made if k is not None))
+    for (_, t), (_, after) in zip(named, named[1:]):
+        assert got[t] == after
+    nulls = {t for k, t in made if k is None}
+    assert got[named[-1][1]] in nulls and len(got) == len(made) == len(set(got.values()))
+    spread = digest.bucketed(frame).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert rows_per_bucket == 1024 or spread < 60
+
+
+def test_digest_numbers_forms_that_meet_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(digest, "digest", lambda form: F.substring(F.md5(form), 1, 1))
+    texts = [f"Text {i % 40}" for i in range(60)] + ["text 1", ""]
+    got = digest.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    forms = pd.Series([t.lower() for t in texts])
+    assert got.fingerprint.nunique() == forms.nunique() and got.fingerprint.groupby(forms).nunique().max() == 1 and len(got) == 62
+    edited = pd.Series([(t[: len(t) - len(t) // 2] + (texts[(i + 1) % 62])[: len(t) // 2]).lower() for i, t in enumerate(texts)])
+    both = pd.concat([got.fingerprint, got.edited_fingerprint], ignore_index=True)
+    assert both.groupby(pd.concat([forms, edited], ignore_index=True)).nunique().max() == 1 and both.nunique() == pd.concat([forms, edited]).nunique()
+
+
 def test_quality(spark, empty):
     rng = random.Random(1)
     words = ["".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(200)]
@@ -382,6 +447,38 @@ def test_quality(spark, empty):
     assert kept.columns == frame.columns and 300 < kept.count() < 600 and quality.classify(frame.filter("false"), frame).count() == 0
 
 
+def test_quality_posteriors_by_hand(spark, monkeypatch):
+    rng = random.Random(6)
+    made = [(i % 190, " ".join(rng.choice("abcdefgh") * rng.randint(2, 6) for _ in range(rng.randint(0, 40))) + ("!!" * (i % 3)), rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", "s3", None]), int(rng.random() < 0.8), int(rng.random() < 0.2)) for i in range(200)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, quality int, toxic int").withColumn("p_low", F.lit("clash"))
+    for broadcast in (quality.BROADCAST, 0):
+        monkeypatch.setattr(quality, "BROADCAST", broadcast)
+        got = quality.classify(frame, frame.select("doc_id", "quality", "toxic")).toPandas()
+        assert len(got) == 200
+        for t in quality.TARGETS:
+            p, var = got[f"p_{t}"].round(9), None
+            rate = min(max(p.sum() / 200, 1e-4), 1 - 1e-4)
+            var = max(rate * (1 - rate), 1e-6)
+            host, path = got.groupby("host"), got.groupby(["host", "path"])
+            host_n, n = host["host"].transform("size"), path["host"].transform("size")
+            host_sum, path_sum = p.groupby(got.host).transform("sum"), p.groupby([got.host, got.path]).transform("sum")
+
+            def strength(spread, free, k, parents):
+                between = (spread - (k - parents) * var) / free
+                return min(max(var / between - 1, 10), 1000) if between > 0 else 1000
+
+            one_host, one_path = ~got.host.duplicated(), ~got[["host", "path"]].duplicated()
+            hm = host_sum / host_n
+            k_host = strength((host_n * (hm - rate) ** 2)[one_host].sum(), (host_n - host_n**2 / 200)[one_host].sum(), one_host.sum(), 1)
+            k_path = strength((n * (path_sum / n - hm) ** 2)[one_path].sum(), (n - n**2 / host_n)[one_path].sum(), one_path.sum(), one_host.sum())
+            of_host = ((host_sum - p + k_host * rate) / (host_n - 1 + k_host)).clip(1e-4, 1 - 1e-4)
+            of_path = ((path_sum - p + k_path * of_host) / (n - 1 + k_path)).clip(1e-4, 1 - 1e-4)
+            logit = lambda x: np.log(x / (1 - x))
+            joint = 1 / (1 + np.exp(-(logit(got[f"p_{t}"]) - logit(rate) + logit(of_path))))
+            assert np.allclose(of_host, got[f"host_{t}"], atol=1e-6) and np.allclose(of_path, got[f"path_{t}"], atol=1e-6) and np.allclose(joint, got[f"joint_{t}"], atol=1e-5)
+        assert (got.rejected == ((got.joint_low > 0.5) | (got.joint_toxic > 0.5))).all()
+
+
 def test_quality_looks_words_up_exactly(spark):
     rng = np.random.default_rng(4)
     letters = np.frombuffer(b"zxqvjkwy", dtype=np.uint8)
