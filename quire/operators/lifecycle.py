@@ -46,18 +46,6 @@ def reclaims(events: DataFrame, idle_s: int = 120) -> DataFrame:
     return events.withColumn("gap_us", gap).filter(F.col("gap_us") > idle_s * 1_000_000).select("id", "job", "gap_us")
 
 
-def rate_waits(events: DataFrame, interval_us: int, key: str = "type") -> DataFrame:
-    """Microseconds that each call waits for its slot, one slot an interval for each key.
-
-    start_i = max(t_i, start_{i-1} + interval) equals the running maximum of t_j - j interval, plus i interval.
-    """
-    w = Window.partitionBy(key).orderBy("ts", "id")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = events.withColumns({"t": F.unix_micros("ts"), "i": F.row_number().over(w).cast("long")})
-    start = F.max(F.col("t") - F.col("i") * interval_us).over(upto) + F.col("i") * interval_us
-    return r.withColumn("wait_us", start - F.col("t")).select("id", key, "wait_us")
-
-
 def newest_jobs(job_states: DataFrame, n: int = 500) -> DataFrame:
     return job_states.orderBy(F.desc("first_id")).limit(n)
 
@@ -69,14 +57,6 @@ def recent_medians(events: DataFrame, n: int = 256) -> DataFrame:
     return last.groupBy("type").agg(F.median("ms").alias("median_ms"), F.count("*").alias("n"))
 
 
-def occupancy(events: DataFrame) -> DataFrame:
-    """Jobs that run after each start or end, by type of the job's queue (job modulo 8)."""
-    step = F.when(F.col("type") == "job.started", 1).when(F.col("type").isin("job.done", "job.retry"), -1)
-    w = Window.partitionBy("node").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = events.withColumns({"step": step, "node": F.col("job") % 8}).filter("step is not null")
-    return e.withColumn("docked", F.sum("step").over(w)).select("id", "node", "docked")
-
-
 def spend_cap(calls: DataFrame, cap: int, reserve: int) -> DataFrame:
     """Calls (id, job, ms as cost) made before a job's spend would come within the reserve of its cap."""
     w = Window.partitionBy("job").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)

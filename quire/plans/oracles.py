@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.operators.lifecycle import EDGES
 from quire.operators.pages import SCRIPTED
 
-from . import containers, decisions, language, review_oracles
+from . import containers, decisions, jobs, language, review_oracles
 from .probe_oracles import oracles
 from .queries import KNOTS
 
@@ -148,11 +148,8 @@ ORACLE_SQL = {
         SELECT job, arg_max(status, id) FILTER (status IS NOT NULL) AS status, count(*) FILTER (type = 'job.retry') AS retries, count(*) FILTER (type = 'page.stage' AND id > retry_id) AS pages FROM s GROUP BY job""",
     "dead_letters": f"WITH {EVENTS} SELECT id, job, delivery FROM (SELECT id, job, row_number() OVER (PARTITION BY job ORDER BY id)::INT AS delivery FROM e WHERE type = 'job.started') WHERE delivery > 3",
     "reclaims": f"WITH {EVENTS} SELECT id, job, gap_us FROM (SELECT id, job, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job ORDER BY id) AS gap_us FROM e) WHERE gap_us > 36000000000",
-    "gcra_waits": f"""WITH {EVENTS}, r AS (SELECT id, type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY type ORDER BY ts, id) AS i FROM e)
-        SELECT id, type, max(t - i * 1300000000) OVER (PARTITION BY type ORDER BY i) + i * 1300000000 - t AS wait_us FROM r""",
     "newest_jobs": f"WITH {EVENTS} SELECT job, min(id) AS first_id FROM e GROUP BY job ORDER BY first_id DESC LIMIT 50",
     "recent_medians": f"WITH {EVENTS} SELECT type, median(ms) AS median_ms, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY id DESC) AS k FROM e WHERE ms IS NOT NULL) WHERE k <= 256 GROUP BY type",
-    "occupancy": f"WITH {EVENTS}, s AS (SELECT id, job % 8 AS node, CASE WHEN type = 'job.started' THEN 1 WHEN type IN ('job.done', 'job.retry') THEN -1 END AS step FROM e) SELECT id, node, (sum(step) OVER (PARTITION BY node ORDER BY id))::BIGINT AS docked FROM s WHERE step IS NOT NULL",
     "spend_cap": f"WITH {EVENTS} SELECT id, job, spent FROM (SELECT id, job, coalesce(sum(ms) OVER (PARTITION BY job ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM e WHERE ms IS NOT NULL) WHERE spent <= 1400",
     "shortest_path": "WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + """), w AS (SELECT 'intake' AS node, 0 AS hops, 'intake' AS path UNION ALL SELECT e.dst, w.hops + 1, w.path || '>' || e.dst FROM w JOIN e ON e.src = w.node WHERE w.hops < 10),
         k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS k FROM w) SELECT node, hops, path FROM k WHERE k = 1""",
@@ -162,6 +159,7 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL |= oracles(ANSWERED, MEASURED, CASES, EVENTS)
+ORACLE_SQL |= jobs.oracles(EVENTS)
 ORACLE_SQL |= decisions.oracles(PAGES, MEASURED, ANSWERED, _REASONS, _P2)
 ORACLE_SQL |= containers.ORACLE_SQL | language.oracles(PAGES, LAYERS, MEASURED)
 ORACLE_SQL |= review_oracles.oracles(PAGES, ANSWERED, CASES, EVENTS, ORACLE_SQL["describe_text"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import evidence, policy, text
 from quire.operators import dataset, evaluate, intake, lifecycle, pages, segments
 
-from . import containers, decisions, language, probes, reviews
+from . import containers, decisions, jobs, language, probes, reviews
 
 Spark = SparkSession
 _KEYS = ["doc_id", "page"]
@@ -312,10 +312,6 @@ def reclaims(spark: Spark, d: str) -> DataFrame:
     return lifecycle.reclaims(lifecycle.job_events(spark, d), idle_s=36_000)
 
 
-def gcra_waits(spark: Spark, d: str) -> DataFrame:
-    return lifecycle.rate_waits(lifecycle.job_events(spark, d), interval_us=1_300_000_000)
-
-
 def newest_jobs(spark: Spark, d: str) -> DataFrame:
     return lifecycle.newest_jobs(lifecycle.states(lifecycle.job_events(spark, d)), 50).select("job", "first_id")
 
@@ -324,10 +320,6 @@ def recent_medians(spark: Spark, d: str) -> DataFrame:
     return lifecycle.recent_medians(lifecycle.job_events(spark, d))
 
 
-def occupancy(spark: Spark, d: str) -> DataFrame:
-    return lifecycle.occupancy(lifecycle.job_events(spark, d))
-
-
 def spend_cap(spark: Spark, d: str) -> DataFrame:
     return lifecycle.spend_cap(lifecycle.job_events(spark, d), cap=1500, reserve=100)
 
@@ -350,5 +342,5 @@ def daily_events(spark: Spark, d: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, gcra_waits, newest_jobs, recent_medians, occupancy, spend_cap, shortest_path, answers_cache, daily_events)}
-QUERIES |= probes.QUERIES | reviews.QUERIES | language.QUERIES | containers.QUERIES | decisions.QUERIES
+QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, newest_jobs, recent_medians, spend_cap, shortest_path, answers_cache, daily_events)}
+QUERIES |= probes.QUERIES | reviews.QUERIES | language.QUERIES | containers.QUERIES | decisions.QUERIES | jobs.QUERIES
