@@ -174,3 +174,31 @@ def release_faults(listed: DataFrame, present: DataFrame) -> DataFrame:
     found = present.select("file", F.col("digest").alias("found"))
     fault = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("digest"), "changed")
     return listed.join(found, "file", "left").select("file", fault.alias("fault")).filter("fault is not null")
+
+
+def catalogue_faults(rows: DataFrame) -> DataFrame:
+    """what, value, n: repeated keys and ids of a catalogue (key, id, of), and rows that are neither a page (key) nor a variant (of) or both."""
+    twice = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(f"repeated {c}").alias("what"), "value", "n")
+    odd = rows.filter(F.col("key").isNull() == F.col("of").isNull()).select(F.lit("neither page nor variant").alias("what"), F.col("id").alias("value"), F.lit(1).cast("long").alias("n"))
+    return twice("key").unionByName(twice("id")).unionByName(odd)
+
+
+def rubric(layer: Column) -> Column:
+    """Pages with a trusted text layer are judged on layout, all others on capture."""
+    return F.when(layer == "trusted", "layout").otherwise("capture")
+
+
+def current(opinions: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """opinions with state: counts, moved (given under a rubric that the page has left), unknown page, or unknown code."""
+    known = F.exists(F.element_at(F.create_map(*[x for r, codes in CODES.items() for x in (F.lit(r), F.array(*map(F.lit, codes)))]), F.col("rubric")), lambda c: c == F.col("code"))
+    now = rubrics.select("key", F.col("rubric").alias("now"))
+    state = F.when(F.col("now").isNull(), "unknown page").when(~F.coalesce(known, F.lit(False)), "unknown code").when(F.col("now") != F.col("rubric"), "moved").otherwise("counts")
+    return opinions.join(now, "key", "left").withColumn("state", state)
+
+
+def batches(pages: DataFrame, secret: str, size: int = 50) -> DataFrame:
+    """rubric, batch, image of pages (key, rubric): shuffled by a keyed hash and cut into batches; the image's name tells nothing without the secret."""
+    h = F.sha2(F.concat_ws(":", F.lit(secret), "key"), 256)
+    w = Window.partitionBy("rubric").orderBy("h")
+    p = pages.withColumn("h", h).withColumn("batch", F.ceil(F.row_number().over(w) / size).cast("int"))
+    return p.select("rubric", "batch", F.left("h", F.lit(12)).alias("image"))

@@ -140,11 +140,25 @@ def knot_table(fitted: DataFrame) -> DataFrame:
     return fitted.groupBy("curve").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("knots"))
 
 
+def versioned(fitted: DataFrame, cost_ratio: float, basis: str | None) -> DataFrame:
+    """version, threshold, curves, basis of fitted curves: one row, whose version follows all that it says."""
+    knot = F.concat_ws("|", "curve", F.format_string("%.4f", "x"), F.format_string("%.4f", "y"))
+    parts = fitted.agg(F.array_join(F.array_sort(F.collect_list(knot)), ";").alias("knots"), F.count_distinct("curve").alias("curves"))  # a few thousand knots at most
+    least = threshold(cost_ratio)
+    whole = F.concat_ws("#", "knots", F.lit(f"{least:.6f}"), F.lit("" if basis is None else basis))
+    return parts.select(F.concat(F.lit("c2-"), F.left(F.sha2(whole, 256), F.lit(10))).alias("version"), F.lit(least).alias("threshold"), "curves", F.lit(basis).cast("string").alias("basis"))
+
+
 def calibration(fitted: DataFrame, cost_ratio: float, basis: str | None) -> dict:
-    """version, threshold, cost_ratio, basis, curves: what a calibration file holds.  Its version follows its contents."""
+    """What a calibration file holds: version, threshold, cost_ratio, basis, pooled and lanes (knots)."""
     knots = {r["curve"]: [[k["x"], k["y"]] for k in r["knots"]] for r in knot_table(fitted).collect()}
-    parts = {"pooled": knots.pop("*", []), "lanes": dict(sorted(knots.items())), "threshold": threshold(cost_ratio), "basis": basis}
-    return {"version": "c2-" + policy.digest_of(parts, 10), "cost_ratio": cost_ratio, **parts}
+    head = versioned(fitted, cost_ratio, basis).first()
+    return {"version": head["version"], "threshold": head["threshold"], "cost_ratio": cost_ratio, "basis": basis, "pooled": knots.pop("*", []), "lanes": dict(sorted(knots.items()))}
+
+
+def applicable(calibration_: dict | None, basis: str) -> dict | None:
+    """The calibration if it was fitted on this basis; else none, and review goes by the raw threshold."""
+    return calibration_ if calibration_ and calibration_["basis"] == basis else None
 
 
 def one_basis(rows: DataFrame) -> DataFrame:

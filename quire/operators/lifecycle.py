@@ -63,6 +63,26 @@ def spend_cap(calls: DataFrame, cap: int, reserve: int) -> DataFrame:
     return calls.filter("ms is not null").withColumn("spent", F.coalesce(F.sum("ms").over(w), F.lit(0))).filter(F.col("spent") <= cap - reserve).select("id", "job", "spent")
 
 
+def spend_ledger(calls: DataFrame, cap: int, first: int = 20, margin: float = 1.5) -> DataFrame:
+    """id, job, spent of calls (id, job, ms as cost) that a job's ledger lets through.
+
+    Before a call what is spent and the dearest call so far, with a margin (`first` before any), must stay within the cap;
+    both only grow, so the first call that is refused is the last.
+    """
+    w = Window.partitionBy("job").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    c = calls.filter("ms is not null").withColumns({"spent": F.coalesce(F.sum("ms").over(w), F.lit(0)), "dearest": F.greatest(F.coalesce(F.max("ms").over(w) * margin, F.lit(0.0)), F.lit(float(first)))})
+    return c.filter(F.col("spent") + F.col("dearest") <= cap).select("id", "job", "spent")
+
+
+def merged(replays: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Replays (job, id, at) begun at different times as one: at counts from the first one's beginning."""
+    out = None
+    for events, begin in replays:
+        moved = events.select("job", "id", (F.col("at") + begin).alias("at"))
+        out = moved if out is None else out.unionByName(moved)
+    return out.orderBy("at", "job", "id")
+
+
 def shortest_paths(spark: SparkSession, start: str = "intake", depth: int = 10) -> DataFrame:
     """node, hops, path from the start over the pipeline's 17 edges, the first in order of names on a tie."""
     edges = spark.createDataFrame(EDGES, "src string, dst string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import policy
@@ -82,3 +82,81 @@ def qualification(answers: DataFrame) -> DataFrame:
     """Answers whose lanes lie within the right ones, and those that equal them (labeller, lanes, gt); no lanes at all is not agreement with any."""
     inside = (F.size("lanes") > 0) & (F.size(F.array_except("lanes", "gt")) == 0)
     return answers.groupBy("labeller").agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.count_if(F.array_sort("lanes") == F.array_sort("gt")).alias("exact"))
+
+
+def results(cases: DataFrame, routes: DataFrame) -> DataFrame:
+    """ordinal, id, lane, error of cases (id, doc_id, page, ordinal), each once and in their order; a page that wasn't routed is an error."""
+    joined = cases.join(routes.select("doc_id", "page", "lane"), ["doc_id", "page"], "left")
+    error = F.when(F.col("lane").isNull(), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" out of range")))
+    return joined.select("ordinal", "id", "lane", error.alias("error")).orderBy("ordinal")
+
+
+def routed_by(override: Column, api: Column) -> Column:
+    """A case with a text of its own can't go through a service."""
+    return F.when(api & override.isNull(), "service").otherwise("local")
+
+
+def transport_error(error: Column, status: Column, content: Column) -> Column:
+    """Whether a record's call failed, whatever it answered; status null counts as fine."""
+    return (F.coalesce(error, F.lit("")) != "") | (F.coalesce(status, F.lit("200")) != "200") | content.isNull()
+
+
+AXES = ("capture", "legibility", "handwriting", "content", "script")
+#: Axes of the composite, kinds of handwriting as labels tell them, what counts as degraded, and flags of content.  Fixed values.
+COMPOSITE = ("capture", "handwriting", "content", "script")
+WRITTEN = {"none": "none", "annotations_only": "some", "fields_filled_by_hand": "some", "mostly_handwritten": "mostly"}
+DEGRADED = ("mild_issues", "hard_to_read", "illegible")
+FLAGS = ("table", "math", "form", "code", "chart", "photo")
+
+
+def page_scores(rows: DataFrame) -> DataFrame:
+    """rows (pred, label) with a column for each axis: 1 or 0, null where the label is unknown; content is the share of known flags that match."""
+    right = lambda known, test: F.when(known, F.coalesce(test, F.lit(False)).cast("double"))
+    kind = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in WRITTEN.items() for x in kv]), c)
+    read = F.when(F.col("pred.legibility") == "clean", "clean").when(F.col("pred.legibility").isin(*DEGRADED), "degraded")
+    flag = lambda side, k: F.try_element_at(F.col(f"{side}.content"), F.lit(k))
+    match = F.array_compact(F.array(*[F.when(flag("label", k).isNotNull(), F.coalesce(flag("pred", k) == flag("label", k), F.lit(False)).cast("double")) for k in FLAGS]))
+    made = {
+        "capture": right(F.size("label.capture_ok") > 0, F.array_contains("label.capture_ok", F.col("pred.capture"))),
+        "legibility": right(F.col("label.legibility").isNotNull(), read == F.col("label.legibility")),
+        "handwriting": right(F.col("label.handwriting").isNotNull(), kind(F.col("pred.handwriting")) == F.col("label.handwriting")),
+        "content": F.when(F.size(match) > 0, F.aggregate(match, F.lit(0.0), lambda s, x: s + x) / F.size(match)),
+        "script": right(F.col("label.script").isNotNull(), F.col("pred.script") == F.col("label.script")),
+    }
+    return rows.withColumns(made)
+
+
+def composite(means: list[Column]) -> Column:
+    """Mean of the axes that have one."""
+    have = F.array_compact(F.array(*means))
+    return F.when(F.size(have) > 0, F.aggregate(have, F.lit(0.0), lambda s, x: s + x) / F.size(have))
+
+
+def ranked(scores: DataFrame, systems: DataFrame) -> DataFrame:
+    """system, composite, place: best first; systems without an answer have neither and come last."""
+    means = scores.groupBy("system").agg(*[F.avg(a).alias(a) for a in COMPOSITE]).select("system", F.round(composite([F.col(a) for a in COMPOSITE]), 9).alias("composite"))
+    by = Window.orderBy(F.desc("composite"), "system")  # a row a system
+    return systems.join(means, "system", "left").withColumn("place", F.when(F.col("composite").isNotNull(), F.row_number().over(by)))
+
+
+def agreement_axes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """For each system: pages of both runs (system, page_id, pred, label), share of equal answers by axis, and the first run's composite where all agree and where not."""
+    a = page_scores(first).select("system", "page_id", *AXES, F.col("pred").alias("one"))
+    j = a.join(second.select("system", "page_id", F.col("pred").alias("two")), ["system", "page_id"])
+    same = {x: F.to_json(F.struct(F.col(f"one.{x}").alias("v"))) == F.to_json(F.struct(F.col(f"two.{x}").alias("v"))) for x in COMPOSITE}
+    j = j.withColumns({f"same_{x}": c for x, c in same.items()})
+    every = F.lit(True)
+    for x in COMPOSITE:
+        every = every & F.col(f"same_{x}")
+    j = j.withColumn("every", every)
+    where = lambda test, x: F.avg(F.when(test, F.col(x)))
+    g = j.groupBy("system").agg(F.count("*").alias("pages"), F.count_if(~F.col("every")).alias("differ"), *[F.round(F.avg(F.col(f"same_{x}").cast("int")), 6).alias(f"agree_{x}") for x in COMPOSITE], *[where(F.col("every"), x).alias(f"a_{x}") for x in COMPOSITE], *[where(~F.col("every"), x).alias(f"d_{x}") for x in COMPOSITE])
+    of = lambda k: F.round(composite([F.col(f"{k}_{x}") for x in COMPOSITE]), 6)
+    return g.select("system", "pages", "differ", *[f"agree_{x}" for x in COMPOSITE], of("a").alias("when_agree"), of("d").alias("when_differ"))
+
+
+def sweep(models: DataFrame, cases: DataFrame) -> DataFrame:
+    """system, doc_id, vision_used: every case for every model (a handful), with its vision answer, and again without it on trusted pages."""
+    pairs = cases.join(F.broadcast(models))
+    runs = F.array(F.struct(F.col("model").alias("system"), F.lit(True).alias("vision_used")), F.struct(F.concat("model", F.lit("_skiptrusted")).alias("system"), (~F.col("trusted")).alias("vision_used")))
+    return pairs.select("doc_id", F.explode(runs).alias("r")).select("r.system", "doc_id", "r.vision_used")

@@ -56,6 +56,12 @@ def manifests(routes: DataFrame) -> DataFrame:
     return docs.withColumn("segments", fold(F.col("pages")))
 
 
+def lane_counts(routes: DataFrame) -> DataFrame:
+    """doc_id, pages, lanes: pages of each document, in all and by lane (array of lane and n, by lane)."""
+    each = routes.groupBy("doc_id", "lane").agg(F.count("*").alias("n"))
+    return each.groupBy("doc_id").agg(F.sum("n").alias("pages"), F.array_sort(F.collect_list(F.struct("lane", "n"))).alias("lanes"))  # a few lanes a document
+
+
 def reuse(wanted: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Documents whose manifest is stored under the route key, and those to be routed."""
     have = stored.filter(F.col("route_key") == key).select("doc_id").distinct()
