@@ -1,26 +1,61 @@
-"""Sources and sinks: recursive file scans, JSON lines, manifests, idempotent writes."""
+"""Sources and sinks: file scans, JSON lines, manifests, result trees, ranges of split files, archives, keyed stores, reports.
+
+Everything goes through Spark's readers and writers, so any file system that they know will do.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import html
+import io
+import struct
+import tarfile
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.shipping import ship
+
+BROKEN = "_broken"
+
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """name, size, content of all files under path, hidden ones left out."""
+def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """name, size, sha, content of all files under path, in order of name; files and folders whose name begins with a dot are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.filter(~F.col("path").rlike(r"/\.")).select(F.col("path").alias("name"), F.col("length").alias("size"), "content")
+    return files.filter(~F.col("path").rlike(r"/\.")).select(F.col("path").alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"), "content").orderBy("name")
+
+
+def capped(files: DataFrame, most: int) -> DataFrame:
+    """files with status: 413 for those above the limit, whose content isn't kept, else 202."""
+    over = F.col("size") > most
+    return files.withColumn("content", F.when(~over, F.col("content"))).withColumn("status", F.when(over, 413).otherwise(202))
+
+
+def _typed(schema: T.StructType | str) -> T.StructType:
+    return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
-def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, limit: int | None = None) -> DataFrame:
-    """Records of JSON lines split at \\n only; broken lines are left out."""
-    kept = T.StructType([*(T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields, T.StructField("_broken", T.StringType())])
-    rows = spark.read.schema(kept).option("lineSep", "\n").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(paths)
-    rows = rows.filter("_broken is null").drop("_broken")
+def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, limit: int | None = None, skip_broken: bool = False) -> DataFrame:
+    """Records of JSON lines split at \\n only; empty lines don't count.  A broken line is an error, unless skip_broken."""
+    kept = T.StructType([*_typed(schema).fields, T.StructField(BROKEN, T.StringType())])
+    rows = spark.read.schema(kept).option("lineSep", "\n").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(paths)
+    if skip_broken:
+        rows = rows.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+    else:  # the message comes with the first row that is read of it
+        told = F.when(F.col(BROKEN).isNotNull(), F.raise_error(F.concat(F.lit("broken line: "), F.left(F.col(BROKEN), F.lit(200)))).cast("string"))
+        first = rows.columns[0]
+        rows = rows.withColumn(first, F.coalesce(told.cast(rows.schema[first].dataType), F.col(first))).drop(BROKEN)
     return rows if limit is None else rows.limit(limit)
 
 
+def two_kinds(rows: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """Records of a file that holds two kinds, told apart by which of two keys they have."""
+    return rows.filter(F.col(first).isNotNull()), rows.filter(F.col(first).isNull() & F.col(second).isNotNull())
+
+
 def results_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Results in <system>/<run>/<case>.json, with system, run and case taken from the path."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path).withColumn("_path", F.col("_metadata.file_path"))
@@ -28,17 +63,64 @@ def results_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumns({"system": part(1), "run": part(2), "case": part(3)}).drop("_path")
 
 
-def append_once(rows: DataFrame, path: str, key: list[str], partition: str | None = None) -> None:
-    """Append rows whose key isn't stored yet, so that writing again changes nothing."""
+def manifests(spark: SparkSession, path: str, schema: str, needed: str) -> DataFrame:
+    """Manifests under a folder, in order of their path; what isn't a manifest (no JSON, or without `needed`) is passed over."""
+    kept = T.StructType([*_typed(schema).fields, T.StructField(BROKEN, T.StringType())])
+    rows = spark.read.schema(kept).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).json(path)
+    rows = rows.withColumn("_path", F.col("_metadata.file_path"))
+    return rows.filter(F.col(BROKEN).isNull() & F.col(needed).isNotNull()).orderBy("_path").drop(BROKEN, "_path")
+
+
+# Keyed stores
+
+
+def point_reads(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """keys (key) with the stored value, null where the key isn't there."""
+    return keys.join(store.select("key", "value"), "key", "left")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_once(rows: DataFrame, path: str, key: list[str], partition: str | None = None) -> int:
+    """Append rows whose key isn't stored yet, so that writing again changes nothing; the number of rows that were new.
+
+    One writer at a time: two that run side by side may both append a key.
+    """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(key)
-    try:
-        fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    except Exception as e:  # noqa: BLE001  the first write finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if exists(spark, path):
+        fresh = fresh.join(spark.read.schema(rows.schema).parquet(path).select(*key), key, "left_anti")
     writer = fresh.write.mode("append")
+    seen = spark.read.schema(rows.schema).parquet(path).count() if exists(spark, path) else 0
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).count() - seen
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """One file for each row (name, content: string) under folder, named as the row says.
+
+    Written through Hadoop's file systems by the executors' Python workers where Arrow knows the scheme; a file that is
+    there already with the same name is replaced whole.
+    """
+    ship(rows.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        n = 0
+        for f in frames:
+            for name, content in zip(f["name"], f["content"], strict=True):
+                store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content.encode() if isinstance(content, str) else bytes(content))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    rows.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -49,8 +131,163 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_results(rows: DataFrame, errors: DataFrame, path: str, left_out: str = "grp") -> None:
+    """Results, without the group that reports alone need, and error rows, as JSON lines of one table."""
+    rows.drop(left_out).unionByName(errors, allowMissingColumns=True).write.mode("overwrite").json(path)
+
+
+# Bytes of large files and archives
+
+
+def ranges(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, content of byte ranges (id, start, length) over a file that is kept in parts (part, content), wherever they are cut."""
+    size = F.octet_length("content")
+    sizes = parts.select("part", size.alias("size")).withColumn("begin", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a part
+    placed = parts.join(sizes.select("part", "begin", "size"), "part")
+    near = wanted.join(sizes, (F.col("start") < F.col("begin") + F.col("size")) & (F.col("begin") < F.col("start") + F.col("length"))).select("id", "start", "length", "part")
+    cut = near.join(placed, "part")
+    lo, hi = F.greatest("start", "begin"), F.least(F.col("start") + F.col("length"), F.col("begin") + F.col("size"))
+    piece = F.expr("substring(content, cast(greatest(start, begin) - begin + 1 as int), cast(least(start + length, begin + size) - greatest(start, begin) as int))")
+    pieces = cut.filter(lo < hi).select("id", F.struct(F.col("part"), F.hex(piece).alias("hex")).alias("p"))
+    joined = pieces.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return joined.select("id", F.unhex(F.array_join(F.transform("ps", lambda p: p["hex"]), "")).alias("content"))
+
+
+def _each(files: DataFrame, made: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    ship(files.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([r for name, content in zip(f["name"], f["content"], strict=True) for r in made(name, bytes(content))], columns=names)
+
+    return files.select("name", "content").mapInPandas(run, schema)
+
+
+def central_directory(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """member, place of its header, packed size, method and size, read from the end of a zip file alone; 64-bit records too."""
+    end = data.rfind(b"PK\x05\x06")
+    if end < 0:
+        raise ValueError("no central directory")
+    size, begin = struct.unpack_from("<II", data, end + 12)
+    if 0xFFFFFFFF in (size, begin):
+        (record,) = struct.unpack_from("<Q", data, data.rfind(b"PK\x06\x07") + 8)
+        size, begin = struct.unpack_from("<QQ", data, record + 40)
+    at, stop = begin, begin + size
+    while at < stop:
+        method, packed, plain, name, extra, note, place = (struct.unpack_from(kind, data, at + skip)[0] for kind, skip in (("<H", 10), ("<I", 20), ("<I", 24), ("<H", 28), ("<H", 30), ("<H", 32), ("<I", 42)))
+        fields, more = data[at + 46 + name : at + 46 + name + extra], at + 46
+        while len(fields) >= 4:
+            tag, n = struct.unpack_from("<HH", fields)
+            if tag == 1:  # values that don't fit 32 bits, in this order
+                wide = iter(struct.unpack_from(f"<{n // 8}Q", fields, 4))
+                plain, packed, place = (next(wide) if v == 0xFFFFFFFF else v for v in (plain, packed, place))
+            fields = fields[4 + n :]
+        yield data[more : more + name].decode("utf-8", "replace"), place, packed, method, plain
+        at = more + name + extra + note
+
+
+def zip_directory(files: DataFrame) -> DataFrame:
+    """archive, member, place, packed, method, size of zip files (name, content)."""
+    return _each(files, lambda name, data: ((name, *m) for m in central_directory(data)), "archive string, member string, place long, packed long, method int, size long")
+
+
+def zip_members(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """archive, member, content of the members that are wanted (archive, member), cut out by the directory."""
+    schema = "archive string, member string, content binary"
+    asked = wanted.groupBy("archive").agg(F.collect_set("member").alias("members"))
+    both = files.join(asked, files["name"] == asked["archive"]).select("name", "content", "members")
+    ship(files.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for name, content, members in zip(f["name"], f["content"], f["members"], strict=True):
+                data = bytes(content)
+                for member, place, packed, method, _ in central_directory(data):
+                    if member in set(members):
+                        at = place + 30 + sum(struct.unpack_from("<HH", data, place + 26))
+                        rows.append((name, member, data[at : at + packed] if method == 0 else zlib.decompressobj(-15).decompress(data[at : at + packed])))
+            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+
+    return both.mapInPandas(run, schema)
+
+
+def tar_members(files: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """archive, member, size, content of tar files read in one pass, which stops when all names are found; None: all members."""
+
+    def made(name: str, data: bytes) -> Iterator[tuple]:
+        left = None if names is None else set(names)
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as tar:
+            for member in tar:
+                if member.isfile() and (left is None or member.name in left):
+                    yield name, member.name, member.size, tar.extractfile(member).read()
+                    if left is not None:
+                        left.discard(member.name)
+                        if not left:
+                            return
+
+    return _each(files, made, "archive string, member string, size long, content binary")
+
+
+def tar_headers(files: DataFrame) -> DataFrame:
+    """archive, member, place, size of plain tar files by their headers alone: 512 bytes at a time, bodies passed over."""
+
+    def made(name: str, data: bytes) -> Iterator[tuple]:
+        at = 0
+        while at + 512 <= len(data) and data[at] != 0:
+            head = data[at : at + 512]
+            size = int(head[124:136].strip(b"\0 ") or b"0", 8)
+            prefix = head[345:500].split(b"\0")[0].decode()
+            member = head[:100].split(b"\0")[0].decode()
+            if head[156:157] in (b"0", b"\0"):
+                yield name, f"{prefix}/{member}" if prefix else member, at + 512, size
+            at += 512 + -(-size // 512) * 512
+
+    return _each(files, made, "archive string, member string, place long, size long")
+
+
+def packed(name: str, members: list[tuple[str, bytes]]) -> bytes:
+    """A tar file that depends on its members alone: sorted, without times, owners or modes of their own."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+        for member, data in sorted(members):
+            info = tarfile.TarInfo(member)
+            info.size, info.mode = len(data), 0o644
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def releases(files: DataFrame) -> DataFrame:
+    """release, content, sha of reproducible tar files of files (release, name, content); a release's files fit one task, as it is one file."""
+    ship(files.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"release": [pdf["release"].iloc[0]], "content": [packed("", [(n, bytes(c)) for n, c in zip(pdf["name"], pdf["content"], strict=True)])]})
+
+    return files.select("release", "name", "content").groupBy("release").applyInPandas(run, "release string, content binary").withColumn("sha", F.sha2("content", 256))
+
+
+# Reports
+
+
 def report(metrics: DataFrame, title: str) -> str:
     """Markdown table of a small aggregate."""
     rows = metrics.limit(1000).collect()
     head = metrics.columns
     return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows), ""])
+
+
+def html_report(documents: DataFrame) -> DataFrame:
+    """name, content: a self-contained HTML section for each document (name, lanes, segments: array of lane and width in percent)."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    bars = F.array_join(F.transform("segments", lambda s: F.concat(F.lit('<i class="'), s["lane"], F.lit('" style="width:'), F.format_string("%.2f", s["width"]), F.lit('%"></i>'))), "")
+    return documents.select("name", F.concat(F.lit("<section><h2>"), safe(F.col("name")), F.lit("</h2><p>"), safe(F.col("lanes")), F.lit("</p><div>"), bars, F.lit("</div></section>")).alias("content"))
+
+
+def html_page(sections: DataFrame, title: str, most: int = 1000) -> str:
+    """One page of the first sections in order of name, style included, nothing loaded from elsewhere."""
+    body = "".join(r["content"] for r in sections.orderBy("name").limit(most).collect())
+    style = "section{margin:1em}div{display:flex;height:1em}i{background:#88a;border-right:1px solid #fff}"
+    return f"<!doctype html><html><head><meta charset=utf-8><title>{html.escape(title)}</title><style>{style}</style></head><body>{body}</body></html>"
+

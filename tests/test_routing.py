@@ -3,12 +3,13 @@ import random
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from quire.functions import evidence, policy, text
-from quire.operators import answers, dataset, evaluate, intake, layout, segments
+from quire.operators import answers, dataset, evaluate, intake, layout, pages, queue, segments
 from quire.plans import oracles, queries
 from quire.sources import files
 from quire.streaming import jobs
@@ -77,7 +78,14 @@ def test_segments_random_and_hand_cases(spark):
 
 
 def test_isotonic_toy_and_thresholds():
-    assert evaluate.pool([0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0, 1, 0, 1, 1, 1], [1] * 6) == [(0.1, 0.0), (0.2, 0.5), (0.3, 0.5), (0.4, 1.0), (0.6, 1.0)]
+    x, edges = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], evaluate.lower_hull(np.ones(6), np.array([0, 1, 0, 1, 1, 1.0]))
+    assert [(x[k], y) for lo, hi, y in edges for k in sorted({lo, hi})] == [(0.1, 0.0), (0.2, 0.5), (0.3, 0.5), (0.4, 1.0), (0.6, 1.0)]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        w, ok = rng.integers(1, 6, n).astype(float), rng.integers(0, 4, n).astype(float)
+        low = [max(min(ok[a : b + 1].sum() / w[a : b + 1].sum() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose([y for lo, hi, y in evaluate.lower_hull(w, ok) for _ in range(lo, hi + 1)], low)
     assert [evaluate.threshold(r) for r in (20, 4, 1)] == [0.95, 0.75, 0]
     with pytest.raises(ValueError):
         evaluate.threshold(0)
@@ -91,7 +99,7 @@ def test_interpolation_clamps(spark):
 
 def test_text_measures(spark):
     t = spark.createDataFrame([("a\x00\x01\x02b",), ("a b c d e",), ("x" * 40,), ("plain words read well",), ("日本語の文字",), ("",)], "t string")
-    assert [r[0] for r in t.select(text.guard(F.col("t"))).collect()] == ["control or unassigned characters", "mostly one-letter words", "words run together", "", "", ""]
+    assert [r[0] for r in t.select(text.guard(F.col("t"))).collect()] == ["control or undefined characters", "many one-letter fragments", "words run together without spaces", "", "", ""]
     got = spark.createDataFrame([("x  y\n" + "w" * 90 + "\nshort",)], "t string").select(text.chunks(F.col("t"))).first()[0]
     assert got == ["x  y " + "w" * 90 + " short"]
     pair = spark.createDataFrame([("alpha beta", "beta gamma"), ("日本語", "本語"), ("a b", "x")], "a string, b string")
@@ -112,7 +120,7 @@ def test_intake_expands_and_quarantines(spark):
     rows = [("a.zip", packed({"x.txt": b"one", "../evil.txt": b"no"})), ("b.zip", packed({"z": b"\0" * 15_000_000})), ("c.eml", mail), ("d.zip", nested), ("e.zip", b"PK\x03\x04broken"), ("f.bin", bytes(range(256)) * 4), ("g", b"%PDF-1.7"), ("h.html", b"<html></html>")]
     files_ = spark.createDataFrame(rows, "name string, content binary")
     got = {(r.name, r.quarantine) for r in intake.expand(files_).collect()}
-    assert got == {("x.txt", None), ("b.zip", "archive_bomb"), ("body.txt", None), ("deep.txt", None), ("e.zip", "corrupt"), ("f.bin", None), ("g", None), ("h.html", None)}
+    assert got == {("x.txt", None), ("b.zip", "archive_bomb"), ("c.eml#body.txt", None), ("deep.txt", None), ("e.zip", "corrupt"), ("f.bin", "unsupported_type"), ("g", None), ("h.html", None)}
     kinds = {r.name: (r.s.kind, r.s.mime) for r in files_.select("name", intake.sniff(F.col("content"), F.col("name")).alias("s")).collect()}
     assert kinds["g"] == ("pdf", "application/pdf") and kinds["f.bin"][0] == "unknown" and kinds["h.html"] == ("text", "text/html")
 
@@ -124,14 +132,67 @@ def test_sticky_split_is_balanced_and_sticky(spark):
 
 
 def test_sources_and_idempotent_sink(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"id": 1, "t": "a\\u0085b"}\nbroken\n{"id": 2, "t": "c"}\n')
-    rows = files.json_lines(spark, str(tmp_path / "a.jsonl"), "id long, t string")
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "t": "a\u0085b"}\nbroken\n\n{"id": 2, "t": "c"}\n')
+    rows = files.json_lines(spark, str(tmp_path / "a.jsonl"), "id long, t string", skip_broken=True)
     assert sorted(r.id for r in rows.collect()) == [1, 2]
+    with pytest.raises(Exception, match="broken line"):
+        files.json_lines(spark, str(tmp_path / "a.jsonl"), "id long, t string").collect()
     out = str(tmp_path / "out")
-    files.append_once(rows, out, ["id"])
-    files.append_once(rows, out, ["id"])
+    assert files.append_once(rows, out, ["id"]) == 2 and files.append_once(rows, out, ["id"]) == 0
     assert spark.read.parquet(out).count() == 2 and "| id |" in files.report(rows.select("id"), "ids")
     assert files.scan(spark, str(tmp_path)).filter("name like '%a.jsonl'").count() == 1
+    sections = files.html_report(spark.sql("SELECT '<n>' AS name, 'L1:2' AS lanes, array(named_struct('lane', 'L1', 'width', 50.0D)) AS segments"))
+    assert "&lt;n&gt;" in files.html_page(sections, "t") and "width:50.00%" in files.html_page(sections, "t")
+
+
+def test_mails_and_zips_of_many_kinds(spark):
+    hostile = [b"", b"\xff\xfe", b"Subject: x\r\nContent-Type: multipart/mixed\r\n\r\nno boundary", b"From: a\r\nContent-Type: text/plain; charset=nonsense\r\n\r\n\xe9", b"Content-Type: message/rfc822\r\n\r\n\r\n"]
+    for data in hostile:
+        try:
+            assert all(isinstance(c, bytes) for _, c in intake.mail_children("m", data))
+        except intake.Unusable:
+            pass
+    big = io.BytesIO()
+    with zipfile.ZipFile(big, "w") as z:
+        for i in range(501):
+            z.writestr(f"{i}.txt", b"x")
+    for data, why in ((big.getvalue(), "too_many_children"), (b"PK\x05\x06" + b"\0" * 18, "empty"), (b"PK\x03\x04", "corrupt")):
+        with pytest.raises(intake.Unusable, match=why):
+            intake.archive_children(data)
+    nul = spark.createDataFrame([("a", "x\u0000y".encode()), ("b", "héllo".encode()), ("c", b"\xe9"), ("d", "é".encode() * 40_000)], "name string, content binary")
+    kinds = {r.name: r.kind for r in intake.typed(nul).collect()}
+    assert kinds == {"a": "unknown", "b": "text", "c": "unknown", "d": "text"}
+
+
+def test_long_documents_are_paged_in_linear_time(spark):
+    import time
+
+    docs = spark.sql("SELECT 1L AS doc_id, 's' AS source, 'en' AS lang, repeat('wörter 𝒳 ', 700000) AS text UNION ALL SELECT 2L, 's', 'en', NULL")
+    began = time.time()
+    got = pages.explode_pages(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page").alias("last"), F.sum(F.length("text")).alias("chars")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 5250, 5249, 6_300_000), (2, 1, 0, 0)] and time.time() - began < 30
+
+
+def test_running_totals_do_not_depend_on_ranges(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.randint(-5, 9)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, k string, v long")
+    for largest in (False, True):
+        want, held = {}, {}
+        for i, k, v in rows:
+            held[k] = (max(held.get(k, v), v) if largest else held.get(k, 0) + v)
+            want[i] = held[k]
+        for size in (1 << 16, 100, 7):
+            assert {r.id: r.t for r in queue.running(frame, "k", "v", "t", largest=largest, size=size).collect()} == want
+
+
+def test_streams_of_windows_and_sessions(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    batch = {(r.start, r.event_type): r.n for r in events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n").collect()}
+    got = {(r.start, r.event_type): r.n for r in jobs.run_to_table(jobs.windowed(jobs.source(spark, DATA)), "windows", str(tmp_path / "w")).collect()}
+    assert got and all(batch[k] == n for k, n in got.items())
+    sessions = jobs.run_to_table(jobs.sessions(jobs.source(spark, DATA)), "sessions", str(tmp_path / "s"))
+    assert 0 < sessions.agg(F.sum("n")).first()[0] <= events.count()
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
@@ -177,5 +238,7 @@ def test_first_valid_answer_and_its_cost(spark):
 
 
 def test_bootstrap_resamples_as_often_as_the_reference(spark):
-    got = evaluate.bootstrap(spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, ok int")).first()
-    assert got.resamples == 1000 and 0 < got.low < got.high < 1
+    rows = spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, ok int")
+    got = evaluate.bootstrap(rows, "ok").first()
+    assert got.resamples == 1000 and 0.25 < got.low < 0.45 and 0.55 < got.high < 0.75
+    assert evaluate.bootstrap(rows.repartition(3), "ok").first() == got
