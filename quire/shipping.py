@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -29,7 +32,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Return memory that this Python worker holds and doesn't use; workers live on from task to task, and so would it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 8) -> Callable:
+    """run, giving memory back now and then and at the end of the task."""
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            for i, batch in enumerate(batches):
+                if i % every == every - 1:
+                    give_back()
+                yield batch
+
+        yield from run(counted())
+        give_back()
+
+    return tidied
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with the package at hand on the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
