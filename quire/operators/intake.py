@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.shared import checkpoint
 from quire.shipping import ship
 
 #: (signs in hex with their place from 1, kind, mime), tried in order; all signs of a row must be there.  Fixed values.
@@ -213,10 +214,6 @@ def expand(files: DataFrame, depth: int = MOST_DEPTH, most: int = MOST_CHILDREN)
     Archives and mails give their members, nested `depth` deep at most.  Each level is one pass over the containers of
     the level before, whose members are written to the shared folder, so that no level is read twice.
     """
-    spark = files.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-
     def children(row: tuple) -> list[tuple]:
         try:
             made = archive_children(bytes(row.content), most) if row.kind == "archive" else mail_children(row.name, bytes(row.content), most)
@@ -228,7 +225,7 @@ def expand(files: DataFrame, depth: int = MOST_DEPTH, most: int = MOST_CHILDREN)
     leaves = None
     columns = [c.split()[0] for c in LEAF.split(", ")]
     for i in range(depth + 1):
-        known = typed(level).checkpoint()
+        known = checkpoint(typed(level))
         box = known.filter("quarantine is null and kind in ('archive', 'email')")
         found = known.filter("quarantine is not null or kind not in ('archive', 'email')")
         if i == depth:
@@ -236,7 +233,7 @@ def expand(files: DataFrame, depth: int = MOST_DEPTH, most: int = MOST_CHILDREN)
         leaves = found.select(*columns) if leaves is None else leaves.unionByName(found.select(*columns))
         if i == depth or box.isEmpty():
             return leaves
-        made = _rows(box.select("name", "content", "kind", "mime", "parent_sha", "depth", F.sha2("content", 256).alias("sha")), children, LEAF).checkpoint()
+        made = checkpoint(_rows(box.select("name", "content", "kind", "mime", "parent_sha", "depth", F.sha2("content", 256).alias("sha")), children, LEAF))
         leaves = leaves.unionByName(made.filter("quarantine is not null"))
         level = made.filter("quarantine is null").select("name", "content", "parent_sha", "depth")
     return leaves

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 
@@ -11,19 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import pages, segments
+from quire.shared import shared_folder
 from quire.sources import files
 
 Spark = SparkSession
 
 
 def folder(spark: Spark) -> str:
-    """A folder of its own under the one that all executors share; a temporary one only on a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="quire-files-")
-    return f"{named}/files-{uuid.uuid4().hex}"
+    """A folder of its own under the one that all executors share."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _docs(spark: Spark, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import zipfile
 
@@ -242,3 +243,27 @@ def test_bootstrap_resamples_as_often_as_the_reference(spark):
     got = evaluate.bootstrap(rows, "ok").first()
     assert got.resamples == 1000 and 0.25 < got.low < 0.45 and 0.55 < got.high < 0.75
     assert evaluate.bootstrap(rows.repartition(3), "ok").first() == got
+
+
+def test_commands(spark, tmp_path, capsys):
+    from quire.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Some words to read.\n" * 20)
+    (tmp_path / "in" / "b.bin").write_bytes(b"\x00\x01")
+    main(["route", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
+    made = {json.loads(p.read_text())["doc"]["name"]: json.loads(p.read_text())["pages"][0]["lane"] for p in (tmp_path / "out").glob("*.json")}
+    assert made == {"a.txt": "L0", "b.bin": "LQ"}
+    main(["view", str(tmp_path / "out"), "--out", str(tmp_path / "view.html")])
+    assert "a.txt" in (tmp_path / "view.html").read_text() and "width:100.00%" in (tmp_path / "view.html").read_text()
+    main(["probe", str(tmp_path / "in" / "a.txt"), "--page", "0"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["evidence"].startswith("Text: a short amount of text")
+    toy = [(0.1, "L3", ["L4"]), (0.2, "L1", ["L1"]), (0.3, "L1", ["L2"]), (0.4, "L2", ["L2"]), (0.5, "L3", ["L3", "L4"]), (0.6, "L5", ["L5"])]
+    rows = [{"id": str(i), "grp": "pdf", "gt": gt, "lane": c, "candidate": c, "path_p": p, "basis": "b", "latency_ms": 10 * i, "cost_usd": 0.001} for i, (p, c, gt) in enumerate(toy)] + [{"id": "e", "error": "no"}]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    main(["calibrate", str(tmp_path / "r.jsonl"), "--out", str(tmp_path / "c.json"), "--cost-ratio", "4", "--check"])
+    made = json.loads((tmp_path / "c.json").read_text())
+    assert made["pooled"] == [[0.1, 0.0], [0.2, 0.5], [0.3, 0.5], [0.4, 1.0], [0.6, 1.0]] and made["threshold"] == 0.75 and made["lanes"] == {} and made["basis"] == "b"
+    assert evaluate.applicable(made, "b") is made and evaluate.applicable(made, "other") is None
+    main(["evaluate", str(tmp_path / "r.jsonl"), "--out", str(tmp_path / "report.md")])
+    assert "| pdf | 6 |" in (tmp_path / "report.md").read_text()
