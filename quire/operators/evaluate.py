@@ -199,16 +199,22 @@ def expected_error(rows: DataFrame) -> DataFrame:
     return b.agg(F.round(F.sum(gap) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
 
 
-def pareto(systems: DataFrame) -> DataFrame:
+def pareto(systems: DataFrame, parts: int = 1024) -> DataFrame:
     """Systems (name, score, cost) that no other beats.
 
-    The best score at each cost is aggregated first; of these, in order of cost, those stay that
-    exceed every cheaper one.
+    The best score at each cost is aggregated first; of these those stay that exceed every cheaper one.  Costs are cut
+    into ranges whose best scores are compared first, so that no task sorts all of them.
     """
-    best = systems.groupBy("cost").agg(F.max("score").alias("score"))
-    cheaper = Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("before", F.max("score").over(cheaper)).filter(F.col("before").isNull() | (F.col("score") > F.col("before")))
-    return systems.join(front.drop("before"), ["cost", "score"], "left_semi").select("name", "score", "cost")
+    best = systems.filter("cost is not null and score is not null").groupBy("cost").agg(F.max("score").alias("score"))
+    ends = best.agg(F.min("cost").alias("lo"), F.max("cost").alias("hi"))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("cost") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (parts - 1))).otherwise(F.lit(0))
+    best = best.join(F.broadcast(ends)).withColumn("part", part)  # ends is one row
+    cheaper = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows at most
+    tops = best.groupBy("part").agg(F.max("score").alias("top")).select("part", F.max("top").over(cheaper).alias("below"))
+    inside = F.max("score").over(Window.partitionBy("part").orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    seen = best.withColumn("inside", inside).join(F.broadcast(tops), "part").withColumn("before", F.greatest("inside", "below"))
+    front = seen.filter(F.col("before").isNull() | (F.col("score") > F.col("before"))).select("cost", "score")
+    return systems.join(front, ["cost", "score"], "left_semi").select("name", "score", "cost")
 
 
 def shared_core(results: DataFrame, least: float = 0.8) -> DataFrame:
