@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import pages, segments
 from quire.shared import shared_folder
-from quire.sources import files
+from quire.sources import files, paged
 
 Spark = SparkSession
 
@@ -167,7 +167,40 @@ def html_sections(spark: Spark, d: str) -> DataFrame:
     return files.html_report(w.join(lanes, "doc_id").select(F.concat(F.lit("a<b> & "), "doc_id").alias("name"), "lanes", "segments"))
 
 
-QUERIES = {f.__name__: f for f in (json_line_cases, catalogue, result_files, file_scan, manifest_scan, manifest_store, job_index, results_and_errors, score_table, byte_ranges, release_headers, release_members, release_repeats, zip_directories, html_sections)}
+def paged_rows(spark: Spark, d: str) -> DataFrame:
+    """Rows that are served in pages of 64, each page read by a task of its own."""
+    at = folder(spark)
+    docs = _docs(spark, d).select("doc_id", "source")
+    rows = docs.select("doc_id", F.struct(F.struct("doc_id", F.concat("source", F.lit("!")).alias("label"), F.lit("unused").alias("more")).alias("row")).alias("r"))
+    served_ = rows.groupBy((F.floor(F.col("doc_id") / 64) * 64).alias("offset")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "r"))), lambda x: x["r"]).alias("rows"))).alias("content"))
+    files.write_files(served_.select(F.concat(F.lit("rows-"), "offset", F.lit(".json")).alias("name"), "content"), at)
+    total = docs.agg((F.max("doc_id") + 1).alias("n")).first()["n"]
+    return paged.rows(spark, at.removeprefix("file://") + "/rows-{offset}.json", total, 64, "doc_id long, label string")
+
+
+def fetch_plan(spark: Spark, d: str) -> DataFrame:
+    """What is still to be fetched, archives' members together; every third file is there."""
+    i = F.col("doc_id")
+    entries = pages.documents(spark, d).select(F.concat(F.lit("raw/"), i).alias("raw"), F.when(i % 5 == 0, F.concat(F.lit("https://a/"), i)).otherwise(F.concat(F.lit("https://z/"), i % 10, F.lit(".zip"))).alias("url"), F.when(i % 5 > 0, F.concat(F.lit("m"), i)).alias("member"))
+    todo = files.to_fetch(entries, entries.filter(F.substring_index("raw", "/", -1).cast("long") % 3 == 0))
+    return todo.select("url", F.size("members").alias("n"), F.md5(F.array_join("members", ",")).alias("members"))
+
+
+def kept_children(spark: Spark, d: str) -> DataFrame:
+    """Bytes of documents out of containers are kept once by their hash, whoever brings them again."""
+    at = folder(spark)
+    children = _docs(spark, d).select(F.concat(F.lit("inputs/"), F.sha2("text", 256)).alias("key"), "text")
+    first, again = files.append_once(children, at, ["key"]), files.append_once(children, at, ["key"])
+    return spark.read.parquet(at).select("key", F.length("text").alias("n")).withColumns({"first": F.lit(first).cast("long"), "again": F.lit(again).cast("long")})
+
+
+def lookups(spark: Spark, d: str) -> DataFrame:
+    """Stored answers of a service by key, and 404 for what isn't there."""
+    store = _docs(spark, d).filter("doc_id % 4 > 0").select(F.concat(F.lit("jobs/"), "doc_id").alias("key"), F.col("source").alias("value"))
+    return files.served(_docs(spark, d).select(F.concat(F.lit("jobs/"), "doc_id").alias("key")), store)
+
+
+QUERIES = {f.__name__: f for f in (json_line_cases, catalogue, result_files, file_scan, manifest_scan, manifest_store, job_index, results_and_errors, score_table, byte_ranges, release_headers, release_members, release_repeats, zip_directories, html_sections, paged_rows, fetch_plan, kept_children, lookups)}
 
 
 def oracles(answered_sql: str) -> dict[str, str]:
@@ -183,6 +216,11 @@ def oracles(answered_sql: str) -> dict[str, str]:
             SELECT 'manifests/' || doc_id AS key, CASE WHEN doc_id % 3 < 2 THEN n::VARCHAR ELSE 'new' END AS value, first, again FROM mm, kk UNION ALL SELECT 'manifests/none', NULL, first, again FROM kk""",
         "job_index": f"{lanes}, e AS (SELECT doc_id, doc_id || ' ' || string_agg(lane || ':' || n, ' ' ORDER BY lane) AS entry FROM k GROUP BY doc_id) SELECT source AS job, md5(string_agg(entry, ';' ORDER BY entry)) AS documents, count(*) AS n FROM e JOIN documents USING (doc_id) GROUP BY source",
         "results_and_errors": "SELECT doc_id AS id, NULL::VARCHAR AS grp, CASE WHEN doc_id % 9 > 0 THEN 'L1' END AS lane, CASE WHEN doc_id % 9 = 0 THEN 'page out of range' END AS error FROM documents",
+        "paged_rows": "SELECT doc_id, source || '!' AS label FROM documents",
+        "fetch_plan": """WITH e AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'https://a/' || doc_id ELSE 'https://z/' || doc_id % 10 || '.zip' END AS url, CASE WHEN doc_id % 5 > 0 THEN 'm' || doc_id END AS member FROM documents WHERE doc_id % 3 <> 0)
+            SELECT url, count(member)::INT AS n, md5(coalesce(string_agg(member, ',' ORDER BY member), '')) AS members FROM e GROUP BY url""",
+        "kept_children": f"WITH {docs} SELECT DISTINCT 'inputs/' || sha256(text) AS key, length(text) AS n, (SELECT count(DISTINCT text) FROM d) AS first, 0::BIGINT AS again FROM d",
+        "lookups": "SELECT 'jobs/' || doc_id AS key, CASE WHEN doc_id % 4 > 0 THEN 200 ELSE 404 END AS status, CASE WHEN doc_id % 4 > 0 THEN source END AS body FROM documents",
         "score_table": "SELECT doc_id, 'a \"b\", ' || source AS name, doc_id % 8 / 8 AS score FROM documents",
         "byte_ranges": "WITH p AS (SELECT i, left(repeat(sha256(i::VARCHAR), 2), (i % 30 + 60)::INT) AS t FROM (SELECT unnest(range(40)) AS i)), w AS (SELECT string_agg(t, '' ORDER BY i) AS whole FROM p), r AS (SELECT i AS id, substr(whole, i * 9 + 1, i * 7 % 200 + 1) AS t FROM w, (SELECT unnest(range(300)) AS i)) SELECT id, md5(t) AS digest, length(t)::INT AS n FROM r WHERE t <> ''",
         "release_headers": f"WITH {docs} SELECT source AS archive, 'd' || doc_id || '.txt' AS member, strlen(text) AS size FROM d",

@@ -123,6 +123,18 @@ def write_files(rows: DataFrame, folder: str) -> None:
     rows.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
+def to_fetch(entries: DataFrame, kept: DataFrame) -> DataFrame:
+    """entries (raw, url, member) that aren't kept yet (raw), an archive's members together: url, members (null: the file itself)."""
+    todo = entries.join(kept.select("raw"), "raw", "left_anti").filter(F.col("url").isNotNull())
+    return todo.groupBy("url").agg(F.array_sort(F.collect_set("member")).alias("members"))
+
+
+def served(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """wanted (key) with status and body as a service answers: 404 where the key isn't stored."""
+    found = point_reads(wanted, store)
+    return found.select("key", F.when(F.col("value").isNull(), 404).otherwise(200).alias("status"), F.col("value").alias("body"))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

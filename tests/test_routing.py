@@ -267,3 +267,15 @@ def test_commands(spark, tmp_path, capsys):
     assert evaluate.applicable(made, "b") is made and evaluate.applicable(made, "other") is None
     main(["evaluate", str(tmp_path / "r.jsonl"), "--out", str(tmp_path / "report.md")])
     assert "| pdf | 6 |" in (tmp_path / "report.md").read_text()
+
+
+def test_settings(tmp_path):
+    from quire import settings
+
+    (tmp_path / "env").write_text("# QUIRE_MAX_PAGES=1\nQUIRE_MAX_PAGES = 7\nQUIRE_USE_CALIBRATION=no\nOTHER=1\n")
+    got = settings.load({"QUIRE_REVIEW_THRESHOLD": "0.25"}, tmp_path / "env")
+    assert (got.max_pages, got.use_calibration, got.review_threshold, got.max_depth) == (7, False, 0.25, 3)
+    assert settings.load({"QUIRE_MAX_PAGES": "9"}, tmp_path / "env").max_pages == 9
+    with pytest.raises(ValueError):
+        settings.load({"QUIRE_USE_CALIBRATION": "maybe"}, None)
+    assert [settings.ocr_backend(*a) for a in (("auto", "darwin", True), ("auto", "darwin", False), ("auto", "linux", True), ("rapid", "darwin", True))] == ["apple", "rapid", "rapid", "rapid"]
