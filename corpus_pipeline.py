@@ -48,7 +48,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
-#: SQL can express neither the fitted classifier nor the fingerprints; tests hold the stages against brute force.
+#: SQL can express neither the fitted classifier nor the fingerprints; a test holds each stage against brute force on its input.
 ORACLE_SQL = None
 
 

@@ -495,14 +495,90 @@ def test_quality_looks_words_up_exactly(spark):
     assert got[1000] == got[1001] < 0.5 < got[0]
 
 
-def test_pipeline_stages(spark, tmp_path):
+def alike_groups(texts: dict[int, str]) -> set[int]:
+    """Least ids of the groups that Jaccard 0.8 connects; texts without a word stay by themselves."""
+    sets = {i: shingle_set(t) for i, t in texts.items() if t and WORD.search(t)}
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    return set(root.values()) | (set(texts) - set(sets))
+
+
+def without_windows(texts: dict[int, str]) -> dict[int, str]:
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            z = tuple(w[k : k + 20])
+            gone[k : k + 20] = [True] * 20 if z in seen else gone[k : k + 20]
+            seen.add(z)
+        kept = [x for x, g in zip(w, gone, strict=True) if not g]
+        if kept or not w:
+            out[i] = " ".join(kept) if any(gone) else t
+    return out
+
+
+def mixed(rows_: list[tuple[int, str, str]]) -> list[tuple[int, str]]:
+    """(doc_id, text) of the mix: sources by name weigh 1, 2, 3 ..., stop at three times their size, and are cut in order of a hash."""
+    size = {i: len(WORD.findall(t or "")) for i, _, t in rows_}
+    names = sorted({s for _, s, _ in rows_})
+    own = {s: sum(size[i] for i, of, _ in rows_ if of == s) for s in names}
+    weight, target, open_ = {s: k % 3 + 1 for k, s in enumerate(names)}, {}, set(names)
+    left = float(sum(own.values()))
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if share * weight[s] >= 3 * own[s]}
+        if not full:
+            target |= {s: share * weight[s] for s in open_}
+            break
+        target |= {s: 3 * own[s] for s in full}
+        left -= sum(3 * own[s] for s in full)
+        open_ -= full
+    out = []
+    for s in names:
+        mine = sorted(((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, t) for i, of, t in rows_ if of == s))
+        budget = int(target[s] + 0.5)
+        whole, rest = divmod(budget, own[s]) if own[s] else (0, 0)
+        for _, i, t in mine:
+            out += [(i, t)] * (whole if size[i] else 1)
+            part = min(rest, size[i])
+            rest -= part
+            if part:
+                out.append((i, t if part == size[i] else " ".join(WORD.findall(t)[:part])))
+    return sorted(out, key=lambda x: (x[0], x[1] or ""))
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    import sentencepiece
+
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    columns = docs.columns
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == columns if i < 4 else set(columns) < set(out.columns)
-        out.write.parquet(str(tmp_path / str(i)))
-        docs = spark.read.parquet(str(tmp_path / str(i)))
-    assert 0 < docs.count()
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "SimHash near-dedup", "substring dedup", "mixing sources to target weights", "SentencePiece encoding and decoding"]
+
+    def through(name, docs):
+        out = stages[name](spark, docs, data)
+        assert out.columns == columns if name != "SentencePiece encoding and decoding" else set(columns) < set(out.columns)
+        out.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    kept = through("quality classifier", docs)
+    judged = quality.classify(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    assert set(texts(kept)) == {r.doc_id for r in judged.collect() if not r.rejected} and 0 < kept.count() < docs.count()
+    first = through("SimHash near-dedup", kept)
+    assert set(texts(first)) == alike_groups(texts(kept)) and texts(first).items() <= texts(kept).items()
+    cut = through("substring dedup", first)
+    assert texts(cut) == without_windows(texts(first)) and cut.filter("n_chars <> length(text)").count() == 0
+    mix = through("mixing sources to target weights", cut)
+    assert sorted(((r.doc_id, r.text) for r in mix.collect()), key=lambda x: (x[0], x[1] or "")) == mixed([(r.doc_id, r.source, r.text) for r in cut.collect()])
+    lib = sentencepiece.SentencePieceProcessor(model_file=spm.model_path())
+    encoded = through("SentencePiece encoding and decoding", mix).collect()
+    assert len(encoded) == mix.count() and all(r.ids == lib.encode(r.text or "") and r.round_trip for r in encoded)
