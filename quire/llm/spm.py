@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from quire.shipping import map_arrow
 
 MARK = "▁"
-#: Words whose ids a Python worker remembers at most.
-MEMORY = 600_000
+#: Words whose ids a Python worker remembers at most, about 200 bytes each.
+MEMORY = 150_000
 #: Neighbouring pieces whose fit it remembers.
-PAIRS = 1_000_000
+PAIRS = 400_000
+#: Texts that are encoded at once.
+ROWS = 200
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _models: dict[str, Model] = {}
 
@@ -247,8 +249,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
                 texts = part.column(text).to_pylist()
                 ids = m.encode(texts)
                 sizes = np.array([len(x) for x in ids], dtype=np.int32)
