@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import SPACE, odd_body_share
+
 
 def unwrapped(content: Column, lenient: bool = False) -> Column:
     """The JSON of a response as a variant, a list of one element as that element; null if it isn't JSON.
@@ -62,10 +64,10 @@ def without_model(real_text: Column, text: Column, fonts: Column, confidence: Co
     return F.when(real_text, F.when(fonts | (digits > 0.12), "L2").otherwise("L1")).when((confidence < 0.7) & (common < 0.1), "L5").when(poor, "L4").otherwise("L3")
 
 
-def layer_class(text: Column, coverage: Column, odd_share: Column) -> Column:
+def layer_class(text: Column, coverage: Column) -> Column:
     """none, ocr (a layer over a scan), garbled or trusted."""
-    n = F.length(F.regexp_replace(text, r"\s", ""))
-    broken = text.contains("(cid:") | (odd_share >= 0.2)
+    n = F.length(F.regexp_replace(text, SPACE, ""))
+    broken = text.contains("(cid:") | (odd_body_share(text) >= 0.2)
     return F.when(coverage >= 0.9, F.when(n > 50, "ocr").otherwise("none")).when((n >= 200) & broken, "garbled").when(n >= 20, "trusted").otherwise("none")
 
 

@@ -47,8 +47,8 @@ def oracles(answered: str, measured: str, cases: str, events: str) -> dict[str,
                 round(CASE WHEN h >= 0.5 THEN h WHEN k >= 0.5 THEN (1 - h) * k * CASE WHEN y >= 0.5 THEN y ELSE 1 - y END ELSE (1 - h) * (1 - k) * CASE WHEN g >= 0.5 THEN g ELSE 1 - g END END, 4) AS p FROM q""",
         "rules_without_model": rf"""WITH {answered} SELECT doc_id, page, CASE WHEN trusted THEN CASE WHEN has_math >= 0.5 OR len(regexp_extract_all(text, '\p{{Nd}}')) / greatest(length(text), 1) > 0.12::DOUBLE THEN 'L2' ELSE 'L1' END
             WHEN doc_id * 3 % 10 < 7 AND doc_id * 7 % 10 < 5 THEN 'L5' WHEN 150 + doc_id * 11 % 100 < 200 OR 200 + doc_id * 13 % 400 < 300 OR 220 + doc_id * 17 % 30 < 235 OR doc_id * 19 % 4 >= 2 THEN 'L4' ELSE 'L3' END AS lane FROM r""",
-        "text_layer_class": rf"""WITH {measured}, k AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS solid FROM m)
-            SELECT doc_id, page, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN solid > 50 THEN 'ocr' ELSE 'none' END WHEN solid >= 200 AND (contains(text, '(cid:') OR odd_char_share >= 0.2) THEN 'garbled' WHEN solid >= 20 THEN 'trusted' ELSE 'none' END AS layer FROM k""",
+        "text_layer_class": rf"""WITH {measured}, k AS (SELECT doc_id, page, regexp_replace(CASE WHEN doc_id % 11 = 0 THEN text || repeat(chr(57344), (length(text) // 4)::BIGINT) ELSE text END, '\s', '', 'g') AS body FROM m)
+            SELECT doc_id, page, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN length(body) > 50 THEN 'ocr' ELSE 'none' END WHEN length(body) >= 200 AND (contains(body, '(cid:') OR len(regexp_extract_all(body, '[\p{{Co}}\p{{Cc}}\x{{FFFD}}]')) / length(body) >= 0.2) THEN 'garbled' WHEN length(body) >= 20 THEN 'trusted' ELSE 'none' END AS layer FROM k""",
         "label_overrides": """WITH k AS (SELECT 'doc-' || doc_id AS id, quality, doc_id::VARCHAR AS s FROM labels)
             SELECT id, CASE WHEN s LIKE '%7' THEN 'again' WHEN s LIKE '1%' THEN 'seen' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS state, CASE WHEN s LIKE '%7' THEN 'yes' ELSE '?' END AS has_table, CASE WHEN s LIKE '1_' THEN 'no' ELSE '?' END AS has_math,
                 concat_ws(',', CASE WHEN s LIKE '1%' THEN 'doc-1*' END, CASE WHEN s LIKE '%7' THEN 'doc-*7' END, CASE WHEN s LIKE '1_' THEN 'doc-1?' END) AS overrides FROM k""",

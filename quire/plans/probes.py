@@ -86,9 +86,11 @@ def rules_without_model(spark: Spark, d: str) -> DataFrame:
 
 
 def text_layer_class(spark: Spark, d: str) -> DataFrame:
+    """Every eleventh document has private-use characters behind its text, a fifth of it without the blanks between them."""
     cover = F.when(F.col("doc_id") % 5 == 0, 0.95).otherwise(0.1)
-    m = pages.measured(pages.layers(pages.explode_pages(pages.documents(spark, d))))
-    return m.select(*_KEYS, answers.layer_class(F.col("text"), cover, F.col("odd_char_share")).alias("layer"))
+    m = pages.layers(pages.explode_pages(pages.documents(spark, d)))
+    odd = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.repeat(F.lit("\ue000  "), F.floor(F.length("text") / 4).cast("int")))).otherwise(F.col("text"))
+    return m.select(*_KEYS, answers.layer_class(odd, cover).alias("layer"))
 
 
 def label_overrides(spark: Spark, d: str) -> DataFrame:
