@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
+from . import conversation, digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
 from .common import table
+from .oracle_conversation import CONVERSATION_SQL
 
 #: Rules of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -66,11 +67,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality)}
+def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.summaries(conversation.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality, op12_conversation)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
+    "op12_conversation": CONVERSATION_SQL,
     "op8_url_filter": r"""
         WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
