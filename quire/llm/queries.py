@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation, digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
+from . import alignment, conversation, digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
 from .common import table
 from .oracle_conversation import CONVERSATION_SQL
 
@@ -71,7 +71,11 @@ def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.summaries(conversation.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality, op12_conversation)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality, op12_conversation, op13_alignment)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
