@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, conversation, digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
+from . import alignment, conversation, digest, media, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
 from .common import table
 from .oracle_conversation import CONVERSATION_SQL
 
@@ -67,6 +67,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)}).drop("payload_bytes")
+    read = media.load(stored)
+    tail = F.expr(f"crc32(substring(payload, -{media.UNIT}, {media.UNIT}))")
+    return read.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.summaries(conversation.damaged(table(spark, sf_dir, "conversations")))
 
@@ -75,7 +83,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality, op12_conversation, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_substring, op5_sentencepiece, op6_sharding, op7_repetition, op8_url_filter, op9_fingerprints, op10_quality, op11_media, op12_conversation, op13_alignment)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
