@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from .common import WORD, checkpoint, n_words
 
@@ -55,13 +56,14 @@ def budgets(sizes: DataFrame, weight=cycle_weights, share: float = 1.0, most: in
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix(docs: DataFrame, weight=cycle_weights, share: float = 1.0, most: int = 3, seed: str = "mix", size: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weight=cycle_weights, share: float = 1.0, most: int = 3, seed: str = "mix", size: Column | None = None, keep: tuple[str, ...] = (), order: list[Column] | None = None) -> DataFrame:
     """Rows of docs (doc_id, source and what `keep` names) with size, source_size, target, taken.
 
     taken is the number of words the mix uses of a row, epochs counted: taken div size whole
     passes and, for the row in which a source's budget ends, the rest as a partial pass.
     Null text has size 0; a null source is a source of its own, ranked last; equal doc_ids
-    are separate rows with the same key; an empty table gives an empty result.
+    are separate rows with the same key; an empty table gives an empty result.  order tells rows apart that are equal in
+    key, doc_id and size, where the kept columns themselves can't be sorted.
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), *keep, (n_words(F.col("text")) if size is None else size).alias("size"))
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, weight=cycle_weights, share: float = 1.0, most: int = 3
     target = budgets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weight, share, most)
     b, t = ranges.alias("b"), target.alias("t")
     plan = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("b_source"), F.col("b.range").alias("b_range"), "start", "source_size", "target")
-    inside = Window.partitionBy(*at).orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*at).orderBy("key", "doc_id", "size", *(keep if order is None else order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("end", F.sum("size").over(inside))
     joined = summed.join(plan, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("range") == F.col("b_range")))
     budget = F.round("target").cast("long")
@@ -92,6 +94,13 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), n), " ")
 
 
+def sortable(kind: DataType) -> bool:
+    """Whether Spark can order values of this type."""
+    if isinstance(kind, StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return sortable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: rows of docs, as often as the mix takes them.  All columns of docs stay.
 
@@ -101,7 +110,8 @@ def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("doc_id", "source")]
     named = docs.select("doc_id", "source", F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    mixed = mix(named, size=n_words(F.col("text")), keep=("row",), **options)
+    order = [F.col(f"row.`{c}`") if sortable(docs.schema[c].dataType) else F.to_json(F.struct(F.col(f"row.`{c}`"))) for c in columns]
+    mixed = mix(named, size=n_words(F.col("text")), keep=("row",), order=order, **options)
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     copies = mixed.withColumn("times", times).filter("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
     left = (F.col("taken") - (F.col("epoch") - 1) * F.col("size")).cast("int")

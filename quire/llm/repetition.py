@@ -26,7 +26,7 @@ GRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.50, 0.30
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, gram_share double, line_share double, line_char_share double, base_failed boolean, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, gram_share double, line_share double, line_char_share double"
 
 
 def repeated(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def measure(w: Words) -> dict[str, np.ndarray]:
     line_share, line_char_share = lines[:, 1] / np.maximum(lines[:, 0], 1), lines[:, 3] / np.maximum(lines[:, 2], 1)
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
     good = (excess <= 1) & (line_share <= LINE_LIMIT) & (line_char_share <= LINE_CHAR_LIMIT)
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": w.sums(SYMBOLS[w.data]), "n_dup_lines": lines[:, 1], "n_repeat_words": n_repeat, "gram_share": excess, "line_share": line_share, "line_char_share": line_char_share, "base_failed": failed, "kept": ~failed & good}
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": w.sums(SYMBOLS[w.data]), "n_dup_lines": lines[:, 1], "n_repeat_words": n_repeat, "base_failed": failed, "kept": ~failed & good, "gram_share": excess, "line_share": line_share, "line_char_share": line_char_share}
 
 
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quire.shipping import map_arrow
 
 from . import near
-from .common import Scratch, checkpoint
+from .common import Scratch, checkpoint, wide_hash
 from .words import mix
 
 MOST_BITS = 4
@@ -303,12 +303,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     counted = rows.groupBy("group", *near.KEY).agg(F.count("*").alias("copies"))
     first = counted.groupBy("group").agg(F.min(F.struct(*near.KEY)).alias("first"))
     marked = counted.join(first, "group").withColumn("is_first", F.struct(*near.KEY) == F.col("first")).filter("not is_first or copies > 1")
-    marked = checkpoint(marked.select(F.col("doc_id").alias("k0"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), "is_first"))
+    marked = checkpoint(marked.select(F.struct("doc_id", "h1", "h2").alias("key"), "is_first"))
     n = marked.agg(F.count("*").alias("all"), F.count_if("is_first").alias("first")).first()
     small = F.broadcast if n["all"] <= near.BROADCAST else lambda df: df
-    named, same = near.with_key(docs, "t1", "t2"), (F.col("doc_id").cast("long") == F.col("k0")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
-    alone = named.join(small(marked), same, "left_anti").select(*docs.columns)
-    if not n["first"]:
-        return alone
-    repeated = named.join(small(marked.filter("is_first")), same, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
-    return alone.unionByName(repeated.select(*docs.columns))
+    # columns of docs may have any name and any type, so they travel in one struct
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    h1, h2 = wide_hash(F.col("row.text"))
+    named = row.withColumns({"t0": F.col("row.doc_id").cast("long"), "t1": h1, "t2": h2})
+    same = (F.col("t0") == F.col("key.doc_id")) & (F.col("t1") == F.col("key.h1")) & (F.col("t2") == F.col("key.h2"))
+    alone = named.join(small(marked), same, "left_anti").select("row")
+    if n["first"]:
+        repeated = named.join(small(marked.filter("is_first")), same, "left_semi").dropDuplicates(["t0", "t1", "t2"])
+        alone = alone.unionByName(repeated.select("row"))
+    return alone.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

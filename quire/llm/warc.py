@@ -34,9 +34,9 @@ _TAG = re.compile(rf"(?s)</?[a-zA-Z!?]{_PIECE}*+(>)?")
 _TITLE = re.compile(rf"(?is)<title\b{_PIECE}*+(>)?")
 _TITLE_END = re.compile(r"(?i)</title\s*>")
 _HTML = re.compile(rf"(?is)<html\b({_PIECE}*+)")
-_LANG = re.compile(rf"(?is){_PIECE}*?\blang\s*=\s*[\"']?([a-zA-Z-]{{1,35}})")
+_LANG = re.compile(rf"(?is){_PIECE}*?(?<![\w:-])lang\s*=\s*[\"']?([a-zA-Z0-9-]++)")
 _A = re.compile(rf"(?is)<a\b({_PIECE}*+)")
-_HREF = re.compile(rf"(?is){_PIECE}*?\bhref\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++))")
+_HREF = re.compile(rf"(?is){_PIECE}*?(?<![\w:-])href\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++))")
 
 
 _CHUNK_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,12})[ \t]*(?:;.*)?", re.S)
@@ -120,8 +120,26 @@ def read_records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
         del held[:stop]
 
 
-def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
-    """Status line, headers and payload of an HTTP response; chunks are joined and gzip or deflate undone."""
+def cleared(payload: bytes, coding: str) -> bytes | None:
+    """payload without one content coding; None if the coding is unknown or broken."""
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return gzip.decompress(payload)
+        if coding == "deflate":
+            try:
+                return zlib.decompress(payload)
+            except zlib.error:  # servers also send it without its frame
+                return zlib.decompress(payload, -zlib.MAX_WBITS)
+    except (OSError, EOFError, zlib.error):
+        return None
+    return payload if coding in ("", "identity") else None
+
+
+def http_parts(block: bytes) -> tuple[str, Headers, bytes, bool]:
+    """Status line, headers and payload of an HTTP response, and whether the payload is clear: chunks are joined and codings undone, the last first.
+
+    A payload whose codings can't all be undone stays as it came.
+    """
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap:
         head, gap, payload = block.partition(b"\n\n")
@@ -137,12 +155,10 @@ def http_parts(block: bytes) -> tuple[str, Headers, bytes]:
             out.append(payload[end + 2 : end + 2 + size])
             at = end + 4 + size
         payload = b"".join(out) if out else payload
-    coding = (header(headers, "Content-Encoding") or "").lower()
-    try:
-        payload = gzip.decompress(payload) if coding in ("gzip", "x-gzip") else zlib.decompress(payload) if coding == "deflate" else payload
-    except (OSError, EOFError, zlib.error):
-        pass  # a broken coding is kept as it came
-    return status.decode("latin-1").strip(), headers, payload
+    clear: bytes | None = payload
+    for coding in reversed((header(headers, "Content-Encoding") or "").lower().split(",")):
+        clear = None if clear is None else cleared(clear, coding.strip())
+    return status.decode("latin-1").strip(), headers, payload if clear is None else clear, clear is not None
 
 
 def plain_text(page: str) -> str:
@@ -182,15 +198,17 @@ def decoded(payload: bytes, headers: Headers) -> tuple[str, str]:
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     """The metadata and the conversion record of a response record; other record types give none.
 
-    A payload whose content type isn't text (an image, say) has the metadata record alone, without charset and text fields.
+    A payload whose content type isn't text (an image, say), or whose content coding is unknown or broken, has the
+    metadata record alone, without charset and text fields.
     """
     if (header(headers, "WARC-Type") or "").lower() != "response":
         return []
     source, uri, date = (header(headers, f"WARC-{k}") for k in ("Record-ID", "Target-URI", "Date"))
-    status, http, payload = http_parts(block)
+    status, http, payload, clear = http_parts(block)
     page, charset = decoded(payload, http)
     kind_of = (header(http, "Content-Type") or "text/html").lower()
-    textual, is_html = bool(_TEXTUAL.search(kind_of)), "html" in kind_of
+    textual = clear and bool(_TEXTUAL.search(kind_of))
+    is_html = clear and "html" in kind_of
     text = plain_text(page) if is_html else page
     title = page_title(page) if is_html else None
     lang = page_language(page) if is_html else None
@@ -251,14 +269,27 @@ def derivatives(records: DataFrame, date: str = EPOCH) -> DataFrame:
     return map_arrow(chosen, run, "key long, " + ", ".join(f"{k} {t}" for k, t in COLUMNS.items()))
 
 
+def _some(records: Iterator[tuple[Headers, bytes]], size: int = 1 << 22) -> Iterator[list[tuple[Headers, bytes]]]:
+    """Records in lists of about `size` bytes."""
+    got, held = [], 0
+    for r in records:
+        got.append(r)
+        held += len(r[1])
+        if held >= size:
+            yield got
+            got, held = [], 0
+    if got:
+        yield got
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """Records of WARC files: content binary -> key long (0 for all), headers string, block binary."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                got = list(read_records(data.as_py() or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(got), pa.int64()), pa.array(["".join(f"{k}: {v}\r\n" for k, v in h) for h, _ in got], pa.string()), pa.array([b for _, b in got], pa.binary())], names=["key", "headers", "block"])
+                for got in _some(read_records(data.as_py() or b"")):
+                    yield pa.RecordBatch.from_arrays([pa.array([0] * len(got), pa.int64()), pa.array(["".join(f"{k}: {v}\r\n" for k, v in h) for h, _ in got], pa.string()), pa.array([b for _, b in got], pa.binary())], names=["key", "headers", "block"])
 
     return map_arrow(files.select("content"), run, "key long, headers string, block binary")
 

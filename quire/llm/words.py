@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 19
 #: Bytes hashed at once.
@@ -18,6 +19,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20240101)
 _BYTE = [_RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+#: Longer words are hashed one by one: over very long runs a polynomial modulo a power of two has equal values for different bytes.
+LONG_WORD = 64
 #: Odd multipliers of the rolling hashes, for bytes and for words.
 _BASE = [int(x) * 2 + 1 for x in _RANDOM.integers(2**61, 2**62, 4, dtype=np.uint64)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -84,6 +87,9 @@ class Words:
             j = max(i + 1, int(np.searchsorted(self.ends, lo + BLOCK, "right")))
             out[i:j] = rolled(code[self.data[lo : self.ends[j - 1]]], self.starts[i:j] - lo, self.ends[i:j] - lo, _BASE[which])
             i = j
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            word = self.data[self.starts[k] : self.ends[k]]
+            out[k] = xxhash.xxh64_intdigest((word if table is None else table[word]).tobytes(), seed=which)
         with np.errstate(over="ignore"):
             return mix(out + (self.ends - self.starts).astype(np.uint64))
 

@@ -582,3 +582,50 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=spm.model_path())
     encoded = through("SentencePiece encoding and decoding", mix).collect()
     assert len(encoded) == mix.count() and all(r.ids == lib.encode(r.text or "") and r.round_trip for r in encoded)
+
+
+def test_columns_of_any_name_and_type(spark):
+    """Columns that an operator uses itself, and types that can't be sorted, come through unchanged."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(12)]
+    texts = [*base, base[0], base[1] + " more", *base[:3]]
+    rows = [(i, t, f"s{i % 2}", "mine", "k", 7, "x", {"a": t[:3]}, "g") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, t1 string, k0 string, h1 int, row string, key map<string,string>, group string")
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(tuple(r) for r in kept.collect()) == [r for r in rows if r[0] < 12]
+    mixed = mixing.repeat_rows(frame)
+    assert mixed.columns == frame.columns and all(r.key["a"] == texts[r.doc_id][:3] and r.t1 == "mine" for r in mixed.collect())
+    cut = substring.without_repeats(frame)
+    assert cut.columns == frame.columns and {r.doc_id for r in cut.collect()} == set(range(12)) | {13}
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    """Words that a polynomial modulo 2^64 can't tell apart, whatever its base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    frame = spark.createDataFrame([(0, f"{word} {rest}"), (1, f"{other} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.dedup(frame).collect()] == [0, 0]
+    same = spark.createDataFrame([(0, f"{word} {rest}"), (1, f"{word} {rest}")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substring.dedup(same).collect()) == [0, 20]
+
+
+def test_warc_attributes_and_codings():
+    import gzip
+    import zlib
+
+    page = '<html data-lang="xx" lang="es-419"><a data-href="/wrong" href="/right">a</a><a xlink:href="/no">b</a><a data-href=/only>c</a>'
+    assert warc.page_language(page) == "es-419" and warc.page_links(page) == ["/right"]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")]
+
+    def records(coding: str, payload: bytes):
+        return warc.derive(headers, f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: {coding}\r\n\r\n".encode() + payload)
+
+    text = b"<p>one two"
+    raw = zlib.compressobj(wbits=-15)
+    for coding, payload in (("gzip", gzip.compress(text)), ("deflate", zlib.compress(text)), ("deflate", raw.compress(text) + raw.flush()), ("deflate, gzip", gzip.compress(zlib.compress(text))), ("identity", text)):
+        assert records(coding, payload)[1][1] == b"one two", coding
+    for coding, payload in (("br", b"\x0b\x02\x80abc"), ("zstd", b"(\xb5/\xfd"), ("gzip", gzip.compress(text)[:-9]), ("deflate", b"\xff\xff\xff")):
+        made = records(coding, payload)
+        assert [dict(h)["WARC-Type"] for h, _ in made] == ["metadata"] and b"charset" not in made[0][1] and warc.digest(payload).encode() in made[0][1]
