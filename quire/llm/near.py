@@ -8,7 +8,8 @@ pair; the sample only keeps lists short.
 
 Pairs are compared on their whole sets.  Since groups are wanted and not pairs, what SimHash
 links is compared first, and each text with the one that it shares most lists with among the
-lists' first members, in linear work; after that only pairs that aren't in one group yet.
+lists' leaders, in a few rounds of linear work with other leaders each; after that only pairs
+that aren't in one group yet.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ LEAST_OF, LEAST_IN = 4, 5
 SAMPLE_SHARE, SAMPLE_LEAST, COMMON = 64, 3, 20_000
 #: Bits of a sketch, as a power of two, at most; longer texts' sketches rule less out.
 MOST_BITS = 20
+#: Rounds in which each text meets a leader, before all pairs that are left are sought.  They save work, and nothing is found through them alone.
+ROUNDS = 3
+#: Lists from CROWDED texts on carry sketches of SHORT bits; a list has a row and a column of its grid for each GRID texts.
+CROWDED, SHORT, GRID = 16, 1024, 4096
 #: So many ids, of a few bytes each, are sent to all executors at most.
 BROADCAST = 100_000
 KEY = ["doc_id", "h1", "h2"]
@@ -66,6 +71,14 @@ def sketches(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def short_sketches(doc: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    """SHORT bits of each text as longs, on which its shingles fall by their top bits."""
+    bits = np.zeros((n, SHORT), dtype=np.uint8)
+    bits[doc, (value >> np.uint64(64 - SHORT.bit_length() + 1)).astype(np.int64)] = 1
+    words = np.packbits(bits, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SHORT // 64)), pa.array(words.ravel()))
+
+
 def alone(a: bytes, b: bytes) -> tuple[int, int]:
     """At least so many shingles has each of two texts that the other lacks, by their sketches."""
     x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
@@ -134,8 +147,8 @@ def _described(size: int, common: np.ndarray, level: np.ndarray, fingerprint: Ca
                 first = np.searchsorted(doc, np.arange(j - i + 1))
                 sets = np.array([xxhash.xxh64_intdigest(value[a:b].tobytes()) for a, b in zip(first, first[1:])], dtype=np.uint64)
                 prints = fingerprint(part.column("text").cast(pa.large_binary()).to_pylist(), size)
-                made = [pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), beginnings(doc, value, j - i, common, level), sketches(doc, value, j - i)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in KEY], *made], names=[*KEY, "print", "sid", "n", "beginning", "bits"])
+                made = [pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64)), pa.array(np.diff(first).astype(np.int64)), beginnings(doc, value, j - i, common, level), sketches(doc, value, j - i), short_sketches(doc, value, j - i)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in KEY], *made], names=[*KEY, "print", "sid", "n", "beginning", "bits", "short"])
 
     return run
 
@@ -170,6 +183,14 @@ def _may_be(x: str, y: str) -> Column:
     return _alike(F.least(n(x, "n") - n(x, "pos"), n(y, "n") - n(y, "pos")), n(x, "n"), n(y, "n"))
 
 
+def _possibly(x: str, y: str) -> Column:
+    """Whether sets x and y can be alike by their short sketches; without sketches they can."""
+    bit = lambda s, i: F.col(f"{s}.short")[i]
+    lone = lambda s, t: sum((F.bit_count(bit(s, i).bitwiseAND(F.bitwise_not(bit(t, i)))) for i in range(SHORT // 64)), F.lit(0))
+    n = lambda s: F.col(f"{s}.n")
+    return F.coalesce(_alike(F.least(n(x) - lone(x, y), n(y) - lone(y, x)), n(x), n(y)), F.lit(True))
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
@@ -194,18 +215,45 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, places: DataFr
 
 
 def _with_root(listed: DataFrame, roots: DataFrame) -> DataFrame:
-    """listed with root, without the items whose texts are all in one group."""
-    rooted = listed.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    """listed with root and the size of its group, without the items whose texts are all in one group."""
+    sized = roots.withColumn("texts", F.count("*").over(Window.partitionBy("root"))).withColumnRenamed("node", "sid")
+    rooted = listed.join(sized, "sid", "left").withColumns({"root": F.coalesce("root", "sid"), "texts": F.coalesce("texts", F.lit(1).cast("long"))})
     ends = Window.partitionBy("item")
-    return rooted.withColumns({"least": F.min("root").over(ends), "top": F.max("root").over(ends)}).filter("least < top").drop("least", "top")
+    return rooted.withColumns({"least": F.min("root").over(ends), "top": F.max("root").over(ends), "m": F.count("*").over(ends)}).filter("least < top").drop("least", "top")
+
+
+def across(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different groups that share a list and may be alike by their sizes, places and, in crowded lists, short sketches.
+
+    The join itself decides, so what is ruled out is never a row.  Very long lists are dealt over a grid.
+    """
+    cells = (F.floor(F.col("m") / GRID) + 1).cast("int")
+    long_ = left.filter(F.col("m") >= CROWDED).join(texts.select("sid", "short"), "sid")
+    rows = long_.unionByName(left.filter(F.col("m") < CROWDED).withColumn("short", F.lit(None).cast("array<long>"))).select("sid", "n", "pos", "item", "root", "short", cells.alias("cells"))
+    x = rows.withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")).alias("x")
+    y = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
+    same = (F.col("x.item") == F.col("y.item")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") < F.col("y.root"))
+    return x.join(y, same & _may_be("x", "y") & _possibly("x", "y")).select(*_ordered("x.sid", "y.sid"))
+
+
+def with_leaders(listed: DataFrame, seed: int) -> DataFrame:
+    """A pair (a, b) for each text of listed at most: with the text of another group that leads most of its lists.
+
+    A list's leader is a member of its largest group, another one for each seed, so that what belongs to a large group
+    meets one member of it after another.
+    """
+    one = listed.groupBy("item").agg(F.min_by(F.struct("sid", "n", "pos", "root"), F.struct(-F.col("texts"), F.xxhash64("sid", F.lit(seed)))).alias("one")).select("item", "one.*")
+    star = listed.alias("x").join(one.alias("y"), "item").filter((F.col("x.root") != F.col("y.root")) & _may_be("x", "y"))
+    star = star.groupBy(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).agg(F.count("*").alias("shared"))
+    return star.groupBy("x").agg(F.max_by("y", F.struct("shared", F.xxhash64("y"))).alias("y")).select(*_ordered("x", "y"))
 
 
 def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Callable, components: Callable, scratch: Scratch) -> DataFrame:
     """doc_id, h1, h2, group of each row of docs (doc_id, h1, h2, text with a word): equal groups are connected by alike texts."""
     common, level = common_shingles(docs, size)
-    rows = scratch.keep(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits binary"))
+    rows = scratch.keep(map_arrow(docs, _described(size, common, level, fingerprint), "doc_id long, h1 long, h2 long, print long, sid long, n long, beginning array<long>, bits binary, short array<long>"))
     places = rows.select("sid", *KEY)
-    texts = scratch.keep(rows.select("sid", "n", "beginning", "bits").dropDuplicates(["sid"]))
+    texts = scratch.keep(rows.select("sid", "n", "beginning", "bits", "short").dropDuplicates(["sid"]))
 
     listed = texts.select("sid", "n", F.posexplode("beginning").alias("pos", "item"))
     listed = scratch.keep(listed.withColumn("m", F.count("*").over(Window.partitionBy("item"))).filter("m > 1").drop("m"))
@@ -214,18 +262,15 @@ def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Calla
     least = of_print.groupBy("print").agg(F.min("sid").alias("least"))
     near = print_links(least.select("print")).join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
     near = near.select(*_ordered("x", "y")).unionByName(of_print.join(least, "print").select(*_ordered("sid", "least")))
-    one = listed.groupBy("item").agg(F.min_by(F.struct("sid", "n", "pos"), F.xxhash64("sid")).alias("one")).select("item", "one.*")
-    star = listed.alias("x").join(one.alias("y"), "item").filter((F.col("x.sid") != F.col("y.sid")) & _may_be("x", "y"))
-    star = star.groupBy(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).agg(F.count("*").alias("shared"))
-    best = star.groupBy("x").agg(F.max_by("y", F.struct("shared", F.xxhash64("y"))).alias("y"))
-    links = verified(near.unionByName(best.select(*_ordered("x", "y"))), docs, texts, places, size, scratch)
-
+    links = verified(near.unionByName(with_leaders(listed.withColumns({"root": F.col("sid"), "texts": F.lit(1)}), 0)), docs, texts, places, size, scratch)
     left = scratch.keep(_with_root(listed, components(links)))
-    roots = left.select("item", "root").distinct()
-    across = roots.alias("x").join(roots.alias("y"), "item").filter("x.root < y.root").select("item", F.col("x.root").alias("x_root"), F.col("y.root").alias("y_root"))
-    x, y = across.join(left.withColumnRenamed("root", "x_root").alias("x"), ["item", "x_root"]), left.withColumnRenamed("root", "y_root").alias("y")
-    rest = x.join(y, ["item", "y_root"]).filter(_may_be("x", "y"))
-    links = links.unionByName(verified(rest.select(*_ordered("x.sid", "y.sid")), docs, texts, places, size, scratch))
+    for seed in range(1, ROUNDS):
+        more = verified(with_leaders(left, seed), docs, texts, places, size, scratch)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        left = scratch.keep(_with_root(left.drop("root", "texts", "m"), components(links)))
+    links = links.unionByName(verified(across(left, texts), docs, texts, places, size, scratch))
 
     found = components(links).select(F.col("node").alias("sid"), F.col("root").alias("group"))
     return rows.select(*KEY, "sid").join(found, "sid", "left").select(*KEY, F.coalesce("group", "sid").alias("group"))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import digest, mixing, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
+from quire.llm import digest, mixing, near, quality, repetition, sharding, simhash, spm, substring, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -232,6 +232,8 @@ def test_near_dedup_finds_every_alike_pair(spark, monkeypatch):
     want = sorted(set(root))
     assert sorted(r.doc_id for r in simhash.one_of_each(frame).collect()) == want and len(want) < len(texts) - 40
     monkeypatch.setattr(simhash.near, "SAMPLE_SHARE", 1)
+    for name, value in (("ROUNDS", 1), ("CROWDED", 2), ("GRID", 3)):  # all pairs sought at once, by sketches, on a grid
+        monkeypatch.setattr(near, name, value)
     assert sorted(r.doc_id for r in simhash.one_of_each(frame).collect()) == want
 
 
