@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.operators.lifecycle import EDGES
 from quire.operators.pages import SCRIPTED
 
-from . import asking, containers, decisions, jobs, language, review_oracles, scores, storage
+from . import asking, containers, decisions, jobs, language, live, review_oracles, scores, storage
 from .probe_oracles import oracles
 from .queries import KNOTS
 
@@ -162,6 +162,7 @@ ORACLE_SQL |= oracles(ANSWERED, MEASURED, CASES, EVENTS)
 ORACLE_SQL |= storage.oracles(ANSWERED)
 ORACLE_SQL |= scores.oracles(PAGES, ANSWERED, CASES, EVENTS, ORACLE_SQL["isotonic_curves"])
 ORACLE_SQL |= asking.oracles(PAGES) | jobs.oracles(EVENTS)
+ORACLE_SQL |= live.oracles(EVENTS, ORACLE_SQL)
 ORACLE_SQL |= decisions.oracles(PAGES, MEASURED, ANSWERED, _REASONS, _P2)
 ORACLE_SQL |= containers.ORACLE_SQL | language.oracles(PAGES, LAYERS, MEASURED)
 ORACLE_SQL |= review_oracles.oracles(PAGES, ANSWERED, CASES, EVENTS, ORACLE_SQL["describe_text"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import evidence, policy, text
 from quire.operators import dataset, evaluate, intake, lifecycle, pages, segments
 
-from . import asking, containers, decisions, jobs, language, probes, reviews, scores, storage
+from . import asking, containers, decisions, jobs, language, live, probes, reviews, scores, storage
 
 Spark = SparkSession
 _KEYS = ["doc_id", "page"]
@@ -343,4 +343,4 @@ def daily_events(spark: Spark, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, newest_jobs, recent_medians, spend_cap, shortest_path, answers_cache, daily_events)}
-QUERIES |= probes.QUERIES | reviews.QUERIES | language.QUERIES | containers.QUERIES | decisions.QUERIES | jobs.QUERIES | asking.QUERIES | scores.QUERIES | storage.QUERIES
+QUERIES |= probes.QUERIES | reviews.QUERIES | language.QUERIES | containers.QUERIES | decisions.QUERIES | jobs.QUERIES | live.QUERIES | asking.QUERIES | scores.QUERIES | storage.QUERIES
