@@ -11,8 +11,8 @@ from .oracle_conversation import CONVERSATION_SQL
 
 #: Rules of the URL query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Host labels whose pages make up the URL query's list.
-LISTED_LABELS = ["spam-farm", "adult-x", "casino-win", "free-bets", "ads-track", "cheap-pills"]
+#: The URL query's list: the canonical URLs whose MD5 begins with one of these, an eighth of all, whatever their hosts.
+LISTED_BY = ("0", "1")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +49,9 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """Canonical URLs of the pages on hosts with a listed label."""
-    host, _ = urlfilter.host_and_path(F.col("url"))
-    return pages.filter(F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))).select(urlfilter.canonical(F.col("url")).alias("canonical"))
+    """Canonical URLs that are listed, by their own hash: no part of a URL tells whether it is."""
+    canonical = pages.select(urlfilter.canonical(F.col("url")).alias("canonical"))
+    return canonical.filter(F.left(F.md5("canonical"), F.lit(1)).isin(*LISTED_BY))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ ORACLE_SQL = {
         c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
                      || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) ELSE '' END, '&'),
                         lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') AS canonical FROM h),
-        l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'adult-x', 'casino-win', 'free-bets', 'ads-track', 'cheap-pills'])),
+        l AS (SELECT DISTINCT canonical FROM c WHERE left(md5(canonical), 1) IN ('0', '1')),
         r AS (SELECT c.*, l.canonical IS NOT NULL AS listed, CASE
                 WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
