@@ -248,6 +248,15 @@ def with_leaders(listed: DataFrame, seed: int) -> DataFrame:
     return star.groupBy("x").agg(F.max_by("y", F.struct("shared", F.xxhash64("y"))).alias("y")).select(*_ordered("x", "y"))
 
 
+def merged(roots: DataFrame, links: DataFrame, components: Callable) -> DataFrame:
+    """roots (node, root) with further links: only the groups that these connect are looked at again."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    top = components(between)
+    known = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.unionByName(top.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Callable, components: Callable, scratch: Scratch) -> DataFrame:
     """doc_id, h1, h2, group of each row of docs (doc_id, h1, h2, text with a word): equal groups are connected by alike texts."""
     common, level = common_shingles(docs, size)
@@ -263,16 +272,17 @@ def groups(docs: DataFrame, size: int, fingerprint: Callable, print_links: Calla
     near = print_links(least.select("print")).join(least.select(F.col("print").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("print").alias("b"), F.col("least").alias("y")), "b")
     near = near.select(*_ordered("x", "y")).unionByName(of_print.join(least, "print").select(*_ordered("sid", "least")))
     links = verified(near.unionByName(with_leaders(listed.withColumns({"root": F.col("sid"), "texts": F.lit(1)}), 0)), docs, texts, places, size, scratch)
-    left = scratch.keep(_with_root(listed, components(links)))
+    roots = scratch.keep(components(links))
+    left = scratch.keep(_with_root(listed, roots))
     for seed in range(1, ROUNDS):
         more = verified(with_leaders(left, seed), docs, texts, places, size, scratch)
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        left = scratch.keep(_with_root(left.drop("root", "texts", "m"), components(links)))
-    links = links.unionByName(verified(across(left, texts), docs, texts, places, size, scratch))
+        roots = scratch.keep(merged(roots, more, components))
+        left = scratch.keep(_with_root(left.drop("root", "texts", "m"), roots))
+    roots = scratch.keep(merged(roots, verified(across(left, texts), docs, texts, places, size, scratch), components))
 
-    found = components(links).select(F.col("node").alias("sid"), F.col("root").alias("group"))
+    found = roots.select(F.col("node").alias("sid"), F.col("root").alias("group"))
     return rows.select(*KEY, "sid").join(found, "sid", "left").select(*KEY, F.coalesce("group", "sid").alias("group"))
 
 
