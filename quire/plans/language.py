@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import policy, text
-from quire.operators import pages
+from quire.operators import languages, pages
 
 Spark = SparkSession
 _KEYS = ["doc_id", "page"]
@@ -75,7 +75,33 @@ def layer_trust(spark: Spark, d: str) -> DataFrame:
     return m.select(*_KEYS, trusted.alias("trusted"), (~trusted & (F.col("doc_id") % 5 != 0) & (F.col("chars") > 0)).alias("needs_ocr"))
 
 
-QUERIES = {f.__name__: f for f in (language_vote, text_reading, text_override, common_words, odd_body, stored_text, garbled_layers, layer_trust)}
+def _documents(spark: Spark, d: str) -> DataFrame:
+    """Documents; three sixteenths of them, by a hash of their id, are held out from fitting."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    return docs.withColumn("held_out", F.left(F.md5(F.col("doc_id").cast("string")), F.lit(1)).isin("0", "1", "2"))
+
+
+def _model(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    return languages.fit(_documents(spark, d).filter("not held_out"))
+
+
+def language_model(spark: Spark, d: str) -> DataFrame:
+    return _model(spark, d)[0]
+
+
+def language_scores(spark: Spark, d: str) -> DataFrame:
+    """Every document's most likely language, with the scores of the first two."""
+    docs = _documents(spark, d).withColumn("clean", text.cleaned(F.col("text")))
+    made = languages.scored(docs, _model(spark, d), ["doc_id"]).select("doc_id", F.col("lang").alias("said"), "grams", "micro", "second")
+    return docs.select("doc_id", "lang", "held_out").join(made, "doc_id", "left")
+
+
+def language_accuracy(spark: Spark, d: str) -> DataFrame:
+    """Documents and rightly named ones by language, held out and fitted on."""
+    return language_scores(spark, d).filter("lang is not null").groupBy("held_out", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("lang")).alias("right"))
+
+
+QUERIES = {f.__name__: f for f in (language_model, language_scores, language_accuracy, language_vote, text_reading, text_override, common_words, odd_body, stored_text, garbled_layers, layer_trust)}
 
 
 def lines_and_chunks(source: str) -> str:
@@ -90,6 +116,17 @@ def lines_and_chunks(source: str) -> str:
         ch AS (SELECT doc_id, page, k AS chunk, CASE WHEN k = last - 1 AND NOT next_closed AND length(next) < 40 THEN t || ' ' || next ELSE t END AS text FROM cl WHERE NOT (k = last AND last > 0 AND NOT closed AND length(t) < 40))"""
 
 
+FITTED = r"""WITH d AS (SELECT doc_id, lang, left(md5(doc_id::VARCHAR), 1) IN ('0', '1', '2') AS held_out, trim(regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^\p{L}\p{M}\s]', '', 'g')) AS clean FROM documents),
+    g AS (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, greatest(length(clean), 1) + 1), lambda i: substr(' ' || clean || ' ', i, 3))) AS gram FROM d WHERE clean <> '') GROUP BY ALL),
+    f AS (SELECT lang, gram, sum(n)::BIGINT AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+    l AS (SELECT lang, sum(n)::BIGINT AS total, (SELECT count(DISTINCT gram) FROM f) AS kinds FROM f GROUP BY lang),
+    k AS (SELECT gram, lang, n, round(ln((n + 1) / (total + kinds)::DOUBLE) * 1000000)::BIGINT AS micro FROM f JOIN l USING (lang))"""
+SCORED = FITTED + """, s AS (SELECT g.doc_id, l.lang, sum(g.n)::BIGINT AS grams, sum(CASE WHEN g.gram IN (SELECT gram FROM k) THEN g.n * coalesce(k.micro, round(ln(1 / (total + kinds)::DOUBLE) * 1000000)::BIGINT) ELSE 0 END)::BIGINT AS micro
+        FROM g CROSS JOIN l LEFT JOIN k ON k.gram = g.gram AND k.lang = l.lang GROUP BY ALL),
+    w AS (SELECT *, row_number() OVER v AS place, lead(micro) OVER v AS second FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY micro DESC, lang)),
+    sc AS (SELECT d.doc_id, d.lang, d.held_out, w.lang AS said, grams, micro, second FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND place = 1)"""
+
+
 def oracles(pages_sql: str, layers_sql: str, measured_sql: str) -> dict[str, str]:
     hits = ", ".join(f"{{'n': len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in words)}))), 'o': {-i}, 'code': '{k}'}}" for i, (k, words) in enumerate(PROFILES.items()))
     guard = r"""CASE WHEN len(regexp_extract_all(text, '[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\x{FFFD}]')) >= 0.02 * greatest(length(text), 1) THEN 'control or undefined characters'
@@ -112,6 +149,9 @@ def oracles(pages_sql: str, layers_sql: str, measured_sql: str) -> dict[str, str
     return {
         "chunk_fold": f"WITH RECURSIVE {pages_sql}, {lines_and_chunks('p')} SELECT doc_id, page, chunk, text FROM ch",
         "language_vote": f"{vote} SELECT * FROM vote",
+        "language_model": f"{FITTED} SELECT gram, lang, n, micro FROM k",
+        "language_scores": f"{SCORED} SELECT * FROM sc",
+        "language_accuracy": f"{SCORED} SELECT held_out, lang, count(*) AS n, count(*) FILTER (said = lang) AS right FROM sc WHERE lang IS NOT NULL GROUP BY ALL",
         "text_reading": f"{vote} SELECT doc_id, page, language, coalesce(name, '') AS name, readability, unreadable FROM vote LEFT JOIN (VALUES {names}) names(language, name) USING (language) WHERE doc_id % 5 <> 0",
         "text_override": rf"""WITH {pages_sql}, o AS (SELECT *, doc_id % 9 = 0 AND page = 0 AS over FROM p), u AS (SELECT doc_id, page, over, CASE WHEN over THEN regexp_replace(text, '[A-Za-z]', '(cid:12)', 'g') ELSE text END AS text FROM o)
             SELECT doc_id, page, len(regexp_extract_all(text, '\(cid:[0-9]+\)')) * 7 / greatest(length(text), 1) AS cid_share, length(trim(text, E' \t\n\r\f\x0b')) AS chars, NOT over AS kept FROM u""",
