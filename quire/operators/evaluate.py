@@ -88,6 +88,19 @@ def grouped(rows: DataFrame) -> DataFrame:
     return g.select(named.alias("grain"), F.coalesce("grp", "split", F.when(F.col("grain") == 3, F.lit("*"))).alias("value"), "n", "right").filter("value is not null")
 
 
+def at_grains(rows: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """All metrics overall, by group and by split, in one pass: grain, value and the columns of metrics.
+
+    expected (grain, value) are filled in where no row has them: n is 0 and the rest null.  A null group or split counts overall alone.
+    """
+    pairs = F.array(F.struct(F.lit("all").alias("grain"), F.lit("*").alias("value")), *[F.struct(F.lit(g).alias("grain"), F.col(c).alias("value")) for g, c in (("group", "grp"), ("split", "split"))])
+    m = metrics(rows.withColumn("_at", F.explode(pairs)).filter("_at.value is not null").withColumns({"grain": F.col("_at.grain"), "value": F.col("_at.value")}), "grain", "value")
+    if expected is None:
+        return m
+    filled = m.join(expected.select("grain", "value").distinct(), ["grain", "value"], "full")
+    return filled.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def confusion(rows: DataFrame, lanes: tuple[str, ...] = ("L1", "L2", "L3", "L4", "L5")) -> DataFrame:
     """Right sets against candidate lanes, zeros filled."""
     return rows.groupBy(F.array_join("gt", "/").alias("gt")).pivot("candidate", list(lanes)).count().na.fill(0)

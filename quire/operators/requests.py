@@ -21,6 +21,12 @@ VISION = {
     "capture": ("digital_render", "flatbed_scan", "fax", "camera_photo", "screenshot", "unsure"),
     "legibility": ("clean", "mild_issues", "hard_to_read", "illegible", "unsure"),
     "handwriting": ("none", "annotations_only", "fields_filled_by_hand", "mostly_handwritten", "unsure"),
+    "script": ("latin", "cyrillic", "greek", "arabic", "hebrew", "cjk", "other", "mixed", "unsure"),
+}
+#: Flags that a vision response has, all of them and no others.  Fixed values.
+FLAGS = {
+    "content": ("table", "math", "form", "code", "chart", "photo"),
+    "defects": ("photocopy", "bleed_through", "curved_page", "heavy_speckle", "faded_text"),
 }
 
 
@@ -82,13 +88,16 @@ def answers(responses: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def vision_facts(content: Column) -> Column:
-    """struct of a vision response's facts, null if it isn't an object of the schema."""
-    kind = "struct<capture:string,legibility:string,handwriting:string,script:string,content:map<string,boolean>,defects:map<string,boolean>>"
+    """struct of a vision response's facts, null if it isn't exactly an object of the schema: known codes, every flag a boolean, no further keys."""
+    kind = f"struct<{','.join(f'{c}:string' for c in VISION)},{','.join(f'{c}:map<string,boolean>' for c in FLAGS)}>"
     v = F.from_json(content, kind)
-    good = v["script"].isNotNull() & v["content"].isNotNull() & v["defects"].isNotNull()
+    names = lambda keys: F.array(*map(F.lit, sorted(keys)))
+    good = F.array_sort(F.json_object_keys(content)) == names([*VISION, *FLAGS])
     for field, codes in VISION.items():
-        good = good & F.coalesce(v[field].isin(*codes), F.lit(False))
-    return F.when(good, v)
+        good = good & v[field].isin(*codes)
+    for field, flags in FLAGS.items():
+        good = good & (F.array_sort(F.map_keys(v[field])) == names(flags)) & F.forall(F.map_values(v[field]), lambda x: x.isNotNull())
+    return F.when(F.coalesce(good, F.lit(False)), v)
 
 
 def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:

@@ -54,12 +54,22 @@ def parsed_answers(spark: Spark, d: str) -> DataFrame:
 
 
 def vision_schema(spark: Spark, d: str) -> DataFrame:
-    """Vision responses: whole ones, unknown codes, missing fields, lists instead of objects."""
-    l = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"))
+    """Vision responses for labelled documents: whole ones, unknown codes and scripts, missing fields and flags, further keys, flags that are no booleans, lists instead of objects."""
+    l = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("string").alias("flag"))
     i = F.col("id")
     code = F.when(i % 3 == 0, "fax").when(i % 3 == 1, "telex").otherwise("screenshot")
-    made = F.format_string('{"capture": "%s", "legibility": "clean", "handwriting": "none", "script": "latin", "content": {"table": true}, "defects": {}}', code)
-    content = F.when(i % 5 == 0, F.regexp_replace(made, '"script": "latin", ', "")).when(i % 7 == 0, F.concat(F.lit("["), made, F.lit("]"))).otherwise(made)
+    others = lambda names: ", ".join(f'"{x}": false' for x in names)
+    made = F.format_string(f'{{"capture": "%s", "legibility": "clean", "handwriting": "none", "script": "latin", "content": {{"table": %s, {others(requests.FLAGS["content"][1:])}}}, "defects": {{{others(requests.FLAGS["defects"])}}}}}', code, "flag")
+    content = (
+        F.when(i % 5 == 0, F.regexp_replace(made, '"script": "latin", ', ""))
+        .when(i % 7 == 0, F.concat(F.lit("["), made, F.lit("]")))
+        .when(i % 11 == 0, F.replace(made, F.lit('"latin"'), F.lit('"runes"')))
+        .when(i % 13 == 0, F.replace(made, F.lit(', "photo": false'), F.lit("")))
+        .when(i % 17 == 0, F.replace(made, F.lit('"capture"'), F.lit('"note": 1, "capture"')))
+        .when(i % 19 == 0, F.replace(made, F.lit('"code": false'), F.lit('"code": "no"')))
+        .when(i % 23 == 0, F.replace(made, F.lit('"photocopy"'), F.lit('"stain": true, "photocopy"')))
+        .otherwise(made)
+    )
     v = requests.vision_facts(content)
     return l.select("id", v["capture"].alias("capture"), v["content"]["table"].cast("string").alias("table_"))
 
@@ -110,7 +120,7 @@ def oracles(pages_sql: str) -> dict[str, str]:
             SELECT id, CASE WHEN alone THEN 'page_evidence' ELSE 'p' || place || '_page_evidence' END AS field, CASE WHEN alone THEN 'Compare `page_evidence` with `previous_page_text_sample`; `Not this`.'
                 ELSE 'About page p' || place || ' only (the state fields that start with `p' || place || '_`): Compare `p' || place || '_page_evidence` with `p' || place || '_previous_page_text_sample`; `Not this`.' END AS instructions FROM a""",
         "parsed_answers": "SELECT doc_id AS id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS usable, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 10 END::DOUBLE AS has_table, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 4 END::DOUBLE AS degradation FROM labels",
-        "vision_schema": "SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN 'fax' WHEN 2 THEN 'screenshot' END END AS capture, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 3 <> 1 THEN 'true' END AS table_ FROM labels",
+        "vision_schema": f"WITH l AS (SELECT doc_id, toxic, doc_id % 3 <> 1 AND {' AND '.join(f'doc_id % {k} <> 0' for k in (5, 7, 11, 13, 17, 19, 23))} AS good FROM labels) SELECT doc_id AS id, CASE WHEN good THEN CASE doc_id % 3 WHEN 0 THEN 'fax' ELSE 'screenshot' END END AS capture, CASE WHEN good THEN CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END END AS table_ FROM l",
         "cache_hits": f"WITH {pages_sql}, s AS (SELECT text FROM p WHERE doc_id % 3 = 0 GROUP BY text HAVING min(doc_id) % 2 = 0) SELECT doc_id, page, text IN (SELECT text FROM s) AS found FROM p",
         "error_classes": """SELECT event_id AS id, CASE event_id % 10 WHEN 0 THEN CASE WHEN event_id % 20 = 0 THEN 'rejected' WHEN event_id // 10 % 5 >= 3 THEN 'rejected' WHEN event_id // 10 % 5 > 0 THEN 'retry' ELSE 'ok' END
             WHEN 1 THEN 'unavailable' WHEN 2 THEN 'unavailable' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'rejected' WHEN 5 THEN 'rejected' ELSE 'retry' END AS fault FROM events""",

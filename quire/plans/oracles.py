@@ -101,6 +101,11 @@ ORACLE_SQL = {
     "dedup_bytes": "SELECT sha256(coalesce(text, '')) AS sha, max(strlen(coalesce(text, '')))::INT AS size, count(*) AS copies FROM documents GROUP BY 1",
     "eval_metrics": f"""WITH {CASES} SELECT grp, count(*) AS n, avg(ok_lane::INT) AS accuracy, avg(ok::INT) AS candidate_accuracy, count(*) FILTER (lane_rank < gt_rank) AS under, count(*) FILTER (candidate_rank < gt_rank) AS candidate_under, count(*) FILTER (lane_rank > most_rank) AS over, avg((lane = 'LH')::INT) AS review_rate,
         list_sort(list(latency_ms))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50_ms, list_sort(list(latency_ms))[least(count(*) - 1, floor(0.95::DOUBLE * count(*))::BIGINT) + 1] AS p95_ms, sum(cost_micro)::BIGINT AS cost_micro, round(sum(cost_micro) / 1000 / count(*), 4) AS cost_per_1k FROM c GROUP BY grp""",
+    "eval_report": f"""WITH {CASES}, grained AS (SELECT 'all' AS grain, '*' AS value, c.* FROM c UNION ALL SELECT 'group', grp, c.* FROM c WHERE grp IS NOT NULL UNION ALL SELECT 'split', split, c.* FROM c WHERE split IS NOT NULL),
+        mm AS (SELECT grain, value, count(*) AS n, avg(ok_lane::INT) AS accuracy, avg(ok::INT) AS candidate_accuracy, count(*) FILTER (lane_rank < gt_rank) AS under, count(*) FILTER (candidate_rank < gt_rank) AS candidate_under, count(*) FILTER (lane_rank > most_rank) AS over, avg((lane = 'LH')::INT) AS review_rate,
+            list_sort(list(latency_ms))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50_ms, list_sort(list(latency_ms))[least(count(*) - 1, floor(0.95::DOUBLE * count(*))::BIGINT) + 1] AS p95_ms, sum(cost_micro)::BIGINT AS cost_micro, round(sum(cost_micro) / 1000 / count(*), 4) AS cost_per_1k FROM grained GROUP BY grain, value),
+        xx AS (SELECT DISTINCT 'group' AS grain, source AS value FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'split', 'nowhere')
+        SELECT coalesce(m.grain, x.grain) AS grain, coalesce(m.value, x.value) AS value, coalesce(n, 0) AS n, accuracy, candidate_accuracy, under, candidate_under, over, review_rate, p50_ms, p95_ms, cost_micro, cost_per_1k FROM mm m FULL JOIN xx x ON m.grain = x.grain AND m.value = x.value""",
     "eval_grouping_sets": f"""WITH {CASES}, g AS (SELECT grouping(grp, split) AS grain, grp, split, count(*) AS n, sum(ok::INT)::BIGINT AS "right" FROM c GROUP BY GROUPING SETS ((), (grp), (split)))
         SELECT CASE grain WHEN 3 THEN 'all' WHEN 1 THEN 'group' ELSE 'split' END AS grain, coalesce(grp, split, CASE WHEN grain = 3 THEN '*' END) AS value, n, "right" FROM g WHERE coalesce(grp, split, CASE WHEN grain = 3 THEN '*' END) IS NOT NULL""",
     "confusion_pivot": f"WITH {CASES} SELECT array_to_string(gt, '/') AS gt, " + ", ".join(f"count(*) FILTER (candidate = '{x}') AS {x}" for x in ("L1", "L2", "L3", "L4", "L5")) + " FROM c GROUP BY 1",

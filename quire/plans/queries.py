@@ -165,6 +165,12 @@ def eval_grouping_sets(spark: Spark, d: str) -> DataFrame:
     return evaluate.grouped(pages.cases(spark, d))
 
 
+def eval_report(spark: Spark, d: str) -> DataFrame:
+    """All metrics at three grains; every source is expected as a group, and so is a split that no case has."""
+    expected = _t(spark, d, "documents").filter("source is not null").select(F.lit("group").alias("grain"), F.col("source").alias("value")).distinct()
+    return evaluate.at_grains(pages.cases(spark, d), expected.unionByName(expected.limit(1).select(F.lit("split").alias("grain"), F.lit("nowhere").alias("value"))))
+
+
 def confusion_pivot(spark: Spark, d: str) -> DataFrame:
     return evaluate.confusion(pages.cases(spark, d))
 
@@ -342,5 +348,5 @@ def daily_events(spark: Spark, d: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, newest_jobs, recent_medians, spend_cap, shortest_path, answers_cache, daily_events)}
+QUERIES = {f.__name__: f for f in (doc_pages, text_stats, trust_gate, lane_rule_table, reasons, modifiers, review_override, lane_histogram, calibrated_lookup, fixed_routes, describe_text, describe_layout, previous_tail, script_histogram, dominant_script, agreement_jaccard, guards, chunk_fold, segment_runs, segment_width, manifests, manifest_reuse, bomb_predicate, dedup_bytes, eval_metrics, eval_grouping_sets, eval_report, confusion_pivot, nearest_rank, wrong_cases, route_once_per_file, isotonic_curves, calibration_report, selective_accuracy, ece, near_duplicates, disjoint_check, label_verdicts, contradictions, conflict_append, sticky_split, stratified_round_robin, cross_tab, axis_scores, shared_core, pareto, run_agreement, bootstrap, job_state, dead_letters, reclaims, newest_jobs, recent_medians, spend_cap, shortest_path, answers_cache, daily_events)}
 QUERIES |= probes.QUERIES | reviews.QUERIES | language.QUERIES | containers.QUERIES | decisions.QUERIES | jobs.QUERIES | live.QUERIES | asking.QUERIES | scores.QUERIES | storage.QUERIES
