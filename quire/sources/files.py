@@ -23,9 +23,9 @@ BROKEN = "_broken"
 
 
 def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, size, sha, content of all files under path, in order of name; files and folders whose name begins with a dot are left out."""
+    """name, size, sha, content of all files under path, in no order, since sorting would move their contents; files and folders whose name begins with a dot are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.filter(~F.col("path").rlike(r"/\.")).select(F.col("path").alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"), "content").orderBy("name")
+    return files.filter(~F.col("path").rlike(r"/\.")).select(F.col("path").alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"), "content")
 
 
 def capped(files: DataFrame, most: int) -> DataFrame:
