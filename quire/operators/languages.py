@@ -52,14 +52,13 @@ def scored(rows: DataFrame, model: tuple[DataFrame, DataFrame], keys: Sequence[s
     Equal scores go to the least language.  Rows without trigrams aren't there; trigrams that no language has count for nothing.
     """
     known, languages = model
-    each = known.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "micro"))).alias("of"))  # a language each
-    each = each.withColumn("langs", F.map_keys("of"))
+    each = known.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "micro"))).alias("_of"))  # a language each
     if each.count() <= BROADCAST:
         each = F.broadcast(each)
     mine = counted(rows, keys, clean)
     found = mine.join(each, "gram", "left")
     langs = [(r["lang"], r["other"]) for r in languages.orderBy("lang").collect()]  # a handful
-    sums = [F.sum(F.when(F.col("of").isNotNull(), F.col("n") * F.coalesce(F.col("of")[lang], F.lit(other))).otherwise(F.lit(0))).alias(f"_{i}") for i, (lang, other) in enumerate(langs)]
+    sums = [F.sum(F.when(F.col("_of").isNotNull(), F.col("n") * F.coalesce(F.col("_of")[lang], F.lit(other))).otherwise(F.lit(0))).alias(f"_{i}") for i, (lang, other) in enumerate(langs)]
     total = found.groupBy(*keys).agg(F.sum("n").alias("grams"), *sums)
     order = F.array_sort(F.array(*[F.struct((-F.col(f"_{i}")).alias("less"), F.lit(lang).alias("lang")) for i, (lang, _) in enumerate(langs)]))
     total = total.withColumn("order", order)
@@ -75,8 +74,9 @@ def with_language(rows: DataFrame, model: tuple[DataFrame, DataFrame], keys: Seq
     """
     plain = F.translate(F.replace(F.col(text), F.lit("￾"), F.lit("")), "፡", " ")
     pieces = rows.select(*keys, F.explode(F.array_distinct(F.transform(layer.chunks(plain), layer.cleaned))).alias("clean")).filter("clean <> ''")
-    named = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-    judged = scored(pieces.withColumn("of", F.col("clean")), model, [*keys, "of"])
-    code = F.when(F.col("grams") >= least_grams, F.coalesce(named[F.col("lang")], F.lit("zxx"))).otherwise("zxx")
-    said = judged.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("of", F.struct(code.alias("code"), "p")))).alias("_said"))  # the chunks of one page
+    judged = scored(pieces.withColumn("_chunk", F.col("clean")), model, [*keys, "_chunk"])
+    code = F.lit("zxx")
+    for lang, its in codes.items():
+        code = F.when((F.col("grams") >= least_grams) & (F.col("lang") == lang), F.lit(its)).otherwise(code)
+    said = judged.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_chunk", F.struct(code.alias("code"), "p")))).alias("_said"))  # the chunks of one page
     return layer.with_language(rows.join(said, list(keys), "left"), lambda clean: F.col("_said")[clean], text).drop("_said")
