@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from quire.plans import queries
 
-NAMES = ["text_stats", "lane_histogram", "review_override", "describe_text", "agreement_jaccard", "segment_runs", "manifests", "eval_metrics", "isotonic_curves", "near_duplicates", "route_once_per_file", "bomb_predicate", "job_state", "gcra_waits", "routed_pages", "state_assembly", "page_states", "micro_batches"]
+NAMES = ["text_stats", "lane_histogram", "review_override", "describe_text", "agreement_jaccard", "segment_runs", "manifests", "eval_metrics", "isotonic_curves", "near_duplicates", "route_once_per_file", "bomb_predicate", "job_state", "gcra_waits", "routed_pages", "state_assembly", "page_states", "eval_report", "vision_schema"]
 
 
 def laid_out(spark: SparkSession, folder: str, out: str, files: int) -> None:

@@ -283,11 +283,12 @@ def releases(files: DataFrame) -> DataFrame:
 # Reports
 
 
-def report(metrics: DataFrame, title: str) -> str:
-    """Markdown table of a small aggregate."""
-    rows = metrics.limit(1000).collect()
+def report(metrics: DataFrame, title: str, most: int = 1000) -> str:
+    """Markdown table of a small aggregate; should there be more rows than `most`, it says how many aren't shown."""
+    rows = metrics.limit(most + 1).collect()
     head = metrics.columns
-    return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows), ""])
+    left = [f"{metrics.count() - most} more rows aren't shown.", ""] if len(rows) > most else []
+    return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows[:most]), "", *left])
 
 
 def html_report(documents: DataFrame) -> DataFrame:
@@ -298,8 +299,11 @@ def html_report(documents: DataFrame) -> DataFrame:
 
 
 def html_page(sections: DataFrame, title: str, most: int = 1000) -> str:
-    """One page of the first sections in order of name, style included, nothing loaded from elsewhere."""
-    body = "".join(r["content"] for r in sections.orderBy("name").limit(most).collect())
+    """One page of the first sections in order of name, style included, nothing loaded from elsewhere; it says how many sections it leaves out."""
+    shown = sections.orderBy("name").limit(most + 1).collect()
+    body = "".join(r["content"] for r in shown[:most])
+    if len(shown) > most:
+        body += f"<p>{sections.count() - most} more aren't shown.</p>"
     style = "section{margin:1em}div{display:flex;height:1em}i{background:#88a;border-right:1px solid #fff}"
     return f"<!doctype html><html><head><meta charset=utf-8><title>{html.escape(title)}</title><style>{style}</style></head><body>{body}</body></html>"
 

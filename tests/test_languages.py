@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import evaluate, languages, requests
 from quire.plans import language
-from quire.sources import uploads
+from quire.sources import files, uploads
 
 DATA = "/root/testdata/sf0.001"
 
@@ -86,3 +86,10 @@ def test_uploads_stop_at_the_limit(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(data)
     got = {r.name.rsplit("/", 1)[-1]: (r.sha, r.content and bytes(r.content), r.status) for r in uploads.uploads(spark, str(tmp_path / "in"), 10).collect()}
     assert got == {"a.txt": (hashlib.sha256(b"abc").hexdigest(), b"abc", 202), "b.gz": (None, None, 413), "e": (hashlib.sha256(b"y" * 10).hexdigest(), b"y" * 10, 202)}
+
+
+def test_reports_say_what_they_leave_out(spark):
+    rows = spark.range(7)
+    assert "4 more rows" in files.report(rows, "t", 3) and "more" not in files.report(rows, "t", 7)
+    sections = rows.selectExpr("cast(id as string) name", "concat('<b>', id, '</b>') content")
+    assert "5 more aren't shown" in files.html_page(sections, "t", 2) and "more" not in files.html_page(sections, "t", 7)
