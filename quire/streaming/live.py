@@ -41,11 +41,11 @@ class View(StatefulProcessor):
 
     Rows: EVENT.  A job.queued event with a doc announces it; stages of documents that aren't announced are
     nobody's and ignored; a retry starts all pages over.  Events up to the last id of a job have been seen and change
-    nothing.  A job that ended `remember_s` ago is forgotten with all that belongs to it.
+    nothing.  A job that ended `remember_s` ago is forgotten with all that belongs to it; None: never, and there are no timers.
     """
 
-    def __init__(self, remember_s: int = REMEMBER_S):
-        self.remember_ms = remember_s * 1000
+    def __init__(self, remember_s: int | None = REMEMBER_S):
+        self.remember_ms = None if remember_s is None else remember_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -79,7 +79,7 @@ class View(StatefulProcessor):
             if named:
                 status = "failed" if e.failed else named
                 deliveries += e.type == "job.started"
-                ended = e.at + self.remember_ms if status in ("done", "failed") else 0
+                ended = e.at + self.remember_ms if self.remember_ms is not None and status in ("done", "failed") else 0
             if e.type == "job.queued" and e.doc is not None and not self.docs.containsKey((e.doc,)):
                 self.docs.updateValue((e.doc,), (e.id,))
             elif e.type == "job.retry":
@@ -224,8 +224,13 @@ def _grouped(events: DataFrame):
     return events.groupBy("job")
 
 
-def viewed(events: DataFrame, remember_s: int = REMEMBER_S, late: str = "0 seconds") -> DataFrame:
-    """Stream of VIEW rows from a stream of EVENT rows.  of a forgotten row `pages` is the time, in milliseconds, at which it was forgotten."""
+def viewed(events: DataFrame, remember_s: int | None = REMEMBER_S, late: str = "0 seconds") -> DataFrame:
+    """Stream of VIEW rows from a stream of EVENT rows.  of a forgotten row `pages` is the time, in milliseconds, at which it was forgotten.
+
+    remember_s None: no job is forgotten, so no event is too late.
+    """
+    if remember_s is None:
+        return _grouped(events).transformWithState(View(None), VIEW, "update", "none")
     return _grouped(events.withWatermark("ts", late)).transformWithState(View(remember_s), VIEW, "update", "eventtime")
 
 
