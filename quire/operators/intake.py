@@ -60,9 +60,9 @@ def looks_like_mail(content: Column, name: Column) -> Column:
 
 
 def looks_like_text(content: Column) -> Column:
-    """No NUL and valid UTF-8 in the first 64 KiB; a character cut at their end counts as invalid."""
-    start = F.substring(content, 1, HEAD)
-    return ~F.hex(start).rlike("^(?:..)*?00") & F.is_valid_utf8(start.cast("string"))
+    """No NUL and valid UTF-8 in the first 64 KiB; a character cut at their end is read to its own."""
+    valid = lambda n: F.is_valid_utf8(F.substring(content, 1, n).cast("string"))
+    return ~F.hex(F.substring(content, 1, HEAD)).rlike("^(?:..)*?00") & (valid(HEAD) | valid(HEAD + 1) | valid(HEAD + 2) | valid(HEAD + 3))
 
 
 def text_type(content: Column, name: Column) -> Column:
