@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import policy
+from quire.shared import checkpoint
 
+#: Draws that a task makes, and distinct values that are told apart without a list.
+DRAWS, FEW = 4_000_000, 64
 #: Lanes need so many cases for a curve of their own.
 CURVE_ROWS = 30
 
@@ -251,16 +254,24 @@ def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, seed: int = 3,
 
     Rows are counted by value first.  Draw j of resample k picks the row at place hash(seed, k, j) modulo n in order of
     value, found among the running counts of the distinct values, so neither order nor place of the rows matters and
-    every run agrees.  The draws are made on the executors; a benchmark's pages bound their number.
+    every run agrees.  The draws, rows times resamples, are made on the executors, DRAWS a task.
     """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row a distinct value
-    packed = counted.withColumn("upto", upto).agg(F.array_sort(F.collect_list(F.struct("upto", "value"))).alias("steps"), F.sum("n").alias("n"))
-    spark = rows.sparkSession
-    drawn = spark.range(1, resamples + 1).withColumnRenamed("id", "k").repartition("k").join(F.broadcast(packed)).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    counted = checkpoint(counted.withColumn("upto", upto))
+    n, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # a row a draw, dealt evenly: a resample's draws lie in one or two tasks and are added up there
+    drawn = rows.sparkSession.range(0, resamples * n, 1, max(1, -(-resamples * n // DRAWS)))
+    drawn = drawn.select((F.expr(f"id div {max(n, 1)}") + 1).alias("k"), (F.col("id") % max(n, 1) + 1).alias("j"))
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "k", "j")), 1, 15)
-    place = F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("n"))
-    picked = F.element_at(F.filter("steps", lambda s: s["upto"] > place), 1)["value"]
+    drawn = drawn.withColumn("place", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n)))
+    if kinds <= FEW:
+        picked = F.lit(None)
+        for r in counted.orderBy(F.desc("upto")).collect():
+            picked = F.when(F.col("place") < r["upto"], F.lit(r["value"])).otherwise(picked)
+    else:
+        drawn = drawn.join(F.broadcast(counted.agg(F.array_sort(F.collect_list(F.struct("upto", "value"))).alias("steps"))))
+        picked = F.element_at(F.filter("steps", lambda s: s["upto"] > F.col("place")), 1)["value"]
     means = drawn.groupBy("k").agg(F.avg(picked).alias("mean")).withColumn("i", F.row_number().over(Window.orderBy("mean", "k")) - 1)
     at = [int(q * resamples) for q in places]
     return means.agg(F.min(F.when(F.col("i") == at[0], F.col("mean"))).alias("low"), F.min(F.when(F.col("i") == at[1], F.col("mean"))).alias("high"), F.count("*").alias("resamples"))
