@@ -11,24 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as layer
+from quire.shared import checkpoint
 
 MICRO = 1_000_000
-#: Rows of a model (trigrams) that are sent to all tasks at most; larger ones are joined by trigram.
+#: Trigrams of a model, the most frequent ones, that are sent to all tasks at most; the others are joined.
 BROADCAST = 200_000
 
 
-def grams(letters: Column) -> Column:
-    """The trigrams of a text's characters; null behind the last."""
-    joined = lambda a, b: F.concat(a, b)
-    return F.zip_with(F.zip_with(letters, F.slice(letters, 2, 1 << 30), joined), F.slice(letters, 3, 1 << 30), joined)
+def grams(clean: Column) -> Column:
+    """The trigrams of a text with a blank at both ends, in one pass over it."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), clean, F.lit(" ")), F.lit("(?s)(?=(...))."), F.lit(1))
+
+
+def each_gram(rows: DataFrame, keys: Sequence[str], clean: str = "clean") -> DataFrame:
+    """keys, gram: a row for each place of a trigram; text without a letter has none."""
+    return rows.filter(F.col(clean) != "").select(*keys, F.explode(grams(F.col(clean))).alias("gram"))
 
 
 def counted(rows: DataFrame, keys: Sequence[str], clean: str = "clean") -> DataFrame:
-    """keys, gram, n of rows; text without a letter has no trigrams.  Tasks count before anything is sent."""
-    # characters once, with a blank at both ends: a substring would be sought from the beginning each time
-    letters = rows.filter(F.col(clean) != "").select(*keys, layer.characters(F.concat(F.lit(" "), F.col(clean), F.lit(" "))).alias("_letters"))
-    some = letters.select(*keys, F.explode(grams(F.col("_letters"))).alias("gram")).filter("gram is not null")
-    return some.groupBy(*keys, "gram").agg(F.count("*").cast("long").alias("n"))
+    """keys, gram, n of rows.  Tasks count before anything is sent."""
+    return each_gram(rows, keys, clean).groupBy(*keys, "gram").agg(F.count("*").cast("long").alias("n"))
 
 
 def fit(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +40,7 @@ def fit(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows without language or text count nowhere.
     """
     clean = labelled.filter("lang is not null and text is not null").select("lang", layer.cleaned(F.col("text")).alias("clean"))
-    counts = counted(clean, ["lang"])
+    counts = checkpoint(counted(clean, ["lang"]))  # as small as the model, and used several times
     kinds = counts.agg(F.count_distinct("gram").alias("kinds"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).join(F.broadcast(kinds))  # one row
     log = lambda n: F.round(F.log(n / (F.col("total") + F.col("kinds"))) * MICRO).cast("long")
@@ -52,14 +54,15 @@ def scored(rows: DataFrame, model: tuple[DataFrame, DataFrame], keys: Sequence[s
     Equal scores go to the least language.  Rows without trigrams aren't there; trigrams that no language has count for nothing.
     """
     known, languages = model
-    each = known.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "micro"))).alias("_of"))  # a language each
-    if each.count() <= BROADCAST:
-        each = F.broadcast(each)
-    mine = counted(rows, keys, clean)
-    found = mine.join(each, "gram", "left")
     langs = [(r["lang"], r["other"]) for r in languages.orderBy("lang").collect()]  # a handful
-    sums = [F.sum(F.when(F.col("_of").isNotNull(), F.col("n") * F.coalesce(F.col("_of")[lang], F.lit(other))).otherwise(F.lit(0))).alias(f"_{i}") for i, (lang, other) in enumerate(langs)]
-    total = found.groupBy(*keys).agg(F.sum("n").alias("grams"), *sums)
+    of = [f"_of{i}" for i in range(len(langs))]  # a column a language
+    each = known.groupBy("gram").agg(F.sum("n").alias("_all"), *[F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("micro"))), F.lit(other)).alias(c) for c, (lang, other) in zip(of, langs, strict=True)])
+    # frequent trigrams are added up where the text is; rare ones are counted by text, and these counts joined
+    frequent = F.broadcast(each.orderBy(F.desc("_all"), "gram").limit(BROADCAST).drop("_all"))
+    found = each_gram(rows, keys, clean).join(frequent.withColumn("_known", F.lit(True)), "gram", "left")
+    rare = F.when(F.col("_known").isNull(), F.col("gram")).alias("gram")
+    mine = found.groupBy(*keys, rare).agg(F.count("*").cast("long").alias("n"), *[F.sum(c).alias(f"_sum{i}") for i, c in enumerate(of)])
+    total = mine.join(each, "gram", "left").groupBy(*keys).agg(F.sum("n").alias("grams"), *[F.sum(F.coalesce(f"_sum{i}", F.col("n") * F.col(c), F.lit(0))).cast("long").alias(f"_{i}") for i, c in enumerate(of)])
     order = F.array_sort(F.array(*[F.struct((-F.col(f"_{i}")).alias("less"), F.lit(lang).alias("lang")) for i, (lang, _) in enumerate(langs)]))
     total = total.withColumn("order", order)
     best, second = -F.col("order")[0]["less"], -F.col("order")[1]["less"] if len(langs) > 1 else F.lit(None).cast("long")
