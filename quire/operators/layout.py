@@ -30,19 +30,22 @@ def coverage(objects: DataFrame) -> DataFrame:
 
     coverage is the share of grid cells under images, overlaps counted once.  Text is hidden
     when it is drawn invisibly, or under images drawn after the first text that cover nearly
-    all.  Each row of cells is a mask of 64 bits, so a page shuffles 64 longs at most.
+    all.  Each row of cells is a mask of 64 bits; boxes alone are shuffled.
     """
-    first_text = F.min(F.when(F.col("kind") == "text", F.col("z"))).over(Window.partitionBy("page"))
     a, z = _cells(F.col("left"), F.col("right"), F.col("width"))
     low, high = _cells(F.col("bottom"), F.col("top"), F.col("height"))
-    o = objects.withColumns({"late": F.coalesce(F.col("z") > first_text, F.lit(False)), "a": a, "n": z - a, "low": low, "high": high})
+    o = objects.select("page", "z", "kind", "invisible", a.alias("a"), (z - a).alias("n"), low.alias("low"), high.alias("high"))
     drawn = (F.col("kind") == "image") & (F.col("n") > 0) & (F.col("high") > F.col("low"))
     mask = F.expr(f"shiftleft(shiftrightunsigned(-1L, {GRID} - n), a)")  # n set bits from bit a on
-    rows = o.withColumn("row", F.explode_outer(F.when(drawn, F.sequence("low", F.col("high") - 1)))).withColumn("mask", F.when(drawn, mask).otherwise(F.lit(0).cast("long")))
     seen = (F.col("kind") == "text") & F.col("invisible")
-    each = rows.groupBy("page", "row").agg(F.bit_or("mask").alias("under"), F.bit_or(F.when(F.col("late"), F.col("mask")).otherwise(F.lit(0).cast("long"))).alias("over"), F.bool_or(seen).alias("invisible"))
+    # one row a box is sent, and a page's boxes are laid on its grid where they meet
+    boxes = o.groupBy("page").agg(F.collect_list(F.when(drawn, F.struct("z", "low", "high", mask.alias("mask")))).alias("boxes"), F.min(F.when(F.col("kind") == "text", F.col("z"))).alias("first"), F.bool_or(seen).alias("invisible"))
+    late = F.filter("boxes", lambda b: F.coalesce(b["z"] > F.col("first"), F.lit(False)))
+    covers = lambda some, row: F.aggregate(some, F.lit(0).cast("long"), lambda m, b: F.when((b["low"] <= row) & (row < b["high"]), m.bitwiseOR(b["mask"])).otherwise(m))
+    cells = lambda some: F.aggregate(F.sequence(F.lit(0), F.lit(GRID - 1)), F.lit(0).cast("long"), lambda n, row: n + F.bit_count(covers(some, row)))
     whole = GRID * GRID
-    return each.groupBy("page").agg((F.sum(F.bit_count("under")) / whole).alias("coverage"), (F.bool_or("invisible") | (F.sum(F.bit_count("over")) / whole >= HIDDEN_SHARE)).alias("hidden"))
+    pages = boxes.withColumn("late", late).select("page", "invisible", cells(F.col("boxes")).alias("under"), cells(F.col("late")).alias("over"))
+    return pages.select("page", (F.col("under") / whole).alias("coverage"), (F.col("invisible") | (F.col("over") / whole >= HIDDEN_SHARE)).alias("hidden"))
 
 
 def profile_columns(rects: DataFrame) -> DataFrame:
@@ -53,11 +56,11 @@ def profile_columns(rects: DataFrame) -> DataFrame:
     """
     a = (F.greatest(F.col("left") / F.col("width"), F.lit(0.0)) * 100).cast("int")
     z = (F.least(F.col("right") / F.col("width"), F.lit(1.0)) * 100).cast("int")
-    binned = rects.withColumns({"a": a, "z": F.greatest(a + 1, z)}).withColumn("bin", F.explode_outer(F.when(F.col("a") < 100, F.sequence("a", F.col("z") - 1))))
-    sums = binned.groupBy("page", "bin").agg(F.sum(F.col("size").cast("double")).alias("held"), F.count_if(F.col("bin").isNull() | (F.col("bin") == F.col("a"))).alias("n"))
-    filled = F.when(F.col("bin").isNotNull(), F.struct("bin", "held"))
-    pages = sums.groupBy("page").agg(F.map_from_entries(F.collect_list(filled)).alias("held"), F.sum("n").alias("n"), F.max(filled["held"]).alias("most"))
-    pages = pages.withColumn("bins", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda b: F.coalesce(F.try_element_at("held", b), F.lit(0.0))))
+    spans = rects.select("page", F.col("size").cast("double").alias("size"), a.alias("a"), F.greatest(a + 1, z).alias("z"))
+    # a row a rectangle is sent, and a page's are laid on its bins where they meet
+    pages = spans.groupBy("page").agg(F.collect_list(F.when(F.col("a") < 100, F.struct("a", "z", "size"))).alias("spans"), F.count("*").alias("n"))
+    held = lambda b: F.aggregate("spans", F.lit(0.0), lambda s, x: F.when((x["a"] <= b) & (b < x["z"]), s + F.coalesce(x["size"], F.lit(0.0))).otherwise(s))
+    pages = pages.select("page", "n", F.transform(F.sequence(F.lit(0), F.lit(99)), held).alias("bins")).withColumn("most", F.array_max("bins"))
     # of equal bins the first
     emptiest = F.array_min(F.transform(F.sequence(F.lit(30), F.lit(70)), lambda b: F.struct(F.get("bins", b).alias("held"), b.alias("bin"))))
     pages = pages.withColumn("gutter", emptiest)
