@@ -144,9 +144,12 @@ def curves(rows: DataFrame) -> DataFrame:
     Ties are grouped first; x has four places, so a curve's group has 10,001 rows at most however many cases there are,
     and what counts a curve's cases needs no second pass over them.
     """
-    usable = rows.filter(F.col("candidate").isin(*[x for x in policy.RANK if x != "L0"])).select("candidate", F.round("path_p", 4).alias("x"), hit("candidate").cast("int").alias("ok"))
-    each = usable.groupBy("candidate", "x").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
-    each = each.withColumn("curve", F.explode(F.array(F.lit("*"), F.col("candidate")))).groupBy("curve", "x").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"))
+    cases_ = rows.select("candidate", F.round("path_p", 4).alias("x"), hit("candidate").cast("int").alias("ok"))
+    each = cases_.groupBy("candidate", "x").agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
+    # other lanes go here, since a filter on the cases is pushed down to their texts and has all measures made once more there
+    usable = F.col("candidate").isin(*[x for x in policy.RANK if x != "L0"])
+    named = F.array(*[F.when(usable, name) for name in (F.lit("*"), F.col("candidate"))])
+    each = each.withColumn("curve", F.explode(named)).filter(F.col("curve").isNotNull()).groupBy("curve", "x").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"))
     cases = F.sum("n").over(Window.partitionBy("curve"))
     return each.withColumn("cases", cases).filter((F.col("cases") >= CURVE_ROWS) | (F.col("curve") == "*")).groupBy("curve").applyInPandas(_curve, "curve string, x double, y double")
 
