@@ -39,3 +39,23 @@ def test_curves_do_not_have_the_measures_made_once_more_for_a_filter(spark):
     made = evaluate.curves(cases)
     assert plan(made).count("regexp_replace") == 1
     assert {r["curve"] for r in made.collect()} == {"*", "L1", "L2"}
+
+
+def test_releases_are_made_and_read_in_parts(spark, monkeypatch):
+    from quire.sources import files
+
+    rows = [(f"r{i % 2}", f"d{i}.txt", bytes([i % 251]) * (i * 37 % 3000)) for i in range(300)] + [("r0", "é.txt", b""), ("r3", "one", b"x" * 512)]
+    frame = spark.createDataFrame(rows, "release string, name string, content binary")
+    monkeypatch.setattr(files, "PART", 20_000)
+    parts = files.releases(frame)
+    got = sorted(parts.collect())
+    assert len(got) > 20 and max(len(r["content"]) for r in got) < 24_000
+    for release in ("r0", "r1", "r3"):
+        assert b"".join(bytes(r["content"]) for r in got if r["release"] == release) == files.packed("", [(n, c) for k, n, c in rows if k == release])
+    named = parts.select(F.col("release").alias("name"), "content")
+    assert sorted((r["archive"], r["member"], r["size"]) for r in files.tar_headers(named).collect()) == sorted((k, n, len(c)) for k, n, c in rows)
+    assert sorted((r["archive"], r["member"], bytes(r["content"])) for r in files.tar_members(named, {"d7.txt", "one"}).collect()) == [("r1", "d7.txt", b"\x07" * 259), ("r3", "one", b"x" * 512)]
+    sums = files.checksums(parts).collect()
+    again = files.checksums(files.releases(frame.repartition(5).orderBy(F.desc("name")))).collect()
+    other = files.checksums(files.releases(frame.withColumn("content", F.when(F.col("name") == "one", F.lit(b"y")).otherwise(F.col("content"))))).collect()
+    assert sorted(sums) == sorted(again) and len(set(sums) - set(other)) == 1
