@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.shared import checkpoint
-from quire.shipping import ship
+from quire.shipping import give_back, ship
 
 #: (signs in hex with their place from 1, kind, mime), tried in order; all signs of a row must be there.  Fixed values.
 MAGIC = [
@@ -42,6 +42,8 @@ OFFICE = {"word/": "application/vnd.openxmlformats-officedocument.wordprocessing
 OPEN_DOCUMENT = "application/vnd.oasis.opendocument"
 NO_TYPE = "application/octet-stream"
 HEAD = 65536
+#: Bytes of rows that are handed on at once, about.
+BATCH = 1 << 20
 #: Limits.  Fixed values.
 MOST_MB, MOST_PAGES, MOST_PIXELS, MOST_CHILDREN, MOST_DEPTH = 200, 2000, 120_000_000, 500, 3
 BOMB_TOTAL, BOMB_MEMBER, BOMB_RATIO = 1_000_000_000, 10_000_000, 100
@@ -108,13 +110,22 @@ def zip_type(content: bytes) -> tuple[str, str]:
 
 
 def _rows(files: DataFrame, made: Callable[[tuple], list[tuple]], columns: str) -> DataFrame:
-    """files through made(), row by row, in Arrow batches; columns: the result's schema."""
+    """files through made(), row by row; columns: the result's schema.  Rows go on in pieces of some BATCH bytes, and memory that is free is given back."""
     ship(files.sparkSession)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([r for row in f.itertuples(index=False) for r in made(row)], columns=names)
+            rows, size = [], 0
+            for row in f.itertuples(index=False):
+                for r in made(row):
+                    rows.append(r)
+                    size += 100 + sum(len(v) for v in r if isinstance(v, bytes | bytearray | str))
+                    if size > BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
+            give_back()
 
     return files.mapInPandas(run, columns)
 

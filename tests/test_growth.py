@@ -59,3 +59,15 @@ def test_releases_are_made_and_read_in_parts(spark, monkeypatch):
     again = files.checksums(files.releases(frame.repartition(5).orderBy(F.desc("name")))).collect()
     other = files.checksums(files.releases(frame.withColumn("content", F.when(F.col("name") == "one", F.lit(b"y")).otherwise(F.col("content"))))).collect()
     assert sorted(sums) == sorted(again) and len(set(sums) - set(other)) == 1
+
+
+def test_rows_of_files_go_on_in_pieces(spark, monkeypatch):
+    from quire.operators import intake
+
+    taken = []
+    frame = spark.createDataFrame([(i,) for i in range(50)], "i long")
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, run, schema: taken.append(run) or self)
+    monkeypatch.setattr(intake, "BATCH", 5000)
+    intake._rows(frame, lambda r: [(r.i, b"x" * 900)], "i long, content binary")
+    pieces = list(taken[0](iter([frame.toPandas()])))
+    assert len(pieces) > 5 and [i for p in pieces for i in p["i"]] == list(range(50))
