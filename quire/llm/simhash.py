@@ -222,11 +222,12 @@ def spread(hot: DataFrame) -> DataFrame:
 
     Two words at most four bits apart have a word within two bits of both, and two words that
     share one are at most four bits apart: each print meets the least print of every word
-    within two bits of it.
+    within two bits of it.  Spark doesn't know how many words a print has, so that its estimate
+    would have `least` broadcast; the join is by shuffle.
     """
     words = map_arrow(hot.select("print").distinct(), _balls, "word long, print long")
     least = words.groupBy("word").agg(F.min("print").alias("b"), F.max("print").alias("top")).filter(F.col("b") < F.col("top")).select("word", "b")
-    return words.join(least, "word").filter(F.col("print") != F.col("b")).select(F.col("print").alias("a"), "b").distinct()
+    return words.join(least.hint("merge"), "word").filter(F.col("print") != F.col("b")).select(F.col("print").alias("a"), "b").distinct()
 
 
 def print_links(prints: DataFrame) -> DataFrame:
@@ -245,7 +246,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of links (a, b): root is the least node it is connected to.
 
     Large-star and small-star steps alternate until nothing changes; each round is a few
-    aggregations and joins on the links, which are rewritten to the shared folder.
+    aggregations and joins on the links, which are rewritten to the shared folder.  Joins are by
+    shuffle: a broadcast a join would pass the driver, some of each round at once.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -253,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
         if large:
             both = both.union(edges.select("b", "a"))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        near = both.join(m, "u")
+        near = both.join(m.hint("merge"), "u")
         if large:
             return near.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         return near.select(F.col("v").alias("a"), F.col("m").alias("b")).union(m.select("u", "m")).filter("a <> b").distinct()
