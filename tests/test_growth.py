@@ -71,3 +71,48 @@ def test_rows_of_files_go_on_in_pieces(spark, monkeypatch):
     intake._rows(frame, lambda r: [(r.i, b"x" * 900)], "i long, content binary")
     pieces = list(taken[0](iter([frame.toPandas()])))
     assert len(pieces) > 5 and [i for p in pieces for i in p["i"]] == list(range(50))
+
+
+def test_zip_files_are_made_and_read_in_parts(spark, monkeypatch):
+    import io
+    import zipfile
+
+    from quire.sources import files
+
+    rows = [(f"r{i % 2}", f"d{i}.txt", bytes([i % 251]) * (i * 37 % 3000), i % 3 == 0) for i in range(300)] + [("r0", "é.txt", b"", False), ("r3", "one", b"x" * 512, True), (None, "none", b"n", False)]
+    frame = spark.createDataFrame(rows, "archive string, name string, content binary, stored boolean")
+    monkeypatch.setattr(files, "PART", 20_000)
+    parts = files.zips(frame, f"file://{spark.conf.get('spark.checkpoint.dir')}/zips-{id(frame)}")
+    got = sorted(parts.collect(), key=lambda r: (r["name"] or "", r["part"]))
+    assert sum(r["part"] < files.DIRECTORY for r in got) > 15 and max(len(r["content"]) for r in got) < 24_000
+    for archive in ("r0", "r1", "r3", None):
+        whole = b"".join(bytes(r["content"]) for r in got if r["name"] == archive)
+        with zipfile.ZipFile(io.BytesIO(whole)) as z:
+            assert z.testzip() is None
+            assert sorted((m.filename, z.read(m), m.compress_type == 0) for m in z.infolist()) == sorted((n, c, s) for k, n, c, s in rows if k == archive)
+            assert sorted(r[:2] for r in files.central_directory(whole)) == sorted((m.filename, m.header_offset) for m in z.infolist())
+    listed = files.zip_directory(parts)
+    assert sorted((r["archive"] or "", r["member"], r["method"], r["size"]) for r in listed.collect()) == sorted((k or "", n, 0 if s else 8, len(c)) for k, n, c, s in rows)
+    wanted = listed.filter("member rlike '[05].txt$|n' or member = 'é.txt'").select("archive", "member")
+    cut = files.zip_members(parts, wanted.union(wanted)).collect()
+    assert sorted((r["archive"] or "", r["member"], bytes(r["content"])) for r in cut) == sorted((k or "", n, c) for k, n, c, _ in rows if n[-5:] in ("0.txt", "5.txt") or "n" in n or n == "é.txt")
+
+
+def test_zip_places_beyond_32_bits():
+    import io
+    import zipfile
+
+    from quire.sources import files
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", b"aa")
+        z.writestr("b", b"bbb")
+    begin, size = files.directory_span(out.getvalue())
+    records = out.getvalue()[begin : begin + size]
+    far = 5 << 32
+    moved, n = files._moved(records, far)
+    assert n == 2 and [(r[2], r[3], r[6]) for r in files.directory_records(moved, 0, len(moved))] == [("a", far, 2), ("b", far + 33, 3)]
+    assert files.directory_span(moved + files._zip_end(n, len(moved), far), far) == (far, len(moved))
+    near, _ = files._moved(records, 7)
+    assert len(near) == size and files.directory_span(files._zip_end(70_000, 9, 10)) == (10, 9)
